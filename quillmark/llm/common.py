@@ -40,3 +40,18 @@ def uniform(column: str, seed: int):
 
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bits of a bitmap that keeps most rows without partners out of a shuffle. Its size is fixed: it only saves work, and a join follows.
+FILTER_BITS = 1 << 22
+
+
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of which the long column `key` may be among those of ids: all that are, and few others while ids are fewer than
+    FILTER_BITS. Keys are hashes. At most FILTER_BITS / 8 bytes are broadcast."""
+    at = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    bits = ids.select(at.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
+    own = rows.withColumn("_p", at).withColumns({"_b": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
+    byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_at div 8 AS INT) + 1, 1)), 16, 10) AS BIGINT)")
+    hit = own.join(F.broadcast(bits), "_b")
+    return hit.where(byte.bitwiseAND(F.expr("CAST(pow(2, _at % 8) AS BIGINT)")) != 0).drop("_p", "_b", "_at", "_bits")

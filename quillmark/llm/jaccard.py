@@ -5,6 +5,10 @@ inequality tells them apart, so regions are sought only where distances fall bel
 global order (rare before frequent) hold a common member for any two linked sets, each such member has a pivot (the least set
 that holds it), and a pivot's region is all sets that it was given by. Any two linked sets lie together in a region.
 
+Before texts move, regions are sifted with counts of each set's members in a fixed number of hash buckets: the sum of
+differences between two such vectors is no more than the symmetric difference of the sets, so pairs beyond the bound
+can't be linked, and sets without any pair within it leave the region.
+
 In a region the distance of every set to the pivot is computed. Sets within the threshold are linked to the pivot, so pairs among
 them need no look. The others (the boundary) meet all sets of the region whose distance to the pivot differs by no more than the
 threshold (the triangle inequality's window). Regions too large for a task are split over several, and their boundary
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words
-from quillmark.llm.common import materialize
+from quillmark.llm.common import materialize, maybe_among
 from quillmark.llm.graph import components
 
 
@@ -38,6 +42,7 @@ class Shape:
     hot: int = 6
     part: int = 512
     block: int = 256
+    buckets: int = 256
 
 
 def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -80,23 +85,24 @@ def _read(docs: DataFrame, shape: Shape) -> DataFrame:
         counts = np.zeros(1 << shape.count_bits, np.uint32)
         mask, size = np.uint64((1 << shape.count_bits) - 1), 1 << shape.slice_bits
         for b in batches:
-            n, k = [], []
+            n, k, v = [], [], []
             for s in sets(b.column(2), shape.width):
+                v.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % shape.buckets, minlength=shape.buckets), 255).astype(np.uint8).tobytes())
                 np.add.at(counts, (s & mask).astype(np.int64), 1)
                 n.append(len(s))
                 k.append(name_of(s))
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(v, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         low = np.minimum(counts, 255).astype(np.uint8).reshape(-1, size)
         some = [i for i in range(len(low)) if low[i].any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([low[i].tobytes() for i in some], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([low[i].tobytes() for i in some], pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = ["_r", "doc_id", "n", "k", "slice", "counts"]
+    names = ["_r", "doc_id", "n", "k", "v", "slice", "counts"]
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select(F.xxhash64("doc_id", "text").alias("_r"), "doc_id", "text").mapInArrow(run, f"_r long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, slice int, counts binary")
+    return docs.select(F.xxhash64("doc_id", "text").alias("_r"), "doc_id", "text").mapInArrow(run, f"_r long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, v binary, slice int, counts binary")
 
 
 def _ranks(counts: DataFrame, shape: Shape) -> np.ndarray:
@@ -131,7 +137,7 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
     """(k, p): each set's pivots, by the members of its prefix. Members of high rank, which a fixed share of all sets may
     hold, go as rows to aggregations and joins that can be split; all others are packed by hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[pa.RecordBatch]:
         own = ranks.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -144,7 +150,7 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
             t, k, to = t[order], k[order], to[order]
             at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
             some = [np.stack([t[a:b].view(np.int64), k[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(to[at[:-1]], pa.int32()), pa.array(some, pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(to[at[:-1]], pa.int32()), pa.array(some, pa.binary())], ["part", "packed"])
 
         for b in batches:
             hot_t, hot_k, seen = [], [], set()
@@ -155,9 +161,11 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
                 seen.add(k)
                 t, rank = _first(s, own, shape)
                 hot = rank >= shape.hot
-                if hot.any():
-                    hot_t.append(t[hot].view(np.int64))
-                    hot_k.append(np.full(int(hot.sum()), k))
+                if frequent:
+                    if hot.any():
+                        hot_t.append(t[hot].view(np.int64))
+                        hot_k.append(np.full(int(hot.sum()), k))
+                    continue
                 t = t[~hot]
                 held.append((t, np.full(len(t), k)))
                 size += len(t)
@@ -166,7 +174,7 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
                     size = 0
             if hot_t:
                 t, k = np.concatenate(hot_t), np.concatenate(hot_k)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int32()), pa.nulls(len(t), pa.binary()), pa.array(t), pa.array(k)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(k)], ["t", "k"])
         if size:
             yield from flush()
 
@@ -189,12 +197,11 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
         for i in range(0, len(k), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(p[i : i + (1 << 16)])], ["k", "p"])
 
-    names = ["part", "packed", "t", "k"]
-    rows = materialize(docs.select("text").where("text is not null").mapInArrow(run, "part int, packed binary, t long, k long"))
-    packed = rows.where("packed is not null").repartition(parts, "part").select("packed").mapInArrow(star, "k long, p long")
-    hot = rows.where("t is not null").select("t", "k").distinct()
+    texts = docs.select("text").where("text is not null")
+    packed = texts.mapInArrow(lambda batches: run(batches, False), "part int, packed binary").repartition(parts, "part").select("packed").mapInArrow(star, "k long, p long")
+    hot = materialize(texts.mapInArrow(lambda batches: run(batches, True), "t long, k long").distinct())
     pivots = materialize(hot.groupBy("t").agg(F.min("k").alias("p"), F.max("k").alias("_z")).where("p <> _z").select("t", "p"))
-    met = rows.where("t is not null").select("t", "k").join(pivots, "t").where("k <> p").select("k", "p")
+    met = hot.join(pivots, "t").where("k <> p").select("k", "p")
     return packed.unionByName(met).distinct()
 
 
@@ -256,84 +263,142 @@ def region(pivot: tuple[int, np.ndarray] | None, members: list[tuple[int, np.nda
     return links, rest
 
 
-def _regions(rows: DataFrame, shape: Shape, second: bool) -> DataFrame:
-    """Rows (p, part, role, k, text) brought together by (p, part): role 0 the pivot, 1 a boundary set, 2 a member. Gives (a, b) links, and in the first round
-    (a, null) for the boundary of split regions."""
+ALL, PIVOT, BORDER = 0, 1, 2  # what meets in a part: all members each other; members the pivot; boundary sets the members
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], rows) -> Iterator[tuple[tuple, list]]:
+    """((p, part, mode), rows) of runs of equal keys; rows(batch) gives the row values after the key."""
+    now, held = None, []
+    for b in batches:
+        for key, row in zip(zip(*(b.column(i).to_pylist() for i in range(3))), rows(b)):
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _sift(rows: DataFrame, shape: Shape) -> DataFrame:
+    """From rows (p, part, mode, role, k, n, v) those that may have a link in their part; PIVOT parts give all members, with
+    `maybe` false for those that can't be linked to the pivot. Roles: 0 the pivot, 1 the boundary, 2 members."""
+    bound = (100 - shape.percent) / (100 + shape.percent)
+
+    def hits(v: np.ndarray, n: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
+        """Which rows of v (sizes n, ascending) may be linked to w (size m)."""
+        a, b = np.searchsorted(n, [m * shape.percent // 100, -(-m * 100 // shape.percent) + 1])
+        out = np.zeros(len(n), bool)
+        out[a:b] = np.abs(v[a:b] - w).sum(1) <= (n[a:b] + m) * bound
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            c = list(zip(*out))
+            out.clear()
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["p", "part", "mode", "role", "k", "maybe"])
+
+        def values(b: pa.RecordBatch):
+            return zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist())
+
+        for key, held in _grouped(batches, values):
+            held.sort(key=lambda r: r[2])
+            role, n = np.array([r[0] for r in held]), np.array([r[2] for r in held], np.int64)
+            v = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1).astype(np.int16)
+            keep = np.zeros(len(held), bool)
+            if key[2] == ALL:
+                for i in range(len(held) - 1):
+                    h = hits(v[i + 1 :], n[i + 1 :], v[i], int(n[i]))
+                    keep[i + 1 :] |= h
+                    keep[i] |= h.any()
+                out += [(*key, held[i][0], held[i][1], True) for i in np.flatnonzero(keep)]
+            elif key[2] == PIVOT:
+                at = np.flatnonzero(role == 0)
+                if len(at):
+                    keep = hits(v, n, v[at[0]], int(n[at[0]]))
+                out += [(*key, held[i][0], held[i][1], bool(keep[i])) for i in range(len(held))]
+            else:
+                member = np.flatnonzero(role == 2)
+                for i in np.flatnonzero(role == 1):
+                    h = hits(v[member], n[member], v[i], int(n[i])) & (np.array([held[j][1] for j in member]) != held[i][1])
+                    keep[member] |= h
+                    keep[i] |= h.any()
+                out += [(*key, held[i][0], held[i][1], True) for i in np.flatnonzero(keep)]
+            if len(out) > 10_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    return _dealt(rows).select("p", "part", "mode", "role", "k", "n", "v").mapInArrow(run, "p long, part int, mode int, role int, k long, maybe boolean")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Parts of regions brought together: many small groups, dealt by a hash, each in one run."""
+    return rows.repartition("p", "part").sortWithinPartitions("p", "part", "mode", "role", "k")
+
+
+def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
+    """(p, a, b) links of rows (p, part, mode, role, k, text); PIVOT parts also give (p, a, null) for members without a link to
+    the pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {0: [], 1: [], 2: []}
-        a, b = [], []
-
-        def close() -> None:
-            if now is None or not held[2]:
-                return
-            pivot = held[0][0] if held[0] else None
-            if second:
-                links, _ = region(None, held[2], held[1], shape)
-                rest = []
-            elif now[2]:  # a part of a split region: links to the pivot only
-                links, rest = region(pivot, held[2], [], shape)
-                joined = {x for x, _ in links}
-                rest = [k for k, _ in held[2] if k not in joined]
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            c = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["p", "a", "b"])
+
+        for key, held in _grouped(batches, lambda b: zip(b.column(3).to_pylist(), b.column(4).to_pylist(), sets(b.column(5), shape.width))):
+            if key[2] == BORDER:
+                members, border = [(k, s) for r, k, s in held if r == 2], [(k, s) for r, k, s in held if r == 1]
+                links = region(None, members, border, shape)[0] if members and border else []
             else:
-                links, rest = region(pivot, held[2], None, shape)
-                rest = []
-            a.extend(x for x, _ in links)
-            b.extend(y for _, y in links)
-            a.extend(rest)
-            b.extend([None] * len(rest))
-            pivots.extend([now[0]] * (len(a) - len(pivots)))
-
-        pivots: list[int] = []
-
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["p", "a", "b"])
-            pivots.clear(), a.clear(), b.clear()
-            return r
-
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for key, role, k, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), sets(batch.column(5), shape.width)):
-                if key != now:
-                    close()
-                    now, held = key, {0: [], 1: [], 2: []}
-                held[role].append((k, s))
-            if len(a) > 10_000:
-                yield out()
-        close()
-        if a:
-            yield out()
-
-    # many small parts of regions, dealt by a hash of both, sorted so that each part comes in one run
-    dealt = rows.repartition("p", "part").sortWithinPartitions("p", "part", "split", "role", "k")
-    return dealt.select("p", "part", "split", "role", "k", "text").mapInArrow(run, "p long, a long, b long")
-
-
-def _links(docs: DataFrame, given: DataFrame, reps: DataFrame, shape: Shape) -> DataFrame:
+                pivot, members = held[0][1:], [(k, s) for _, k, s in held[1:]]  # the pivot sorts first; else any other set serves
+                links = region(pivot, members, [] if key[2] == PIVOT else None, shape)[0] if members else []
+                if key[2] == PIVOT:
+                    joined = {a for a, _ in links}
+                    out += [(key[0], k, None) for k, _ in members if k not in joined]
+            out += [(key[0], a, b) for a, b in links]
+            if len(out) > 10_000:
+                yield flush()
+        if out:
+            yield flush()
+
+    return _dealt(rows).select("p", "part", "mode", "role", "k", "text").mapInArrow(run, "p long, a long, b long")
+
+
+def _links(docs: DataFrame, given: DataFrame, reps: DataFrame, vectors: DataFrame, shape: Shape) -> DataFrame:
     """(a, b): links between sets that join what is linked, from their pivots (k, p)."""
-    sizes = given.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("_any"))
-    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("m") / shape.part).cast("int")).drop("_any"))
     texts = docs.withColumn("_r", F.xxhash64("doc_id", "text")).select("_r", "text")
-    placed = given.join(sizes, "p").select("p", "k", "parts", F.expr("CAST(pmod(xxhash64(k), parts) AS INT)").alias("part"))
-    asked = placed.select("k", F.struct("p", "part", (F.col("parts") > 1).alias("split"), F.lit(2).alias("role")).alias("x"))
-    asked = asked.unionByName(sizes.select(F.col("p").alias("k"), F.explode(F.expr("transform(sequence(0, parts - 1), i -> named_struct('p', p, 'part', CAST(i AS INT), 'split', parts > 1, 'role', 0))")).alias("x")))
-    first = materialize(_regions(_with_text(asked, reps, texts), shape, False))
-    links = first.where("b is not null").select("a", "b")
-    rest = first.where("b is null").select("p", F.col("a").alias("k"))
-    counts = materialize(rest.groupBy("p").agg(F.count(F.lit(1)).alias("c")).join(sizes, "p").withColumn("blocks", F.ceil(F.col("c") / shape.block).cast("int")))
+
+    def with_text(asked: DataFrame) -> DataFrame:
+        by = materialize(asked.join(reps, "k").select("_r", "p", "part", "mode", "role", "k"))
+        return maybe_among(texts, "_r", by).join(by, "_r").select("p", "part", "mode", "role", "k", "text")
+
+    def sifted(asked: DataFrame) -> DataFrame:
+        return materialize(_sift(asked.join(vectors, "k"), shape))
+
+    sizes = given.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    sizes = materialize(sizes.select("p", F.ceil((F.col("m") + 1) / shape.part).cast("int").alias("parts")))
+    placed = materialize(given.join(sizes, "p").select("p", F.expr("CAST(pmod(xxhash64(k), parts) AS INT)").alias("part"), "k", "parts"))
+    mode = F.when(F.col("parts") > 1, PIVOT).otherwise(ALL).alias("mode")
+    pivots = sizes.select("p", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), mode, F.lit(0).alias("role"), F.col("p").alias("k"))
+    met = sifted(placed.select("p", "part", mode, F.lit(2).alias("role"), "k").unionByName(pivots))
+    found = materialize(_compare(with_text(met.where("maybe").drop("maybe")), shape))
+    links = found.where("b is not null").select("a", "b")
+    rest = found.where("b is null").select("p", F.col("a").alias("k")).unionByName(met.where(f"mode = {PIVOT} and role = 2 and not maybe").select("p", "k"))
+    counts = materialize(rest.groupBy("p").agg(F.count(F.lit(1)).alias("c")).join(sizes, "p").select("p", "parts", F.ceil(F.col("c") / shape.block).cast("int").alias("blocks")))
     if counts.isEmpty():
         return links
-    number = F.expr("part * blocks + block").cast("int")
-    inside = placed.join(counts.select("p", "blocks"), "p").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("k", F.struct("p", number.alias("part"), F.lit(False).alias("split"), F.lit(2).alias("role")).alias("x"))
-    border = rest.join(counts.select("p", "parts", "blocks"), "p").withColumn("block", F.expr("CAST(pmod(xxhash64(k), blocks) AS INT)")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("k", F.struct("p", number.alias("part"), F.lit(False).alias("split"), F.lit(1).alias("role")).alias("x"))
-    second = _regions(_with_text(inside.unionByName(border), reps, texts), shape, True)
-    return links.unionByName(materialize(second.select("a", "b")))
-
-
-def _with_text(asked: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows asked for, each with the text of its set's representative."""
-    by = asked.join(reps, "k").select("_r", "k", "x")
-    return by.join(texts, "_r").select("x.p", "x.part", "x.split", "x.role", "k", "text")
+    number = F.expr("part * blocks + block").cast("int").alias("part")
+    inside = placed.drop("parts").join(counts, "p").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(2).alias("role"), "k")
+    border = rest.join(counts, "p").withColumn("block", F.expr("CAST(pmod(xxhash64(k), blocks) AS INT)")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(1).alias("role"), "k")
+    again = sifted(inside.unionByName(border)).drop("maybe")
+    return links.unionByName(materialize(_compare(with_text(again), shape).select("a", "b")))
 
 
 def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -348,11 +413,13 @@ def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     read = materialize(_read(docs, shape))
-    known = read.where("slice is null").select("_r", "doc_id", "n", "k")
+    known = read.where("slice is null").select("_r", "doc_id", "n", "k", "v")
     ranks = spark.sparkContext.broadcast(_ranks(read, shape))  # 2 ** count_bits bytes, whatever the input
     reps = known.where("k is not null").groupBy("k").agg(F.min("_r").alias("_r"), F.min("doc_id").alias("_id"))
     given = materialize(_given(docs, ranks, shape, parts))
-    links = _links(docs, given, materialize(reps), shape)
+    reps = materialize(reps)
+    vectors = materialize(known.select("_r", "n", "v").join(reps, "_r").groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v")))
+    links = _links(docs, given, reps, vectors, shape)
     joined = components(links)
     roots = materialize(reps.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").select("k", "_id", F.coalesce("root", "k").alias("root")))
     least = roots.groupBy("root").agg(F.min("_id").alias("component_id"))

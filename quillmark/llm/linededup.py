@@ -14,11 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialize
-
-#: Bits of the bitmap that keeps most lines without partners out of a shuffle; its size is fixed. It only saves work.
-FILTER_BITS = 1 << 22
-BUCKET_BITS = 1 << 15
+from quillmark.llm.common import materialize, maybe_among
 
 _BLANK = r"[\\x20\\x09-\\x0D]+"
 
@@ -50,27 +46,12 @@ def _halves(min_words: int) -> Column:
                         xxhash64('p', slice(_w, 1, size(_w) div 2 + 1)), xxhash64('s', slice(_w, size(_w) div 2 + 1, size(_w) div 2 + 1))) END""")
 
 
-def _bitmap(ids: DataFrame) -> DataFrame:
-    """(_b, _bits): which of FILTER_BITS places the values _h take; FILTER_BITS / 8 bytes in all."""
-    at = F.pmod("_h", F.lit(FILTER_BITS))
-    return ids.select((at + 1).alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
-
-
-def _maybe(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """Lines of which _h may be among ids: all that are, and few others."""
-    p = lines.withColumn("_p", F.pmod("_h", F.lit(FILTER_BITS)) + 1)
-    p = p.withColumns({"_b": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
-    hit = p.join(F.broadcast(_bitmap(ids)), "_b")  # at most FILTER_BITS / 8 bytes
-    byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_at div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
-    return hit.where(F.shiftright(byte.cast("long"), 0).bitwiseAND(F.expr("CAST(pow(2, _at % 8) AS BIGINT)")) != 0).drop("_p", "_b", "_at", "_bits")
-
-
 def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     """(_h, _g, _near): for lines with an earlier near line, the earliest one's place."""
     keys = distinct.where("_keys is not null").select("_h", F.explode("_keys").alias("_key"))
     shared = keys.groupBy("_key").agg(F.min("_h").alias("_a"), F.max("_h").alias("_z")).where("_a <> _z").select("_key")
     some = materialize(keys.join(shared, "_key").select("_h").distinct())
-    lines = _maybe(_hashed(_lines(docs)), some).join(some, "_h")
+    lines = maybe_among(_hashed(_lines(docs)), "_h", some).join(some, "_h")
     held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_w").alias("_w")))
     # One row for each deletion, and one for the line itself with position -1. Equal contents meet by _v.
     variants = held.select("_h", "_g", "_place", F.explode(F.expr("concat(array(named_struct('i', -1, 'v', xxhash64(_w), 'n', size(_w))), transform(sequence(1, size(_w)), i -> named_struct('i', i, 'v', xxhash64(concat(slice(_w, 1, i - 1), slice(_w, i + 1, size(_w)))), 'n', size(_w) - 1)))")).alias("x"))
@@ -91,8 +72,7 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
 
 def within_one(a: str, b: str) -> Column:
     """Whether at most one word inserted, removed or replaced turns array a into array b."""
-    front = f"coalesce(array_position(transform(arrays_zip({a}, {b}), z -> coalesce(z.`{a}` = z.`{b}`, false)), false) - 1, size({a}))"
-    front = f"CASE WHEN {a} = {b} THEN size({a}) ELSE {front} END"
+    front = f"(array_position(transform(arrays_zip({a}, {b}), z -> coalesce(z.`{a}` = z.`{b}`, false)), false) - 1)"
     back = f"(array_position(transform(arrays_zip(reverse({a}) , reverse({b})), z -> coalesce(z.`0` = z.`1`, false)), false) - 1)"
     return F.expr(f"abs(size({a}) - size({b})) <= 1 AND ({a} = {b} OR ({front}) + {back} >= greatest(size({a}), size({b})) - 1)")
 
