@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ class Shape:
 
     width: int = 5
     percent: int = 80
-    count_bits: int = 22
-    slice_bits: int = 16
+    count_bits: int = 24
+    slice_bits: int = 18
     hot: int = 6
     part: int = 512
     block: int = 256
@@ -82,21 +83,22 @@ def _read(docs: DataFrame, shape: Shape) -> DataFrame:
     """(_r, doc_id, n, k) for each document; and (slice, counts) with how often each bucket's n-grams occur in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << shape.count_bits, np.uint32)
+        counts = np.zeros(1 << shape.count_bits, np.uint16)
         mask, size = np.uint64((1 << shape.count_bits) - 1), 1 << shape.slice_bits
         for b in batches:
             n, k, v = [], [], []
             for s in sets(b.column(2), shape.width):
                 v.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % shape.buckets, minlength=shape.buckets), 255).astype(np.uint8).tobytes())
-                np.add.at(counts, (s & mask).astype(np.int64), 1)
+                at = (s & mask).astype(np.int64)
+                counts[at] += counts[at] < 60_000
                 n.append(len(s))
                 k.append(name_of(s))
             rows = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(v, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        low = np.minimum(counts, 255).astype(np.uint8).reshape(-1, size)
+        low, pack = np.minimum(counts, 255).astype(np.uint8).reshape(-1, size), zstandard.ZstdCompressor(1)
         some = [i for i in range(len(low)) if low[i].any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([low[i].tobytes() for i in some], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pack.compress(low[i].tobytes()) for i in some], pa.binary())], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -113,7 +115,7 @@ def _ranks(counts: DataFrame, shape: Shape) -> np.ndarray:
         for b in batches:
             for s, c in zip(b.column(0).to_pylist(), b.column(1)):
                 have = total.setdefault(s, np.zeros(1 << shape.slice_bits, np.uint64))
-                have += np.frombuffer(c.as_buffer(), np.uint8)
+                have += np.frombuffer(zstandard.decompress(c.as_py()), np.uint8)
         if total:
             out = [np.floor(np.log2(np.maximum(v / max(v.mean(), 1.0), 1))).astype(np.uint8).tobytes() for v in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(out, pa.binary())], ["slice", "ranks"])
