@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import materialize, maybe_among
 
-_BLANK = r"[\\x20\\x09-\\x0D]+"
-
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _k): _k names the row's content, so that rows equal in doc_id and text are one document."""
@@ -26,11 +24,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(_k, _pos, _place, _w): the lines with a word, their place in the order (doc_id, line number), and their words."""
-    out = docs.select("_k", "doc_id", F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
-    out = out.where(F.expr(r"_line rlike '[^\\x20\\x09-\\x0D]'"))
+    # the words are the generator's output, so that later expressions over them don't split the line again
+    lines = F.expr(r"transform(split(text, '\n'), l -> array_remove(split(translate(l, '\t\r\u000b\u000c', '    '), ' '), ''))")
+    out = docs.select("_k", "doc_id", F.posexplode(lines).alias("_pos", "_w")).where("size(_w) > 0")
     place = F.expr("CAST(coalesce(doc_id, 9223372036854775807) AS DECIMAL(20,0)) * 10000000000BD + _pos").cast("decimal(38,0)")
-    words = F.expr(rf"split(regexp_replace(_line, '^{_BLANK}|{_BLANK}$', ''), '{_BLANK}')")
-    return out.select("_k", "_pos", place.alias("_place"), words.alias("_w"))
+    return out.select("_k", "_pos", place.alias("_place"), "_w")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_w").alias("_w")))
     # One row for each deletion, and one for the line itself with position -1. Equal contents meet by _v.
     variants = held.select("_h", "_g", "_place", F.explode(F.expr("concat(array(named_struct('i', -1, 'v', xxhash64(_w), 'n', size(_w))), transform(sequence(1, size(_w)), i -> named_struct('i', i, 'v', xxhash64(concat(slice(_w, 1, i - 1), slice(_w, i + 1, size(_w)))), 'n', size(_w) - 1)))")).alias("x"))
-    variants = variants.select("_h", "_g", "_place", "x.i", "x.v", "x.n")
+    variants = materialize(variants.select("_h", "_g", "_place", "x.i", "x.v", "x.n"))
     inner = variants.groupBy("v", "n", "i").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
     # replaced: the earliest line with the same deletion at the same position; inserted or removed: a whole line against deletions
     replaced = inner.where("i > 0 and _c > 1").select("v", "n", "i", "_first")
