@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-S1 = Window.partitionBy("s1")
+
+def by_s1() -> Window:
+    return Window.partitionBy("s1")
+
+
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -19,7 +23,7 @@ def best_first(key: str, value: str, tie: str) -> Window:
 def group_features(pairs: DataFrame, value: str) -> DataFrame:
     """n_cands, and of the value: _grank (null if missing), _gap to the group's best, _margin to the best other one (-1 if none)."""
     line = best_first("s1", value, "t")
-    out = pairs.withColumns({"n_cands": F.count(F.lit(1)).over(S1), "_rn": F.row_number().over(line), "_best": F.max(value).over(S1), "_second": F.nth_value(value, 2).over(line.rowsBetween(*WHOLE))})
+    out = pairs.withColumns({"n_cands": F.count(F.lit(1)).over(by_s1()), "_rn": F.row_number().over(line), "_best": F.max(value).over(by_s1()), "_second": F.nth_value(value, 2).over(line.rowsBetween(*WHOLE))})
     v = F.col(value)
     return out.select(
         *pairs.columns, "n_cands",
@@ -44,7 +48,7 @@ def list_features(pairs: DataFrame) -> DataFrame:
     """best_p, second_p, third_p (0 if absent), p_rank, p_rel_best, p_gap_best, sum_p, n_hi, sib1 and sib2 (the two best other targets)."""
     line = best_first("s1", "p", "t")
     top = {f"_p{i}": F.nth_value("p", i).over(line.rowsBetween(*WHOLE)) for i in (1, 2, 3)} | {f"_t{i}": F.nth_value("t", i).over(line.rowsBetween(*WHOLE)) for i in (1, 2, 3)}
-    x = pairs.withColumns(top | {"p_rank": F.row_number().over(line), "sum_p": F.sum("p").over(S1), "n_hi": F.sum((F.col("p") > 0.5).cast("int")).over(S1)})
+    x = pairs.withColumns(top | {"p_rank": F.row_number().over(line), "sum_p": F.sum("p").over(by_s1()), "n_hi": F.sum((F.col("p") > 0.5).cast("int")).over(by_s1())})
     zero = F.lit(0.0)
     return x.select(
         *pairs.columns, F.coalesce("_p1", zero).alias("best_p"), F.coalesce("_p2", zero).alias("second_p"), F.coalesce("_p3", zero).alias("third_p"), "p_rank",
@@ -87,7 +91,7 @@ def expected_f_select(pairs: DataFrame, miss: float) -> DataFrame:
     """(s1, k, f): how many of the best to emit for the largest expected F0.5, 0 if emitting none is as good."""
     line = best_first("s1", "p", "t")
     run = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = pairs.withColumns({"_k": F.row_number().over(line), "_c": F.sum("p").over(run), "_sum": F.sum("p").over(S1), "_none": F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).over(S1)})
+    x = pairs.withColumns({"_k": F.row_number().over(line), "_c": F.sum("p").over(run), "_sum": F.sum("p").over(by_s1()), "_none": F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).over(by_s1())})
     x = x.withColumns({"_f": F.round(1.25 * F.col("_c") / (F.col("_k") + 0.25 * (F.col("_sum") + miss)), 9), "_f0": F.round((1 - miss) * F.exp("_none"), 9)})
     best = x.groupBy("s1").agg(F.max(F.struct("_f", (-F.col("_k")).alias("k"))).alias("b"), F.max("_f0").alias("f0"))
     return best.select("s1", F.when(F.col("b._f") > F.col("f0"), -F.col("b.k")).otherwise(0).alias("k"), F.round(F.greatest("b._f", "f0"), 6).alias("f"))
@@ -103,7 +107,7 @@ def pseudo_clean(pairs: DataFrame, emitted: str, hi: float, lo: float, lo_single
 
 def sample_negatives(pairs: DataFrame, per_positive: float, hard_share: float, order) -> DataFrame:
     """Per S1, max(positives, 1) * per_positive negatives: the hardest by p, the rest in the given pseudo-random order."""
-    n_pos = F.sum("label").over(S1)
+    n_pos = F.sum("label").over(by_s1())
     x = pairs.withColumn("_quota", F.floor(F.greatest(n_pos, F.lit(1)) * per_positive)).where("label = 0").withColumn("_hard", F.ceil(F.col("_quota") * hard_share))
     x = x.withColumn("_r", F.row_number().over(best_first("s1", "p", "t")))
     x = x.withColumn("_easy", F.row_number().over(Window.partitionBy("s1", F.col("_r") <= F.col("_hard")).orderBy(order, "t")))
