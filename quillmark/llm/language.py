@@ -82,7 +82,7 @@ def vectors(column: pa.Array, shape: Shape, idf: np.ndarray | None) -> Iterator[
             w = pair_word[a:b]
             take = np.repeat(at[w] - np.concatenate([[0], np.cumsum(size[w])[:-1]]), size[w]) + np.arange(size[w].sum()) if len(w) else np.zeros(0, np.int64)
             flat_at = np.repeat((pair_row[a:b] - r) * shape.buckets, size[w]) + buckets[take]
-            m = np.bincount(flat_at, counts[take] * np.repeat(n[a:b], size[w]), (to - r) * shape.buckets).reshape(to - r, shape.buckets)
+            m = np.bincount(flat_at, counts[take] * np.repeat(n[a:b], size[w]), (to - r) * shape.buckets).astype(float).reshape(to - r, shape.buckets)
             if idf is not None:
                 np.log1p(m, out=m)
                 m *= idf

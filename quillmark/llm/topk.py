@@ -24,7 +24,7 @@ class Index:
 
     def __init__(self, x: np.ndarray, step: int):
         self.x, self.step = x, step
-        self.segments: list[list[tuple[int, int, np.ndarray]]] = []  # by dimension: (sign, level, candidates)
+        self.segments: list[list[tuple[int, int, np.ndarray, np.ndarray]]] = []  # by dimension: (sign, level, candidates, sizes)
         for d in range(x.shape[1]):
             col, own = x[:, d], []
             size = np.abs(col)
@@ -33,18 +33,17 @@ class Index:
                 at = np.flatnonzero(np.sign(col) == sign)
                 order = at[np.argsort(-level[at], kind="stable")]
                 cuts = np.flatnonzero(np.diff(level[order])) + 1
-                own += [(sign, int(level[p[0]]), p) for p in np.split(order, cuts) if len(p)]
+                own += [(sign, int(level[p[0]]), p, size[p]) for p in np.split(order, cuts) if len(p)]
             self.segments.append(own)
-        self.highest = np.array([[max((lv for s, lv, _ in own if s == sign), default=0) for sign in (1, -1)] for own in self.segments])
 
-    def search(self, q: np.ndarray, k: int, ids: np.ndarray, check_every: int = 16) -> np.ndarray:
+    def search(self, q: np.ndarray, k: int, ids: np.ndarray, check_every: int = 48) -> np.ndarray:
         """Positions of all candidates that may be among the k best of q (ties included)."""
         n, step = len(self.x), self.step
         if n <= k:
             return np.arange(n)
-        plan = [(int(abs(q[d])) * level * step, d, level, at) for d in np.flatnonzero(q) for sign, level, at in self.segments[d] if sign == np.sign(q[d])]
+        plan = [(int(abs(q[d])) * level * step, d, at, size) for d in np.flatnonzero(q) for sign, level, at, size in self.segments[d] if sign == np.sign(q[d])]
         plan.sort(key=lambda s: (-s[0], s[1]))
-        # Parts that lower a score are taken as a whole before: an exact sum of what can't be bounded from above by segments.
+        # What lowers a score is summed before: segments bound only what raises it.
         lower = self._negative(q)
         rest = {d: [] for d in np.flatnonzero(q)}
         for bound, d, _, _ in plan:
@@ -52,8 +51,8 @@ class Index:
         ahead = {d: 0 for d in rest}
         left = float(sum(b[0] for b in rest.values() if b))
         score = lower.astype(np.int64)
-        for i, (bound, d, level, at) in enumerate(plan):
-            score[at] += int(abs(q[d])) * np.abs(self.x[at, d])
+        for i, (bound, d, at, size) in enumerate(plan):
+            score[at] += int(abs(q[d])) * size
             own = rest[d]
             ahead[d] += 1
             left += (own[ahead[d]] if ahead[d] < len(own) else 0) - own[ahead[d] - 1]
@@ -113,7 +112,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "n long, width long, ids binary, data binary")
 
 
-def search(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, step: int = 16, candidate_block: int = 4096, query_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, step: int = 64, candidate_block: int = 16384, query_block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product for each query, all if fewer.
 
     Queries are the rows that satisfy `queries`; candidates are all rows with another vec_id. Ties go to the smaller vec_id. Vectors that are
