@@ -23,37 +23,44 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_k, _pos, _place, _w): the lines with a word, their place in the order (doc_id, line number), and their words."""
-    # the words are the generator's output, so that later expressions over them don't split the line again
-    lines = F.expr(r"transform(split(text, '\n'), l -> array_remove(split(translate(l, '\t\r\u000b\u000c', '    '), ' '), ''))")
-    out = docs.select("_k", "doc_id", F.posexplode(lines).alias("_pos", "_w")).where("size(_w) > 0")
+    """(_k, _pos, _place, _l): the lines with a word, their place in the order (doc_id, line number), and their words, each but
+    the first after one space. No word is split off: these strings are hashed and cut as they are."""
+    text = F.expr(r"replace(replace(replace(replace(text, '\t', ' '), '\r', ' '), '\u000b', ' '), '\u000c', ' ')")
+    single = docs.select("_k", "doc_id", text.alias("_t")).select("_k", "doc_id", F.expr("CASE WHEN contains(_t, '  ') THEN regexp_replace(_t, ' +', ' ') ELSE _t END").alias("_t"))
+    out = single.select("_k", "doc_id", F.posexplode(F.split("_t", "\n")).alias("_pos", "_t")).select("_k", "doc_id", "_pos", F.trim("_t").alias("_l")).where("_l <> ''")
     place = F.expr("CAST(coalesce(doc_id, 9223372036854775807) AS DECIMAL(20,0)) * 10000000000BD + _pos").cast("decimal(38,0)")
-    return out.select("_k", "_pos", place.alias("_place"), "_w")
+    return out.select("_k", "_pos", place.alias("_place"), "_l")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"_h": F.xxhash64("_w"), "_g": F.xxhash64(F.lit(1), "_w")})
+    return lines.withColumns({"_h": F.xxhash64("_l"), "_g": F.xxhash64(F.lit(1), "_l")})
 
 
-def _halves(min_words: int) -> Column:
-    """Keys of the halves of a line: half its words from the front and from the back; odd lines also with one word more."""
-    return F.expr(f"""
-        CASE WHEN size(_w) < {min_words} THEN NULL
-             WHEN size(_w) % 2 = 0 THEN array(xxhash64('p', slice(_w, 1, size(_w) div 2)), xxhash64('s', slice(_w, size(_w) div 2 + 1, size(_w) div 2)))
-             ELSE array(xxhash64('p', slice(_w, 1, size(_w) div 2)), xxhash64('s', slice(_w, size(_w) div 2 + 2, size(_w) div 2)),
-                        xxhash64('p', slice(_w, 1, size(_w) div 2 + 1)), xxhash64('s', slice(_w, size(_w) div 2 + 1, size(_w) div 2 + 1))) END""")
+#: The number of words of a line.
+_N = "(octet_length(_l) - octet_length(replace(_l, ' ', '')) + 1)"
 
 
-def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+def _halved(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines with _k0 to _k3, keys of their halves: half the words from the front and from the back; odd lines also with one
+    word more. Null for lines too short, and _k2 and _k3 for even ones."""
+    front, back = "xxhash64('p', substring_index(_l, ' ', {}))", "xxhash64('s', substring_index(_l, ' ', -({})))"
+    low, high, odd = "CAST(_n div 2 AS INT)", "CAST(_n div 2 + 1 AS INT)", f"_n >= {min_words} AND _n % 2 = 1"
+    keys = [(front, low, f"_n >= {min_words}"), (back, low, f"_n >= {min_words}"), (front, high, odd), (back, high, odd)]
+    return lines.withColumn("_n", F.expr(_N)).withColumns({f"_k{i}": F.expr(f"CASE WHEN {when} THEN {key.format(size)} END") for i, (key, size, when) in enumerate(keys)}).drop("_n")
+
+
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(_h, _g, _near): for lines with an earlier near line, the earliest one's place."""
-    keys = distinct.where("_keys is not null").select("_h", F.explode("_keys").alias("_key"))
+    keys = distinct.where("_k0 is not null").select("_h", F.explode(F.array_compact(F.array("_k0", "_k1", "_k2", "_k3"))).alias("_key"))
     shared = keys.groupBy("_key").agg(F.min("_h").alias("_a"), F.max("_h").alias("_z")).where("_a <> _z").select("_key")
     some = materialize(keys.join(shared, "_key").select("_h").distinct())
     lines = maybe_among(_hashed(_lines(docs)), "_h", some).join(some, "_h")
-    held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_w").alias("_w")))
-    # One row for each deletion, and one for the line itself with position -1. Equal contents meet by _v.
-    variants = held.select("_h", "_g", "_place", F.explode(F.expr("concat(array(named_struct('i', -1, 'v', xxhash64(_w), 'n', size(_w))), transform(sequence(1, size(_w)), i -> named_struct('i', i, 'v', xxhash64(concat(slice(_w, 1, i - 1), slice(_w, i + 1, size(_w)))), 'n', size(_w) - 1)))")).alias("x"))
-    variants = materialize(variants.select("_h", "_g", "_place", "x.i", "x.v", "x.n"))
+    held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_l").alias("_l")))
+    # One row for each deletion, and one for the line itself with position -1. Equal contents meet by v.
+    each = held.withColumn("_n", F.expr(f"CAST({_N} AS INT)")).select("_h", "_g", "_place", "_l", "_n", F.explode(F.expr("sequence(0, _n)")).alias("_i"))
+    cut = "xxhash64(trim(concat(substring_index(_l, ' ', _i - 1), ' ', substring_index(_l, ' ', _i - _n))))"
+    variants = each.select("_h", "_g", "_place", F.expr("CASE WHEN _i = 0 THEN -1 ELSE _i END").alias("i"), F.expr(f"CASE WHEN _i = 0 THEN xxhash64(_l) ELSE {cut} END").alias("v"), F.expr("CASE WHEN _i = 0 THEN _n ELSE _n - 1 END").alias("n"))
+    variants = materialize(variants)
     inner = variants.groupBy("v", "n", "i").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
     # replaced: the earliest line with the same deletion at the same position; inserted or removed: a whole line against deletions
     replaced = inner.where("i > 0 and _c > 1").select("v", "n", "i", "_first")
@@ -62,8 +69,8 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     longer = variants.where("i > 0").join(whole, ["v", "n"]).where("_full < _place").select("_h", "_g", "_place", F.col("_full").alias("_first"))
     shorter = variants.where("i < 0").join(whole, ["v", "n"]).where("_cut < _place").select("_h", "_g", "_place", F.col("_cut").alias("_first"))
     best = near.unionByName(longer).unionByName(shorter).distinct()
-    own = held.select("_h", "_g", "_w")
-    other = held.select(F.col("_place").alias("_first"), F.col("_w").alias("_x"))
+    own = held.select("_h", "_g", F.split("_l", " ").alias("_w"))
+    other = held.select(F.col("_place").alias("_first"), F.split("_l", " ").alias("_x"))
     pairs = best.join(own, ["_h", "_g"]).join(other, "_first")
     return pairs.where(within_one("_w", "_x")).groupBy("_h", "_g").agg(F.min("_first").alias("_near"))
 
@@ -79,9 +86,8 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(_k, _drop): for rows that lose lines, the numbers of those lines from 0."""
     docs = _rows(docs.select("doc_id", "text").where("text is not null"))
     lines = _hashed(_lines(docs))
-    distinct = materialize(lines.withColumn("_keys", _halves(min_words)).select("_h", "_g", "_place", F.expr("_keys[0]").alias("_k0"), F.expr("_keys[1]").alias("_k1"), F.expr("try_element_at(_keys, 3)").alias("_k2"), F.expr("try_element_at(_keys, 4)").alias("_k3")).groupBy("_h", "_g").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), *(F.min(f"_k{i}").alias(f"_k{i}") for i in range(4))))
-    keyed = distinct.select("_h", F.expr("CASE WHEN _k0 is null THEN NULL WHEN _k2 is null THEN array(_k0, _k1) ELSE array(_k0, _k1, _k2, _k3) END").alias("_keys"))
-    near = materialize(_near(docs, keyed, min_words))
+    distinct = materialize(_halved(lines, min_words).groupBy("_h", "_g").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), *(F.min(f"_k{i}").alias(f"_k{i}") for i in range(4))))
+    near = materialize(_near(docs, distinct))
     marked = distinct.select("_h", "_g", "_first", "_n").join(near, ["_h", "_g"], "left").where("_n > 1 or _near is not null").select("_h", "_g", F.least("_first", F.coalesce("_near", "_first")).alias("_first"))
     late = lines.select("_k", "_pos", "_place", "_h", "_g").join(materialize(marked), ["_h", "_g"]).where("_place > _first")
     return late.groupBy("_k").agg(F.collect_set("_pos").alias("_drop"))  # a document's own lines
@@ -100,4 +106,4 @@ def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     drop = dropped_lines(docs, min_words)
     out = _rows(docs).join(drop, "_k", "left")
     left = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> named_struct('l', l, 'i', i)), z -> NOT array_contains(_drop, z.i)), z -> z.l), '\\n')")
-    return out.select(*(F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in order), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("_n"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped")).withColumn("n_lines", F.greatest(F.col("_n"), F.lit(0)).cast("int")).drop("_n").select(*order, "n_lines", "n_dropped")
+    return out.select(*(F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in order), F.expr(r"coalesce(octet_length(text) - octet_length(replace(text, '\n', '')) + 1, 0)").alias("_n"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped")).withColumn("n_lines", F.greatest(F.col("_n"), F.lit(0)).cast("int")).drop("_n").select(*order, "n_lines", "n_dropped")
