@@ -51,15 +51,17 @@ def _halved(lines: DataFrame, min_words: int) -> DataFrame:
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(_h, _g, _near): for lines with an earlier near line, the earliest one's place."""
-    keys = distinct.where("_k0 is not null").select("_h", F.explode(F.array_compact(F.array("_k0", "_k1", "_k2", "_k3"))).alias("_key"))
+    each = distinct.where("_k0 is not null").select("_h", F.posexplode(F.array("_k0", "_k1", "_k2", "_k3")).alias("_side", "_key"))
+    keys = each.where("_key is not null").withColumn("_side", F.expr("_side % 2"))
     shared = keys.groupBy("_key").agg(F.min("_h").alias("_a"), F.max("_h").alias("_z")).where("_a <> _z").select("_key")
-    some = materialize(keys.join(shared, "_key").select("_h").distinct())
+    some = materialize(keys.join(shared, "_key").groupBy("_h").agg(F.max(F.expr("_side = 0")).alias("_front"), F.max(F.expr("_side = 1")).alias("_back")))
     lines = maybe_among(_hashed(_lines(docs)), "_h", some).join(some, "_h")
-    held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_l").alias("_l")))
-    # One row for each deletion, and one for the line itself with position -1. Equal contents meet by v.
-    each = held.withColumn("_n", F.expr(f"CAST({_N} AS INT)")).select("_h", "_g", "_place", "_l", "_n", F.explode(F.expr("sequence(0, _n)")).alias("_i"))
+    held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_l").alias("_l"), F.any_value("_front").alias("_front"), F.any_value("_back").alias("_back")))
+    # One row for each deletion, and one for the line itself with position -1. Equal contents meet by v. An edit lies behind a
+    # front half that is shared, or before a back half: deletions on the other side can't lead to a near line.
+    cuts = held.withColumn("_n", F.expr(f"CAST({_N} AS INT)")).select("_h", "_g", "_place", "_l", "_n", F.explode(F.expr("concat(array(0), CASE WHEN _back AND _front THEN sequence(1, _n) WHEN _back THEN sequence(1, CAST(_n div 2 AS INT)) ELSE sequence(CAST(_n div 2 + 1 AS INT), _n) END)")).alias("_i"))
     cut = "xxhash64(trim(concat(substring_index(_l, ' ', _i - 1), ' ', substring_index(_l, ' ', _i - _n))))"
-    variants = each.select("_h", "_g", "_place", F.expr("CASE WHEN _i = 0 THEN -1 ELSE _i END").alias("i"), F.expr(f"CASE WHEN _i = 0 THEN xxhash64(_l) ELSE {cut} END").alias("v"), F.expr("CASE WHEN _i = 0 THEN _n ELSE _n - 1 END").alias("n"))
+    variants = cuts.select("_h", "_g", "_place", F.expr("CASE WHEN _i = 0 THEN -1 ELSE _i END").alias("i"), F.expr(f"CASE WHEN _i = 0 THEN xxhash64(_l) ELSE {cut} END").alias("v"), F.expr("CASE WHEN _i = 0 THEN _n ELSE _n - 1 END").alias("n"))
     variants = materialize(variants)
     inner = variants.groupBy("v", "n", "i").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_c"))
     # replaced: the earliest line with the same deletion at the same position; inserted or removed: a whole line against deletions
