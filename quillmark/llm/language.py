@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,60 +28,71 @@ class Shape:
     centroids: int = 4
     rounds: int = 8
     sample_rows: int = 600
+    sample_total: int = 8_000
     languages: int = 500
     reject_quantile: float = 0.002
     reject_margin: float = 0.35
     seed: int = 3
 
 
-def grams(word: str, shape: Shape) -> list[int]:
-    """Buckets of a word's n-grams of 1 to `longest` characters."""
-    marked = f" {word} "
-    out = [ord(c) * 31 % shape.buckets for c in word]
-    for n in range(2, shape.longest + 1):
-        out += [xxhash.xxh3_64_intdigest(marked[i : i + n]) % shape.buckets for i in range(len(marked) - n + 1)]
-    return out
-
-
-_GRAMS: dict[bytes, tuple[np.ndarray, np.ndarray, bool]] = {}
-
-
-def _word(word: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(buckets, counts, has a letter) of a word."""
-    got = _GRAMS.get(word)
-    if got is None:
-        if len(_GRAMS) > 300_000:
-            _GRAMS.clear()
-        low = word.decode().lower()
-        kept = "".join(c for c in low if c.isalpha())
-        b, n = np.unique(np.array(grams(kept, shape), np.int64), return_counts=True)
-        got = _GRAMS[word] = (b, n.astype(float), any(c.isalpha() for c in low))
-    return got
+_ALPHA: list[np.ndarray] = []  # whether a code point is a letter; made once in a process
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _letters() -> np.ndarray:
+    if not _ALPHA:
+        _ALPHA.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _ALPHA[0]
+
+
+def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, and the row of each: letters, and one blank before and after each word. A blank
+    between rows belongs to the row that it ends; all else is left out."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer((" " + "".join(t + " " for t in low)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    kept = np.flatnonzero(_letters()[points] | blank)
+    blank = blank[kept]
+    again = np.zeros(len(kept), bool)
+    again[1:] = blank[1:] & blank[:-1]
+    kept = kept[~again]
+    return np.where(blank[~again], np.uint32(32), points[kept]), row[np.maximum(kept, 1) - 1]
+
+
+def _tally(points: np.ndarray, row: np.ndarray, rows: int, shape: Shape) -> np.ndarray:
+    """How often each of `rows` rows has n-grams of each bucket; points begin one place before the first row's."""
+    out = np.zeros(rows * shape.buckets)
+    step = 1 << 17
+    for at in range(0, len(points), step):
+        c = points[at : at + step + shape.longest - 1].astype(np.uint64)
+        r = row[at : at + len(c)].astype(np.int64) * shape.buckets
+        blank = c == 32
+        x, ok, hits = c.copy(), ~blank, []  # the gram that ends at a place, and whether its inside has no blank
+        for n in range(1, shape.longest + 1):
+            if n > 1:
+                x = x[:-1] * _ODD + c[n - 1 :]
+                ok = ~(blank[:-1] & blank[1:]) if n == 2 else ok[:-1] & ~blank[n - 2 : len(c) - 1] if n > 3 else ~blank[1:-1]
+            first = 0 if n == 1 else 1  # a gram belongs to the row of its second character
+            use = ok[:step]
+            bucket = ((x[:step][use] * _OTHER) >> np.uint64(40)) % np.uint64(shape.buckets)
+            hits.append(r[first : first + len(use)][use] + bucket.astype(np.int64))
+        out += np.bincount(np.concatenate(hits), minlength=len(out))
+    return out.reshape(rows, shape.buckets)
 
 
 def vectors(column: pa.Array, shape: Shape, idf: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of rows: (a dense matrix of their vectors, whether each has a letter). Without idf: of the counts."""
-    for _, _, flat, offsets in words.blocks(column, 1 << 20):
-        starts, ends, bounds = words.split(flat, offsets)
-        codes, distinct = words.dictionary(flat, starts, ends)
-        rows = len(offsets) - 1
-        own = [_word(w, shape) for w in distinct]
-        row = np.repeat(np.arange(rows), np.diff(bounds))
-        pair, n = np.unique(row * max(len(distinct), 1) + codes, return_counts=True) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pair_row, pair_word = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-        size = np.array([len(x[0]) for x in own], np.int64)
-        at = np.concatenate([[0], np.cumsum(size)]) if own else np.zeros(1, np.int64)
-        buckets = np.concatenate([x[0] for x in own]) if own else np.zeros(0, np.int64)
-        counts = np.concatenate([x[1] for x in own]) if own else np.zeros(0)
-        letters = np.array([x[2] for x in own], bool)
-        has = np.bincount(row, letters[codes], rows) > 0 if len(codes) else np.zeros(rows, bool)
-        for r in range(0, rows, 128):
-            to = min(rows, r + 128)
-            a, b = np.searchsorted(pair_row, [r, to])
-            w = pair_word[a:b]
-            take = np.repeat(at[w] - np.concatenate([[0], np.cumsum(size[w])[:-1]]), size[w]) + np.arange(size[w].sum()) if len(w) else np.zeros(0, np.int64)
-            flat_at = np.repeat((pair_row[a:b] - r) * shape.buckets, size[w]) + buckets[take]
-            m = np.bincount(flat_at, counts[take] * np.repeat(n[a:b], size[w]), (to - r) * shape.buckets).astype(float).reshape(to - r, shape.buckets)
+    for i, j, _, _ in words.blocks(column, 1 << 20):
+        texts = [t or "" for t in column[i:j].to_pylist()]
+        points, row = stream(texts)
+        has = np.bincount(row[points != 32], minlength=len(texts)) > 0
+        for r in range(0, len(texts), 128):
+            to = min(len(texts), r + 128)
+            a, b = np.searchsorted(row, [r, to])
+            a = max(a - 1, 0)
+            own = np.maximum(row[a:b] - r, 0)
+            m = _tally(points[a:b], own, to - r, shape)
             if idf is not None:
                 np.log1p(m, out=m)
                 m *= idf
@@ -129,15 +139,16 @@ def cluster(m: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
-    """Learn from (doc_id, text, lang) rows: about `sample_rows` texts of each language, chosen by a hash of doc_id and
+    """Learn from (doc_id, text, lang) rows: about `sample_rows` texts of each language, or `sample_total` in all, chosen by a hash of doc_id and
     text; rows without lang or text are left out. Of more than `languages` languages the most frequent are learned."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(shape.languages).collect()
     if not sizes:
         return Model(shape, np.zeros(shape.buckets), np.zeros((0, shape.buckets)), np.zeros(0, int), (), np.zeros(0))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(shape.seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, shape.sample_rows / r["count"])))])
-    got = known.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * shape.sample_rows * len(sizes)).toArrow()
+    each = max(1, min(shape.sample_rows, shape.sample_total // len(sizes)))
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
+    got = known.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * each * len(sizes)).toArrow()
     order = sorted(range(got.num_rows), key=[(str(d), t) for d, t in zip(got["doc_id"].to_pylist(), got["text"].to_pylist())].__getitem__)
     got = got.take(pa.array(order, pa.int64()))
     text, lang = got["text"].combine_chunks(), np.array(got["lang"].to_pylist(), object)
@@ -147,7 +158,7 @@ def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
         parts.append(m.astype(np.float32))
     counts = np.concatenate(parts) if parts else np.zeros((0, shape.buckets), np.float32)
     idf = np.log((1 + len(counts)) / (1 + df)) + 1
-    unit = np.log1p(counts) * idf
+    unit = np.log1p(counts) * idf.astype(np.float32)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
     rng, names = np.random.default_rng(shape.seed), tuple(sorted({*lang}))
     centroids, of, farthest = [], [], []

@@ -239,3 +239,21 @@ def test_encoder_equals_the_tokenizer():
     texts = ["it's 's\n\n x", " a  b \t\tc ", "we'r we'v e'll 'tis", "12ab!!''s --'re", "\x1c \x00", "<|endoftext|> hi", "ñ'té é's", "a\r\n\n", "", "n  "]
     for t, got in zip(texts, e.rows(pa.array(texts))):
         assert list(got) == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_language_counts_every_gram_of_words():
+    shape = language.Shape()
+    texts = ["Hello, wOrld 12", None, "", "  ", "a", "Straße\n\ntwo\tthree\xa0four", "123 !!", "x" * 140_000 + " " + "ab " * 20_000, *(f"w{i} zz" for i in range(300))]
+    got = [(m[i], has[i]) for m, has in language.vectors(pa.array(texts), shape, None) for i in range(len(m))]
+    assert len(got) == len(texts)
+    for text, (row, has) in zip(texts, got):
+        want = np.zeros(shape.buckets)
+        for word in re.split("[ \t-\r]+", (text or "").lower()):
+            kept = "".join(c for c in word if c.isalpha())
+            marked = f" {kept} "
+            for gram in [*kept, *(marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1))] if kept else []:
+                x = ord(gram[0])
+                for c in gram[1:]:
+                    x = (x * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                want[(x * 0xD6E8FEB86659FD93 % 2**64 >> 40) % shape.buckets] += 1
+        assert (row == want).all() and has == any(c.isalpha() for c in text or "")
