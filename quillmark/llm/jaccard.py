@@ -51,8 +51,7 @@ def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for _, _, flat, offsets in words.blocks(column):
         flat = words.LOWER[flat]
         starts, ends, bounds = words.split(flat, offsets)
-        codes, distinct = words.dictionary(flat, starts, ends)
-        values = words.hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+        values = words.hashed(flat, starts, ends)
         at, h = words.windows(values, bounds, width)
         cut = np.searchsorted(at, bounds)
         for i in range(len(bounds) - 1):
@@ -171,7 +170,7 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
                 t = t[~hot]
                 held.append((t, np.full(len(t), k)))
                 size += len(t)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield from flush()
                     size = 0
             if hot_t:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quillmark.llm import jaccard, language, linededup, linkgraph, mixing, packing, quality_rules, sharding, subword, topk
+from quillmark.llm import jaccard, language, linededup, linkgraph, mixing, packing, quality_rules, sharding, subword, topk, words
 from quillmark.llm.queries import WEIGHTS, domain_of, tokens_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, rank int, _k string, shard string, ids string"
@@ -257,3 +257,17 @@ def test_language_counts_every_gram_of_words():
                     x = (x * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
                 want[(x * 0xD6E8FEB86659FD93 % 2**64 >> 40) % shape.buckets] += 1
         assert (row == want).all() and has == any(c.isalpha() for c in text or "")
+
+
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(1)
+    made = ["".join(rng.choice(list("abé0"), n)) for n in [*range(1, 40), 255, 256, 257, 1000] for _ in range(40)] + ["a\0", "a\0\0", "a"]
+    text = " ".join(made).encode()
+    flat = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words.split(flat, np.array([0, len(flat)]))
+    by: dict[bytes, set[int]] = {}
+    for h, a, b in zip(words.hashed(flat, starts, ends).tolist(), starts, ends):
+        by.setdefault(text[a:b], set()).add(h)
+    assert set(by) == {w.encode() for w in made} and all(len(x) == 1 for x in by.values())
+    assert len(set().union(*by.values())) == len(by)
+    assert len(words.hashed(flat[:0], starts[:0], ends[:0])) == 0
