@@ -2,7 +2,8 @@
 
 Texts become TF-IDF vectors of hashed character n-grams (within words, with boundary marks), scaled to length 1. Each
 language has several centroids, clustered by cosine from a bounded sample. A text gets the language of the centroid
-nearest by cosine, and is rejected when that is farther than nearly all of the language's own sample.
+nearest by cosine, and is rejected when that is farther than nearly all of the language's own sample of that length: the
+cosine grows with the number of distinct n-grams, so the bar is learned from cuts of the sample, by classes of that number.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class Shape:
     sample_total: int = 8_000
     languages: int = 500
     reject_quantile: float = 0.002
-    reject_margin: float = 0.35
+    reject_margin: float = 0.9
+    cuts: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128)
     seed: int = 3
 
 
@@ -100,6 +102,28 @@ def vectors(column: pa.Array, shape: Shape, idf: np.ndarray | None) -> Iterator[
             yield m, has[r:to]
 
 
+def length_class(m: np.ndarray) -> np.ndarray:
+    """Half octaves of the number of distinct n-grams of each row."""
+    return np.floor(2 * np.log2(np.maximum((m > 0).sum(1), 1))).astype(int)
+
+
+def bars(texts: list[str], centroids: np.ndarray, shape: Shape, idf: np.ndarray) -> np.ndarray:
+    """By length class, the least cosine to the centroids of the language of these texts that isn't rejected: learned from the whole texts and from
+    runs of their words. A class without texts takes the bar of the class below; what is shorter than all of them is not rejected."""
+    split = [t.split() for t in texts]
+    runs = {" ".join(w[at : at + n]) for w in split for n in shape.cuts for at in (0, len(w) // 2)}
+    cos, of = [], []
+    for m, has in vectors(pa.array(sorted(runs | {*texts}), pa.large_string()), shape, idf):
+        cos.append((m @ centroids.T).max(1)[has])
+        of.append(length_class(m)[has])
+    cos, of = np.concatenate(cos), np.concatenate(of)
+    out = np.zeros(2 * shape.buckets.bit_length() + 1)
+    for k in range(len(out)):
+        own = cos[of == k]
+        out[k] = shape.reject_margin * float(np.quantile(own, shape.reject_quantile)) if len(own) else out[max(k - 1, 0)]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     shape: Shape
@@ -107,7 +131,7 @@ class Model:
     centroids: np.ndarray  # one row for each centroid, of length 1
     of: np.ndarray  # its language
     names: tuple[str, ...]
-    farthest: np.ndarray  # by language, the least cosine that isn't rejected
+    farthest: np.ndarray  # by language and length class, the least cosine that isn't rejected
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, score, rejected = [], [], []
@@ -123,7 +147,7 @@ class Model:
             top = np.clip(cos[np.arange(len(m)), best], 0, 1)
             names += [self.names[k] if h else UNDETERMINED for k, h in zip(lang, has)]
             score.append(np.where(has, top, 0.0))
-            rejected.append(~has | (top < self.farthest[lang]))
+            rejected.append(~has | (top < self.farthest[lang, length_class(m)]))
         return names, np.concatenate(score) if score else np.zeros(0), np.concatenate(rejected) if rejected else np.zeros(0, bool)
 
 
@@ -167,7 +191,7 @@ def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
         c = cluster(own, shape.centroids, shape.rounds, rng)
         centroids.append(c)
         of += [k] * len(c)
-        farthest.append(shape.reject_margin * float(np.quantile((own @ c.T).max(1), shape.reject_quantile)))
+        farthest.append(bars(text.filter(pa.array(lang == name)).to_pylist(), c, shape, idf))
     return Model(shape, idf, np.concatenate(centroids), np.array(of), names, np.array(farthest))
 
 
