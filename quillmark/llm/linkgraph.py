@@ -64,29 +64,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, every: int = 4) -> DataFrame:
     """(host, rank): personalised PageRank of (src, dst, n) edges from (host, seed) weights that sum to 1.
 
-    Ranks of hosts without out-links go back to the seeds. Rounds run as joins; a table is written every few rounds."""
+    Ranks of hosts without out-links go back to the seeds: that multiplies all ranks by the same factor, so the mass that links carry is summed
+    and scaled to 1 at the end. Each round moves on what the last one brought, until that is at most `tolerance` of the sum at every host; a host
+    that is reached for the first time has all of its sum from that round, so rounds go on while there are any. They run as joins; a table is
+    written every few rounds. Ranks too small for a double are 0."""
     out = edges.groupBy("src").agg(F.sum("n").alias("_out"))
     flow = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_out")).alias("part")))
     hosts = flow.select(F.col("src").alias("host")).union(flow.select(F.col("dst").alias("host"))).union(seeds.select("host")).distinct()
-    base = materialize(hosts.join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed")))
-    rank = base.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        sent = flow.join(rank.withColumnRenamed("host", "src"), "src").groupBy("dst").agg((F.sum(F.col("rank") * F.col("part"))).alias("got"))
-        rank = base.join(sent.withColumnRenamed("dst", "host"), "host", "left").select("host", (F.col("seed") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("rank"))
-        if (k + 1) % every == 0:
-            rank = materialize(rank)
-    return rank
-
-
-def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
+    mass = hosts.join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("sum")).withColumn("new", F.col("sum"))
+    while True:
+        for _ in range(every):
+            sent = flow.join(mass.where("new > 0").select(F.col("host").alias("src"), "new"), "src").groupBy("dst").agg((F.sum(F.col("new") * F.col("part")) * damping).alias("got"))
+            got = F.coalesce("got", F.lit(0.0))
+            mass = mass.join(sent.withColumnRenamed("dst", "host"), "host", "left").select("host", (F.col("sum") + got).alias("sum"), got.alias("new"))
+        mass = materialize(mass)
+        end = mass.agg(F.max(F.when(F.col("new") > 0, F.col("new") / F.col("sum"))).alias("most"), F.sum("sum").alias("all")).first()
+        if (end["most"] or 0.0) <= tolerance:
+            return mass.select("host", (F.col("sum") / F.lit(end["all"] or 1.0)).alias("rank"))
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.0, tolerance: float = 1e-9) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each page.
 
     A rule's verdict holds where one fits. Else a host is blocked if its distrust is more than `threshold` above its trust:
     hosts with a page that an allow rule takes are trusted seeds, those with a page that a block rule takes are blocked
-    seeds, in proportion to such pages. Without seeds or links nothing but the rules blocks. Null urls, and urls without ://, have an empty host and path and are
+    seeds, in proportion to such pages. Differences within a thousand tolerances of the trust are ties, which don't block. Without seeds or links nothing but the rules blocks. Null urls, and urls without ://, have an empty host and path and are
     allowed; null html has no links; repeated rows are judged each by itself; an empty table gives no rows; other
     columns are neither read nor returned.
     """
@@ -98,9 +103,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
     seeded = counts.join(F.broadcast(total))  # one row
     good = seeded.where("_good > 0").select("host", (F.col("_good") / F.col("_n") / F.col("_g")).alias("seed"))
     bad = seeded.where("_bad > 0").select("host", (F.col("_bad") / F.col("_n") / F.col("_b")).alias("seed"))
-    trust = pagerank(edges, good, rounds, damping).withColumnRenamed("rank", "trust")
+    trust = pagerank(edges, good, damping, tolerance).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = pagerank(back, bad, rounds, damping).withColumnRenamed("rank", "distrust")
+    distrust = pagerank(back, bad, damping, tolerance).withColumnRenamed("rank", "distrust")
     scores = materialize(counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    out = url.join(scores, "host", "left").withColumn("verdict", F.coalesce("_said", F.when(F.coalesce(F.col("distrust") - F.col("trust") > threshold, F.lit(False)), "block").otherwise("allow")))
+    out = url.join(scores, "host", "left").withColumn("verdict", F.coalesce("_said", F.when(F.coalesce(F.col("distrust") - F.col("trust") * (1 + 1000 * tolerance) > threshold, F.lit(False)), "block").otherwise("allow")))
     return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
