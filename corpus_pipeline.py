@@ -31,7 +31,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = jaccard.join(docs)
     alone = F.when(F.col("n_shingles") == 0, F.col("_r"))  # linked to nothing
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_r").alias("r")))
-    stay = groups.groupBy("component_id", alone.alias("_alone")).agg(first.alias("_f")).select(F.col("_f.r").alias("_r"))
+    stay = groups.groupBy("root", alone.alias("_alone")).agg(first.alias("_f")).select(F.col("_f.r").alias("_r"))
     stay = materialize(stay)
     many = materialize(groups.groupBy("_r").count().where("count > 1").select("_r"))  # rows equal in doc_id and text
     rows = docs.withColumn("_r", F.xxhash64("doc_id", "text"))

@@ -403,10 +403,11 @@ def _links(docs: DataFrame, given: DataFrame, reps: DataFrame, vectors: DataFram
 
 
 def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """(_r, doc_id, n_shingles, component_id) for each document: the least doc_id that links reach.
+    """(_r, doc_id, n_shingles, component_id, root) for each document: the least doc_id that links reach, and the component's least set hash.
 
     Null and empty texts, and texts without words, have no n-grams, are linked to nothing, and are their own component.
-    Copies are one set. Documents with a null doc_id take part, but null is a component_id only where no other id is reached. Rows equal in doc_id and text
+    Copies are one set. Documents with a null doc_id take part, but null is a component_id only where no other id is reached,
+    and different components can share a doc_id: root alone tells them apart. It is null for what has no n-grams. Rows equal in doc_id and text
     are the same document, each returned. Very long texts are read whole. An empty table gives no rows. Other columns are neither read nor
     returned. _r is xxhash64(doc_id, text).
     """
@@ -424,6 +425,6 @@ def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     joined = components(links)
     roots = materialize(reps.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").select("k", "_id", F.coalesce("root", "k").alias("root")))
     least = roots.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = materialize(roots.join(least, "root").select("k", "component_id"))
+    named = materialize(roots.join(least, "root").select("k", "component_id", "root"))
     out = known.join(named, "k", "left")
-    return out.select("_r", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("_r", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
