@@ -51,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self._forget()
 
     def _forget(self) -> None:
@@ -79,7 +79,7 @@ class Encoder:
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row's whole text; null is empty."""
         for i, j, flat, offsets in words.blocks(column):
-            odd = self._odd(flat, offsets)
+            odd = self._odd(flat, offsets) | self._has_added(flat, offsets)
             ids, ends = self._block(flat, offsets, odd) if len(flat) else (np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64))
             for k in range(j - i):
                 if odd[k]:
@@ -96,6 +96,20 @@ class Encoder:
         np.cumsum(bad, out=total[1:])
         return np.diff(total[offsets]) > 0
 
+    def _has_added(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with the content of an added token, which the tokenizer takes out before it splits the text: they are encoded as a whole."""
+        out, data = np.zeros(len(offsets) - 1, bool), flat.tobytes()
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(content) <= offsets[k + 1]:
+                    out[k] = True
+                    at = data.find(content, int(offsets[k + 1]))
+                else:
+                    at = data.find(content, at + 1)
+        return out
+
     def _block(self, flat: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.boundaries(flat, offsets)
         for k in np.flatnonzero(odd):  # these rows are encoded elsewhere: one piece, which isn't looked at
