@@ -168,18 +168,18 @@ def _near(s, d) -> DataFrame:
 
 @query("f6_levenshtein", sql(_NEAR + "SELECT s1, t, round(CASE WHEN greatest(length(na), length(nb)) = 0 THEN 1 ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END, 6) AS lev FROM x WHERE length(na) <= 400 AND length(nb) <= 400 AND regexp_matches(na || nb, '^[ -~]*$')", "rec"))
 def _(s, d):
-    return _near(s, d).where("length(na) <= 400 AND length(nb) <= 400 AND concat(na, nb) rlike '^[ -~]*$'").select("s1", "t", F.round(similarity.levenshtein_similarity(F.col("na"), F.col("nb")), 6).alias("lev"))
+    return _near(s, d).select("s1", "t", F.round(similarity.levenshtein_similarity(F.col("na"), F.col("nb")), 6).alias("lev"))
 
 
 @query("f5_jaro_winkler", sql(_NEAR + "SELECT s1, t, round(jaro_winkler_similarity(na, nb), 6) AS jw FROM x WHERE length(na) <= 200 AND length(nb) <= 200 AND regexp_matches(na || nb, '^[ -~]*$')", "rec"))
 def _(s, d):
-    return _near(s, d).where("length(na) <= 200 AND length(nb) <= 200 AND concat(na, nb) rlike '^[ -~]*$'").select("s1", "t", F.round(similarity.scorers()["jaro_winkler"]("na", "nb"), 6).alias("jw"))
+    return _near(s, d).select("s1", "t", F.round(similarity.scorers()["jaro_winkler"]("na", "nb"), 6).alias("jw"))
 
 
 @query("f1_f4_fuzzy_ratios")
 def _(s, d):
     k = similarity.scorers()
-    return _near(s, d).where("length(na) <= 200 AND length(nb) <= 200").select("s1", "t", *(F.round(k[n]("na", "nb"), 6).alias(n) for n in ("ratio", "token_sort", "token_set", "partial")))
+    return _near(s, d).select("s1", "t", *(F.round(k[n]("na", "nb"), 6).alias(n) for n in ("ratio", "token_sort", "token_set", "partial")))
 
 
 @query("f8_f10_flags", sql(_NEAR + "SELECT s1, t, CASE WHEN na <> '' AND nb <> '' THEN (na = nb)::INT END AS eq, round(least(length(na), length(nb)) / greatest(length(na), length(nb), 1), 6) AS len_ratio FROM x", "rec"))
