@@ -11,10 +11,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """documents as records: name is the text before the first full stop, address the 200 characters that follow."""
+    """documents as records: name is the text before the first full stop, address all that follows. SQL["rec"] has only the first 200 characters of the address."""
     return table(spark, d, "documents").selectExpr(
         "CAST(1 + doc_id % 3 AS INT) AS src", "(1 + doc_id % 3) * 10000000000 + doc_id AS key", "concat('S', 1 + doc_id % 3, '-', doc_id) AS entity_id",
-        "substring_index(text, '.', 1) AS business_name", "substring(text, length(substring_index(text, '.', 1)) + 2, 200) AS business_address", "lang AS country",
+        "substring_index(text, '.', 1) AS business_name", "substring(text, length(substring_index(text, '.', 1)) + 2) AS business_address", "lang AS country",
         "lower(trim(text)) AS same", "doc_id",
     )
 
