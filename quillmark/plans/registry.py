@@ -104,8 +104,7 @@ _SQ = r"trim(regexp_replace(%s, '[^a-z0-9]+', ' ', 'g'))"
 
 @query("p7_name_ascii", sql(rf"SELECT key, array_to_string(list_transform(string_split({_SQ % f"replace(translate({_LOW}, '''`', ''), '&', ' and ')"}, ' '), lambda t: CASE t {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in tables.NAME_TOKENS.items())} ELSE t END), ' ') AS name_ascii FROM rec WHERE NOT regexp_matches({_LOW}, '\bm/s\b|\b[ld]''[a-z]|\b[a-z]\.[a-z]\b|pra li')", "rec"))
 def _(s, d):
-    r = records(s, d).where(~text.ascii_lower(F.col("business_name")).rlike(r"\bm/s\b|\b[ld]'[a-z]|\b[a-z]\.[a-z]\b|pra li"))
-    return r.select("key", text.name_ascii(F.col("business_name")).alias("name_ascii"))
+    return records(s, d).select("key", text.name_ascii(F.col("business_name")).alias("name_ascii"))
 
 
 _FORMS = "[" + ", ".join(f"'{k}'" for k in tables.LEGAL_FORMS) + "]"
@@ -135,7 +134,7 @@ def _(s, d):
 
 @query("p13_postal", "SELECT page_id, coalesce(list_extract(regexp_extract_all(x, '(?:^|[^0-9])([0-9]{5,6})(?:[^0-9]|$)', 1), -1), '') AS postal FROM (SELECT page_id, '1 rue x, ' || (10000 + page_id) || ' town' AS x FROM pages)")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", text.postal(F.concat(F.lit("1 rue x, "), (10000 + F.col("page_id")).cast("string"), F.lit(" town"))).alias("postal"))
+    return text.normalize(records(s, d)).select("key", "postal")
 
 
 @query("p25_acronym", sql(f"+w AS (SELECT key, list_filter(string_split({_PLAIN}, ' '), lambda t: t <> '') AS ws FROM rec) SELECT key, CASE WHEN len(ws) >= 2 THEN array_to_string(list_transform(ws, lambda t: t[1]), '') ELSE '' END AS acronym, array_to_string(ws, '') AS compact FROM w", "rec"))
@@ -303,7 +302,9 @@ def _keys(s, d) -> DataFrame:
 
 @query("j5_block_keys", sql(_KEYS + "SELECT key, src, CASE WHEN bn <> '' THEN key_name END AS key_name, CASE WHEN r2 IS NOT NULL THEN key_rare2 END AS key_rare2 FROM kk", "rec", "tok"))
 def _(s, d):
-    return _keys(s, d)
+    r = text.normalize(records(s, d)).withColumn("street_word", text.street_word(F.col("address_core")))
+    rare = tokens.rare_tokens(tokens.token_table(r, "key", "name_core", "country"), "key")
+    return r.join(rare, "key", "left").select("key", "src", *(k.alias(name) for name, k in blocking.block_keys().items()))
 
 
 def _blocked(s, d, name: str, cap: int) -> DataFrame:
@@ -486,13 +487,15 @@ def _(s, d):
     return decide.metrics(_counts(s, d), "country")
 
 
+#: The survey's 14 x 16 x 6 thresholds. The SQL has only the 48 of _GRID.
+_WHOLE_GRID = ([k / 20 for k in range(4, 18)], [k / 20 for k in range(4, 20)], [0.0, 0.4, 0.6, 0.7, 0.8, 0.9])
 _GRID = ([0.5, 0.6, 0.7, 0.8], [0.4, 0.6, 0.75, 0.9], [0.5, 0.7, 0.9])
 
 
 @query("d2_grid_search", sql(f"+gr AS (SELECT * FROM (SELECT unnest({_GRID[0]})::DOUBLE AS t_emit), (SELECT unnest({_GRID[1]})::DOUBLE AS t_add), (SELECT unnest({_GRID[2]})::DOUBLE AS rel)), m AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, t) AS r, max(p) OVER (PARTITION BY s1) AS b FROM prs), e AS (SELECT t_emit, t_add, rel, s1, count(*) AS np, sum(label) AS tp FROM m, gr WHERE b >= t_emit AND (r = 1 OR (p >= t_add AND p >= b * rel)) GROUP BY ALL), n AS (SELECT gr.*, o.s1, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp FROM own o CROSS JOIN gr LEFT JOIN e ON e.s1 = o.s1 AND e.t_emit = gr.t_emit AND e.t_add = gr.t_add AND e.rel = gr.rel LEFT JOIN (SELECT s1, sum(label) AS nt FROM prs GROUP BY s1) y ON y.s1 = o.s1) SELECT t_emit, t_add, rel, round(avg({_F}), 6) AS macro_f05 FROM n GROUP BY t_emit, t_add, rel", "prs", "own"))
 def _(s, d):
     p = pairs(s, d)
-    return decide.grid_search(p.select("s1", "t", "p"), p.where("label = 1").select("s1", "t"), owners(s, d), decide.grid_table(s, *_GRID))
+    return decide.grid_search(p.select("s1", "t", "p"), p.where("label = 1").select("s1", "t"), owners(s, d), decide.grid_table(s, *_WHOLE_GRID))
 
 
 @query("k4_best_thresholds", f"SELECT * FROM ({ORACLES['d2_grid_search']}) ORDER BY macro_f05 DESC, t_emit, t_add, rel LIMIT 5")
