@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one serves if all run in one
+    process on one machine (tests); on a cluster that is an error, as executors can't see each other's disks."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="quillmark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quillmark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -28,6 +31,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's decimal text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
@@ -42,14 +56,16 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: Bits of a bitmap that keeps most rows without partners out of a shuffle. Its size is fixed: it only saves work, and a join follows.
-FILTER_BITS = 1 << 22
+#: Least and most bits of a bitmap that keeps most rows without partners out of a shuffle; a join follows, so it only saves work.
+FILTER_BITS = (1 << 16, 1 << 26)
 
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of which the long column `key` may be among those of ids: all that are, and few others while ids are fewer than
-    FILTER_BITS. Keys are hashes. At most FILTER_BITS / 8 bytes are broadcast."""
-    at = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    """Rows of which the long column `key` may be among those of ids (a table that can be read twice): all that are, and few others while
+    ids are fewer than FILTER_BITS[1]; beyond that, more others. Keys are hashes. The bitmap has eight bits for each id, and
+    at most FILTER_BITS[1] / 8 bytes are broadcast."""
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * ids.count()).bit_length()))
+    at = F.pmod(key, F.lit(size)) + 1
     bits = ids.select(at.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
     own = rows.withColumn("_p", at).withColumns({"_b": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})
     byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_at div 8 AS INT) + 1, 1)), 16, 10) AS BIGINT)")

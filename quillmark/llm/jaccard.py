@@ -1,18 +1,19 @@
-"""N-gram Jaccard join in regions around pivots.
-
-Documents are sets of word n-gram hashes; 1 - Jaccard is a metric. Far documents all stand at distance 1, where no triangle
-inequality tells them apart, so regions are sought only where distances fall below 1: the first words of every set in one
-global order (rare before frequent) hold a common member for any two linked sets, each such member has a pivot (the least set
-that holds it), and a pivot's region is all sets that it was given by. Any two linked sets lie together in a region.
-
-Before texts move, regions are sifted with counts of each set's members in a fixed number of hash buckets: the sum of
-differences between two such vectors is no more than the symmetric difference of the sets, so pairs beyond the bound
-can't be linked, and sets without any pair within it leave the region.
-
-In a region the distance of every set to the pivot is computed. Sets within the threshold are linked to the pivot, so pairs among
-them need no look. The others (the boundary) meet all sets of the region whose distance to the pivot differs by no more than the
-threshold (the triangle inequality's window). Regions too large for a task are split over several, and their boundary
-is copied to all parts in a second round, in blocks. Links go to components; copies were one set from the start.
+"""N-gram Jaccard join in Voronoi cells around pivots.
+
+Documents are sets of word n-gram hashes; 1 - Jaccard is a metric. Most documents stand at distance 1 from each other, where no
+triangle inequality tells them apart, so sets are gathered first where distances fall below 1. The first members of every set in
+one global order (rare before frequent) hold a common member for any two linked sets; all sets that share such a member meet at
+the least of them. There, counts of their members in hash buckets are compared: the sum of differences between two such
+vectors is no more than the symmetric difference of the sets, so pairs beyond the bound can't be linked. The components of
+what is left (galaxies) hold every link, and each of their sets is read and moved once, as packed hashes.
+
+A galaxy is the first region. While a region is too large for a task, by sets or by members, pivots are drawn from it, as many
+as its size asks for. Every set goes to the Voronoi cell of its nearest pivot, and is replicated to each cell whose pivot is
+farther than the nearest one by no more than twice the threshold: by the triangle inequality, two linked sets meet in the home
+cell of either. Sets within the threshold of a pivot are linked to it. Pairs inside a galaxy's core (the part that is linked
+already) need no look, so only cells with a home set outside of the core go on, recursively. Cells that stop shrinking are
+joined in blocks, home sets against all. Small cells are joined within a task, by the same recursion in memory. Links go to
+components; copies were one set from the start.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from quillmark.llm.graph import components
 
 @dataclass(frozen=True)
 class Shape:
-    """Links: 100 * intersection >= percent * union."""
+    """Links: 100 * intersection >= percent * union. room_sets and room: most sets and members of a region that one task joins.
+    All but percent and width choose ways, not results."""
 
     width: int = 5
     percent: int = 80
@@ -44,6 +46,19 @@ class Shape:
     part: int = 512
     block: int = 256
     buckets: int = 256
+    load: int = 8
+    guides: int = 16
+    room_sets: int = 256
+    room: int = 1 << 20
+    pivots: int = 64
+    leaf: int = 24
+    stuck: float = 0.8
+    levels: int = 8
+    name_bits: int = 64
+
+    @property
+    def radius(self) -> float:
+        return 1 - self.percent / 100
 
 
 def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -68,9 +83,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def name_of(s: np.ndarray) -> int | None:
-    """A 64-bit name of a set: one class for all documents that have it; null for the empty set."""
-    return _signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None
+def names_of(s: np.ndarray, shape: Shape) -> tuple[int, int] | tuple[None, None]:
+    """A 128-bit name of a set, in two halves: one class for all documents that have it; nulls for the empty set."""
+    if not len(s):
+        return None, None
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return _signed(x >> 64) >> (64 - shape.name_bits), _signed(x & (1 << 64) - 1)
+
+
+Clashes = dict[tuple[int, int], int]
+
+
+def key_of(s: np.ndarray, shape: Shape, clashes: Clashes) -> int | None:
+    """The first half of a set's name, or what stands for it where several sets share that half."""
+    name = names_of(s, shape)
+    return clashes.get(name, name[0])
 
 
 def prefix(n: int, percent: int) -> int:
@@ -78,32 +105,56 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def resolution(n: int, shape: Shape) -> int:
+    """Into how many buckets the members of a set of n are counted: at most `load` of them in each, on average."""
+    most = shape.buckets
+    while most * shape.load < n:
+        most *= 2
+    return most
+
+
+def _vector(s: np.ndarray, shape: Shape) -> bytes:
+    size = resolution(len(s), shape)
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % size, minlength=size), 255).astype(np.uint8).tobytes()
+
+
 def _read(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(_r, doc_id, n, k) for each document; and (slice, counts) with how often each bucket's n-grams occur in a task."""
+    """(_r, _q, doc_id, n, k, k2, v) for each document; and (slice, counts) with how often each bucket's n-grams occur in a task."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ["_r", "_q", "doc_id", "n", "k", "k2", "v", "slice", "counts"]
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    types = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << shape.count_bits, np.uint16)
         mask, size = np.uint64((1 << shape.count_bits) - 1), 1 << shape.slice_bits
         for b in batches:
-            n, k, v = [], [], []
-            for s in sets(b.column(2), shape.width):
-                v.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % shape.buckets, minlength=shape.buckets), 255).astype(np.uint8).tobytes())
+            own = []
+            for s in sets(b.column(3), shape.width):
                 at = (s & mask).astype(np.int64)
                 counts[at] += counts[at] < 60_000
-                n.append(len(s))
-                k.append(name_of(s))
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(v, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+                own.append((len(s), *names_of(s, shape), _vector(s, shape)))
+            columns = [pa.array(x, t) for x, t in zip(zip(*own), types[3:7])] if own else [pa.nulls(0, t) for t in types[3:7]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary())], names)
         low, pack = np.minimum(counts, 255).astype(np.uint8).reshape(-1, size), zstandard.ZstdCompressor(1)
         some = [i for i in range(len(low)) if low[i].any()]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pack.compress(low[i].tobytes()) for i in some], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types[:7]), pa.array(some, pa.int32()), pa.array([pack.compress(low[i].tobytes()) for i in some], pa.binary())], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return docs.select(*_row(), "doc_id", "text").mapInArrow(run, f"_r long, _q long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, k2 long, v binary, slice int, counts binary")
 
-    names = ["_r", "doc_id", "n", "k", "v", "slice", "counts"]
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.select(F.xxhash64("doc_id", "text").alias("_r"), "doc_id", "text").mapInArrow(run, f"_r long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, v binary, slice int, counts binary")
+
+def _row() -> list:
+    """Two hashes that name a row's content."""
+    return [F.xxhash64("doc_id", "text").alias("_r"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_q")]
+
+
+def _clashes(read: DataFrame) -> Clashes:
+    """Other keys for sets that share the first half of their names: about n * n / 2 ** 65 of n sets, so a few dozen of 3e10."""
+    shared = read.where("k is not null").groupBy("k").agg(F.min("k2").alias("_a"), F.max("k2").alias("_z")).where("_a <> _z").select("k")
+    rows = read.select("k", "k2").join(shared, "k").distinct().collect()
+    return {(r["k"], r["k2"]): _signed(xxhash.xxh3_64_intdigest(f"{r['k']}:{r['k2']}")) for r in rows}
 
 
 def _ranks(counts: DataFrame, shape: Shape) -> np.ndarray:
@@ -134,8 +185,8 @@ def _first(s: np.ndarray, ranks: np.ndarray, shape: Shape) -> tuple[np.ndarray,
     return s[order], rank[order]
 
 
-def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
-    """(k, p): each set's pivots, by the members of its prefix. Members of high rank, which a fixed share of all sets may
+def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -> DataFrame:
+    """(k, p): each set's meeting points, by the members of its prefix. Members of high rank, which a fixed share of all sets may
     hold, go as rows to aggregations and joins that can be split; all others are packed by hash."""
 
     def run(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[pa.RecordBatch]:
@@ -156,7 +207,7 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
         for b in batches:
             hot_t, hot_k, seen = [], [], set()
             for s in sets(b.column(0), shape.width):
-                k = name_of(s)
+                k = key_of(s, shape, clashes)
                 if k is None or k in seen:
                     continue
                 seen.add(k)
@@ -201,230 +252,364 @@ def _given(docs: DataFrame, ranks, shape: Shape, parts: int) -> DataFrame:
     texts = docs.select("text").where("text is not null")
     packed = texts.mapInArrow(lambda batches: run(batches, False), "part int, packed binary").repartition(parts, "part").select("packed").mapInArrow(star, "k long, p long")
     hot = materialize(texts.mapInArrow(lambda batches: run(batches, True), "t long, k long").distinct())
-    pivots = materialize(hot.groupBy("t").agg(F.min("k").alias("p"), F.max("k").alias("_z")).where("p <> _z").select("t", "p"))
-    met = hot.join(pivots, "t").where("k <> p").select("k", "p")
+    least = materialize(hot.groupBy("t").agg(F.min("k").alias("p"), F.max("k").alias("_z")).where("p <> _z").select("t", "p"))
+    met = hot.join(least, "t").where("k <> p").select("k", "p")
     return packed.unionByName(met).distinct()
 
 
-def _overlaps(tokens: np.ndarray, owner: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
-    """How many members of s each of n sets holds; tokens: of all sets, sorted, with their owners."""
-    a, b = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-    size = b - a
-    take = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    return np.bincount(owner[take], minlength=n)
+class Groups:
+    """Which of n things are linked, directly or not."""
 
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-def _linked(common: np.ndarray, n: np.ndarray, m: int, percent: int) -> np.ndarray:
-    return (common * 100 >= percent * (n + m - common)) & (common > 0)
-
-
-def region(pivot: tuple[int, np.ndarray] | None, members: list[tuple[int, np.ndarray]], boundary: list[tuple[int, np.ndarray]] | None, shape: Shape) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links in a region, as far as they join what isn't joined yet; and its boundary.
-
-    With boundary None, the members that aren't linked to the pivot are the boundary and meet all members in the window. With a boundary given,
-    its sets meet the members."""
-    names = np.array([k for k, _ in members], np.int64)
-    n = np.array([len(s) for _, s in members])
-    tokens = np.concatenate([s for _, s in members])
-    owner = np.repeat(np.arange(len(members)), n)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    links: list[tuple[int, int]] = []
-    far = np.zeros(len(members))
-    if pivot is not None:
-        p, ps = pivot
-        common = _overlaps(tokens, owner, ps, len(members))
-        far = 1 - common / (n + len(ps) - common)
-        near = _linked(common, n, len(ps), shape.percent)
-        links += [(int(k), p) for k in names[near]]
-        if boundary is None:
-            boundary = [members[i] for i in np.flatnonzero(~near)]
-            apart = far[~near]
-    rest = [k for k, _ in boundary or []]
-    group = {int(k): int(k) for k in names}
-
-    def root(x: int) -> int:
-        while group.setdefault(x, x) != x:
-            group[x] = group[group[x]]
-            x = group[x]
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
-    for a, b in links:
-        group[root(a)] = root(b)
-    r = 1 - shape.percent / 100
-    for i, (k, s) in enumerate(boundary or []):
-        hit = _linked(_overlaps(tokens, owner, s, len(members)), n, len(s), shape.percent) & (names != k)
-        if pivot is not None:
-            hit &= np.abs(far - apart[i]) <= r + 1e-9
-        for other in names[hit]:
-            a, b = root(int(k)), root(int(other))
-            if a != b:
-                group[a] = b
-                links.append((int(k), int(other)))
-    return links, rest
-
-
-ALL, PIVOT, BORDER = 0, 1, 2  # what meets in a part: all members each other; members the pivot; boundary sets the members
+    def join(self, a: int, b: int) -> bool:
+        """Whether that linked what wasn't."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows) -> Iterator[tuple[tuple, list]]:
-    """((p, part, mode), rows) of runs of equal keys; rows(batch) gives the row values after the key."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of runs of equal keys, the first columns; a row has the other columns."""
     now, held = None, []
     for b in batches:
-        for key, row in zip(zip(*(b.column(i).to_pylist() for i in range(3))), rows(b)):
-            if key != now:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:keys] != now:
                 if held:
                     yield now, held
-                now, held = key, []
-            held.append(row)
+                now, held = row[:keys], []
+            held.append(row[keys:])
     if held:
         yield now, held
 
 
-def _sift(rows: DataFrame, shape: Shape) -> DataFrame:
-    """From rows (p, part, mode, role, k, n, v) those that may have a link in their part; PIVOT parts give all members, with
-    `maybe` false for those that can't be linked to the pivot. Roles: 0 the pivot, 1 the boundary, 2 members."""
-    bound = (100 - shape.percent) / (100 + shape.percent)
-
-    def hits(v: np.ndarray, n: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
-        """Which rows of v (sizes n, ascending) may be linked to w (size m)."""
-        a, b = np.searchsorted(n, [m * shape.percent // 100, -(-m * 100 // shape.percent) + 1])
-        out = np.zeros(len(n), bool)
-        out[a:b] = np.abs(v[a:b] - w).sum(1) <= (n[a:b] + m) * bound
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names)
+        held.clear()
+        return b
+
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield out()
+    if held:
+        yield out()
+
+
+ALL, GUIDES, BORDER = 0, 1, 2  # what meets in a part: all sets each other; sets the guides; border sets the members
+
+
+class Vectors:
+    """Bucket counts of sets at every resolution that is asked for, to tell which sets can't be linked."""
+
+    def __init__(self, n: list[int], v: list[bytes], shape: Shape):
+        self.n, self.shape = np.array(n, np.int64), shape
+        self.v = [np.frombuffer(x, np.uint8) for x in v]
+        self.size = np.array([len(x) for x in self.v])
+        self.folded: dict[int, np.ndarray] = {}
+        self.bound = (100 - shape.percent) / (100 + shape.percent)
+
+    def at(self, size: int) -> np.ndarray:
+        """All vectors in `size` buckets; those of fewer are left at 0, as they are compared in fewer. Clipped anew: a bucket that was clipped still is."""
+        if size not in self.folded:
+            out = np.zeros((len(self.v), size), np.int16)
+            for i, x in enumerate(self.v):
+                if len(x) >= size:
+                    out[i] = np.minimum(x.reshape(-1, size).sum(0, dtype=np.int64), 255)
+            self.folded[size] = out
+        return self.folded[size]
+
+    def hits(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Which of the sets `among` may be linked to set i."""
+        n, m, p = self.n[among], int(self.n[i]), self.shape.percent
+        out = (n * 100 >= m * p) & (m * 100 >= n * p)
+        near = among[out]
+        hit = np.zeros(len(near), bool)
+        least = np.minimum(self.size[near], self.size[i])
+        for size in np.unique(least):
+            own, v = least == size, self.at(int(size))
+            hit[own] = np.abs(v[near[own]] - v[i]).sum(1) <= (self.n[near[own]] + m) * self.bound + 1e-9
+        out[out] = hit
         return out
 
+
+def _sift(rows: DataFrame, shape: Shape) -> DataFrame:
+    """(p, a, b): of rows (p, part, mode, role, k, n, v), pairs that may be linked, as far as they join what isn't joined yet;
+    b is null for sets of a GUIDES part that no guide may be linked to. Roles: 0 guides, 1 the border, 2 members."""
+
+    def part(mode: int, held: list[tuple]) -> Iterator[tuple]:
+        held.sort(key=lambda r: (r[2], r[1]))
+        role, k = np.array([r[0] for r in held]), [r[1] for r in held]
+        vectors, groups, every = Vectors([r[2] for r in held], [r[3] for r in held], shape), Groups(len(held)), np.arange(len(held))
+
+        def joined(i: int, among: np.ndarray) -> Iterator[tuple]:
+            yield from ((k[i], k[j]) for j in among[vectors.hits(i, among)] if k[i] != k[j] and groups.join(i, int(j)))
+
+        if mode == ALL:
+            for i in every:
+                yield from joined(int(i), every[i + 1 :])
+        elif mode == BORDER:
+            members = every[role == 2]
+            for i in every[role == 1]:
+                yield from joined(int(i), members)
+        else:
+            guides, left = every[role == 0], every[role == 2]
+            yield from ((k[guides[0]], k[g]) for g in guides[1:])  # one galaxy
+            for g in guides:
+                hit = vectors.hits(int(g), left)
+                yield from ((k[j], k[g]) for j in left[hit] if k[j] != k[g])
+                left = left[~hit]
+            yield from ((k[j], None) for j in left)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            c = list(zip(*out))
-            out.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["p", "part", "mode", "role", "k", "maybe"])
-
-        def values(b: pa.RecordBatch):
-            return zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist())
-
-        for key, held in _grouped(batches, values):
-            held.sort(key=lambda r: r[2])
-            role, n = np.array([r[0] for r in held]), np.array([r[2] for r in held], np.int64)
-            v = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1).astype(np.int16)
-            keep = np.zeros(len(held), bool)
-            if key[2] == ALL:
-                for i in range(len(held) - 1):
-                    h = hits(v[i + 1 :], n[i + 1 :], v[i], int(n[i]))
-                    keep[i + 1 :] |= h
-                    keep[i] |= h.any()
-                out += [(*key, held[i][0], held[i][1], True) for i in np.flatnonzero(keep)]
-            elif key[2] == PIVOT:
-                at = np.flatnonzero(role == 0)
-                if len(at):
-                    keep = hits(v, n, v[at[0]], int(n[at[0]]))
-                out += [(*key, held[i][0], held[i][1], bool(keep[i])) for i in range(len(held))]
-            else:
-                member = np.flatnonzero(role == 2)
-                for i in np.flatnonzero(role == 1):
-                    h = hits(v[member], n[member], v[i], int(n[i])) & (np.array([held[j][1] for j in member]) != held[i][1])
-                    keep[member] |= h
-                    keep[i] |= h.any()
-                out += [(*key, held[i][0], held[i][1], True) for i in np.flatnonzero(keep)]
-            if len(out) > 10_000:
-                yield flush()
-        if out:
-            yield flush()
+        found = ((p, a, b) for (p, _, mode), held in _grouped(batches, 3) for a, b in part(mode, held))
+        yield from _batches(found, ["p", "a", "b"], [pa.int64()] * 3)
+
+    return _dealt(rows, "p", "part").select("p", "part", "mode", "role", "k", "n", "v").mapInArrow(run, "p long, a long, b long")
 
-    return _dealt(rows).select("p", "part", "mode", "role", "k", "n", "v").mapInArrow(run, "p long, part int, mode int, role int, k long, maybe boolean")
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Small groups brought together: dealt by a hash, each in one run; roles, if any, in their order."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *(c for c in ("mode", "role") if c in rows.columns))
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Parts of regions brought together: many small groups, dealt by a hash, each in one run."""
-    return rows.repartition("p", "part").sortWithinPartitions("p", "part", "mode", "role", "k")
 
+def _may_link(given: DataFrame, vectors: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b): sets that may be linked, so that any two linked sets are in one component.
 
-def _compare(rows: DataFrame, shape: Shape) -> DataFrame:
-    """(p, a, b) links of rows (p, part, mode, role, k, text); PIVOT parts also give (p, a, null) for members without a link to
-    the pivot."""
+    Lists of more than `part` sets are split: each part meets the list's guides (its first sets by a hash), and only sets that no guide
+    may be linked to (the border) meet all others, in blocks."""
+    sizes = given.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    sizes = materialize(sizes.select("p", F.ceil((F.col("m") + 1) / shape.part).cast("long").alias("parts"), "m"))
+    placed = given.unionByName(sizes.selectExpr("p AS k", "p")).join(sizes, "p").select("p", F.expr("pmod(xxhash64(k), parts)").alias("part"), "k", "parts", "m")
+    mode = F.when(F.col("parts") > 1, GUIDES).otherwise(ALL).alias("mode")
+    # a few times as many as there are guides, of which the first stay
+    likely = placed.where(f"parts > 1 and pmod(xxhash64(k, 7L), 1000000007L) <= 4.0D * {shape.guides} / m * 1000000007L").groupBy("p", "parts").agg(F.expr(f"slice(sort_array(collect_set(struct(xxhash64(k, 7L) AS h, k AS k))), 1, {shape.guides})").alias("g"))
+    guides = likely.select("p", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(GUIDES).alias("mode"), F.lit(0).alias("role"), F.explode("g.k").alias("k"))
+    met = materialize(_sift(placed.select("p", "part", mode, F.lit(2).alias("role"), "k").unionByName(guides).join(vectors, "k"), shape))
+    edges = met.where("b is not null").select("a", "b")
+    border = met.where("b is null").select("p", F.col("a").alias("k"))
+    blocks = materialize(border.groupBy("p").agg(F.count(F.lit(1)).alias("c")).join(sizes, "p").select("p", "parts", F.ceil(F.col("c") / shape.block).cast("long").alias("blocks")))
+    if blocks.isEmpty():
+        return edges
+    number = F.expr("part * blocks + block").alias("part")
+    inside = placed.drop("parts", "m").join(blocks, "p").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(2).alias("role"), "k")
+    border = border.join(blocks, "p").withColumn("block", F.expr("pmod(xxhash64(k), blocks)")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(1).alias("role"), "k")
+    return edges.unionByName(materialize(_sift(inside.unionByName(border).join(vectors, "k"), shape)).select("a", "b"))
+
+
+def _packed(docs: DataFrame, wanted: DataFrame, reps: DataFrame, clashes: Clashes, shape: Shape) -> DataFrame:
+    """(k, n, s): the wanted sets (k), each once, as packed hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        for b in batches:
+            yield from _batches(((key_of(s, shape, clashes), len(s), s.tobytes()) for s in sets(b.column(0), shape.width)), ["k", "n", "s"], [pa.int64(), pa.int64(), pa.binary()], 2_000)
 
-        def flush() -> pa.RecordBatch:
-            c = list(zip(*out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], ["p", "a", "b"])
+    rows = wanted.join(reps.select("k", "_r"), "k").select("_r")
+    some = maybe_among(docs.select(F.xxhash64("doc_id", "text").alias("_r"), "text"), "_r", materialize(rows)).select("text")
+    return some.mapInArrow(run, "k long, n long, s binary").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
-        for key, held in _grouped(batches, lambda b: zip(b.column(3).to_pylist(), b.column(4).to_pylist(), sets(b.column(5), shape.width))):
-            if key[2] == BORDER:
-                members, border = [(k, s) for r, k, s in held if r == 2], [(k, s) for r, k, s in held if r == 1]
-                links = region(None, members, border, shape)[0] if members and border else []
-            else:
-                pivot, members = held[0][1:], [(k, s) for _, k, s in held[1:]]  # the pivot sorts first; else any other set serves
-                links = region(pivot, members, [] if key[2] == PIVOT else None, shape)[0] if members else []
-                if key[2] == PIVOT:
-                    joined = {a for a, _ in links}
-                    out += [(key[0], k, None) for k, _ in members if k not in joined]
-            out += [(key[0], a, b) for a, b in links]
-            if len(out) > 10_000:
-                yield flush()
-        if out:
-            yield flush()
 
-    return _dealt(rows).select("p", "part", "mode", "role", "k", "text").mapInArrow(run, "p long, a long, b long")
+class Region:
+    """Sets by position, with all their members in one sorted list."""
 
+    def __init__(self, held: list[np.ndarray]):
+        self.held, self.n = held, np.array([len(s) for s in held])
+        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), self.n)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
 
-def _links(docs: DataFrame, given: DataFrame, reps: DataFrame, vectors: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b): links between sets that join what is linked, from their pivots (k, p)."""
-    texts = docs.withColumn("_r", F.xxhash64("doc_id", "text")).select("_r", "text")
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """How many members of s each set holds."""
+        a, b = np.searchsorted(self.tokens, s, "left"), np.searchsorted(self.tokens, s, "right")
+        size = b - a
+        take = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(self.owner[take], minlength=len(self.n))
 
-    def with_text(asked: DataFrame) -> DataFrame:
-        by = materialize(asked.join(reps, "k").select("_r", "p", "part", "mode", "role", "k"))
-        return maybe_among(texts, "_r", by).join(by, "_r").select("p", "part", "mode", "role", "k", "text")
+    def compare(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all sets to s, and which are linked to it."""
+        common = self.common(s)
+        union = self.n + len(s) - common
+        return 1 - common / union, (common * 100 >= percent * union) & (common > 0)
 
-    def sifted(asked: DataFrame) -> DataFrame:
-        return materialize(_sift(asked.join(vectors, "k"), shape))
 
-    sizes = given.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
-    sizes = materialize(sizes.select("p", F.ceil((F.col("m") + 1) / shape.part).cast("int").alias("parts")))
-    placed = materialize(given.join(sizes, "p").select("p", F.expr("CAST(pmod(xxhash64(k), parts) AS INT)").alias("part"), "k", "parts"))
-    mode = F.when(F.col("parts") > 1, PIVOT).otherwise(ALL).alias("mode")
-    pivots = sizes.select("p", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), mode, F.lit(0).alias("role"), F.col("p").alias("k"))
-    met = sifted(placed.select("p", "part", mode, F.lit(2).alias("role"), "k").unionByName(pivots))
-    found = materialize(_compare(with_text(met.where("maybe").drop("maybe")), shape))
-    links = found.where("b is not null").select("a", "b")
-    rest = found.where("b is null").select("p", F.col("a").alias("k")).unionByName(met.where(f"mode = {PIVOT} and role = 2 and not maybe").select("p", "k"))
-    counts = materialize(rest.groupBy("p").agg(F.count(F.lit(1)).alias("c")).join(sizes, "p").select("p", "parts", F.ceil(F.col("c") / shape.block).cast("int").alias("blocks")))
-    if counts.isEmpty():
+def cell(held: list[np.ndarray], home: np.ndarray, shape: Shape, groups: Groups | None = None, at: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between home sets and any sets of a region, as positions, as far as they join what isn't joined yet; by Voronoi cells
+    while those shrink. `at`: positions of these sets in what groups holds."""
+    groups = groups or Groups(len(held))
+    at = np.arange(len(held)) if at is None else at
+    links: list[tuple[int, int]] = []
+    region = Region(held)
+
+    def join(i: int, linked: np.ndarray) -> None:
+        links.extend((int(at[i]), int(at[j])) for j in np.flatnonzero(linked) if i != j and groups.join(int(at[i]), int(at[j])))
+
+    def done(members: np.ndarray) -> bool:
+        first = groups.root(int(at[members[0]]))
+        return all(groups.root(int(at[j])) == first for j in members)
+
+    every = np.arange(len(held))
+    if len(held) <= shape.leaf:
+        for i in np.flatnonzero(home):
+            if not done(every):
+                join(i, region.compare(held[i], shape.percent)[1])
         return links
-    number = F.expr("part * blocks + block").cast("int").alias("part")
-    inside = placed.drop("parts").join(counts, "p").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(2).alias("role"), "k")
-    border = rest.join(counts, "p").withColumn("block", F.expr("CAST(pmod(xxhash64(k), blocks) AS INT)")).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("p", number, F.lit(BORDER).alias("mode"), F.lit(1).alias("role"), "k")
-    again = sifted(inside.unionByName(border)).drop("maybe")
-    return links.unionByName(materialize(_compare(with_text(again), shape).select("a", "b")))
+    count = min(shape.pivots, max(2, 2 * len(held) // shape.leaf))
+    pivots = np.unique(np.linspace(0, len(held) - 1, count).astype(int))
+    far = np.empty((len(held), len(pivots)))
+    for c, i in enumerate(pivots):
+        far[:, c], linked = region.compare(held[i], shape.percent)
+        join(i, linked)
+    nearest, least = far.argmin(1), far.min(1)
+    for c in range(len(pivots)):
+        own = home & (nearest == c)
+        members = np.flatnonzero(far[:, c] <= least + 2 * shape.radius + 1e-9)
+        if not own.any() or done(members):
+            continue
+        if len(members) <= shape.stuck * len(held):
+            links += cell([held[j] for j in members], own[members], shape, groups, at[members])
+            continue
+        for i in np.flatnonzero(own):
+            if not done(members):
+                join(i, region.compare(held[i], shape.percent)[1])
+    return links
+
+
+def _joined(rows: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b): links of small regions, rows (g, block, k, home, s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[tuple[int, int]]:
+            for _, held in _grouped(batches, 2):
+                unique = {k: (home, s) for k, home, s in sorted(held, key=lambda r: r[1])}  # a home set that is met again as any set
+                names = sorted(unique)
+                for a, b in cell([np.frombuffer(unique[k][1], np.uint64) for k in names], np.array([unique[k][0] for k in names]), shape):
+                    yield names[a], names[b]
+
+        yield from _batches(links(), ["a", "b"], [pa.int64(), pa.int64()])
+
+    return _dealt(rows, "g", "block").select("g", "block", "k", "home", "s").mapInArrow(run, "a long, b long")
+
+
+def _nearest(rows: DataFrame, shape: Shape) -> DataFrame:
+    """(g, k, p, home, linked): the cells of each set of rows (g, part, role, k, s), by its distances to the pivots (role 0): the
+    nearest one's, and those in the window. Of the sets (role 2) one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            now, pivots, region = None, [], None
+            for b in batches:
+                for g, part, role, k, s in zip(*(c.to_pylist() for c in b.columns)):
+                    if (g, part) != now:
+                        now, pivots, region = (g, part), [], None
+                    s = np.frombuffer(s, np.uint64)
+                    if role == 0:
+                        pivots.append((k, s))
+                        continue
+                    region = region or Region([x for _, x in pivots])
+                    far, linked = region.compare(s, shape.percent)
+                    nearest = int(far.argmin())
+                    for c in np.flatnonzero((far <= far[nearest] + 2 * shape.radius + 1e-9) | linked):
+                        yield g, k, pivots[c][0], c == nearest, bool(linked[c])
+
+        yield from _batches(((g, k, p, bool(h), x) for g, k, p, h, x in found()), ["g", "k", "p", "home", "linked"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()])
+
+    return _dealt(rows, "g", "part").select("g", "part", "role", "k", "s").mapInArrow(run, "g long, k long, p long, home boolean, linked boolean")
+
+
+def _measured(cells: DataFrame, shape: Shape) -> DataFrame:
+    """(g, m, size, parts) of cells (g, k, n, home, top)."""
+    room = F.greatest(F.ceil(F.col("size") / shape.room), F.ceil(F.col("m") / shape.room_sets)).cast("long")
+    return cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.max("home").alias("_h")).where("_h").select("g", "m", "size", room.alias("parts"))
+
+
+def _links(galaxies: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame:
+    """(a, b): links between the sets of each galaxy (g, k) that join what is linked."""
+    cells = galaxies.join(packed.select("k", "n"), "k").select("g", "k", "n", F.lit(True).alias("home"), F.col("g").alias("top"))
+    links, seeds, level = None, None, 0
+    small = lambda rows: materialize(_joined(rows.join(packed.select("k", "s"), "k"), shape))
+    add = lambda x: x if links is None else links.unionByName(x)
+    before = None  # size of the region that a cell comes from
+    while True:
+        sizes = _measured(cells, shape)
+        if before is not None:
+            sizes = sizes.join(cells.select("g", "up").distinct(), "g").join(before, "up")
+        else:
+            sizes = sizes.withColumn("_before", F.lit(None).cast("long"))
+        sizes = materialize(sizes.select("g", "m", "size", "parts", (F.coalesce(F.col("m") > shape.stuck * F.col("_before"), F.lit(False)) | F.lit(level >= shape.levels)).alias("stuck")))
+        fit = cells.join(sizes.where("parts = 1").select("g"), "g", "left_semi").select("g", F.lit(0).cast("long").alias("block"), "k", "home")
+        links = add(small(fit))
+        stuck = sizes.where("parts > 1 and stuck").select("g", "parts")
+        if not stuck.isEmpty():  # home sets in blocks against all sets in blocks
+            rows = cells.join(stuck, "g").withColumn("_own", F.expr("pmod(xxhash64(k), parts)"))
+            every = rows.withColumn("_b", F.explode(F.expr("sequence(0L, parts - 1)"))).select("g", F.expr("_own * parts + _b").alias("block"), "k", F.lit(False).alias("home"))
+            homes = rows.where("home").withColumn("_b", F.explode(F.expr("sequence(0L, parts - 1)"))).select("g", F.expr("_b * parts + _own").alias("block"), "k", "home")
+            links = add(small(every.unionByName(homes)))
+        large = materialize(sizes.where("parts > 1 and not stuck").select("g", "m", "parts"))
+        if large.isEmpty():
+            return links
+        rows = materialize(cells.join(large, "g").select("g", "k", "n", "home", "top", "m", "parts"))
+        count = F.least(F.lit(shape.pivots), F.greatest(F.lit(2), F.col("parts") * 4)).cast("int")
+        order = f"xxhash64(k, {level}L)"
+        first = f"struct({order} AS h, k AS k)"
+        some = f"pmod({order}, 1000000007L) <= 4.0D * least({shape.pivots}, greatest(2, parts * 4)) / m * 1000000007L"
+        likely = rows.groupBy("g", "parts").agg(F.expr(f"sort_array(array_union(collect_set(CASE WHEN {some} THEN {first} END), array(min({first}))))").alias("_all"))  # a few times as many as are drawn
+        drawn = likely.select("g", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("role"), F.explode(F.slice("_all.k", F.lit(1), count)).alias("k"))
+        dealt = rows.select("g", F.expr("pmod(xxhash64(k), parts)").alias("part"), F.lit(2).alias("role"), "k").unionByName(drawn)
+        near = materialize(_nearest(dealt.join(packed.select("k", "s"), "k"), shape))
+        links = add(materialize(near.where("linked and k <> p").selectExpr("k AS a", "p AS b").distinct()))
+        joined = materialize(components(links))
+        rows = rows.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("_of", F.coalesce("root", "k")).drop("root")
+        if seeds is None:  # each galaxy's core: what its largest part then grows to
+            parts = rows.groupBy("top", "_of").agg(F.count(F.lit(1)).alias("c"))
+            seeds = materialize(parts.groupBy("top").agg(F.max_by("_of", F.struct("c", "_of")).alias("seed")))
+        core = seeds.join(joined.withColumnsRenamed({"node": "seed", "root": "_core"}), "seed", "left").select("top", F.coalesce("_core", "seed").alias("_core"))
+        rows = rows.join(core, "top").withColumn("home", F.col("home") & (F.col("_of") != F.col("_core")))
+        # a set whose distance is 1 to all pivots is in every window: its first row with the least distance is its home
+        placed = near.select("g", "k", "p", F.col("home").alias("_nearest")).join(rows.select("g", "k", "n", "home", "top"), ["g", "k"])
+        cells = materialize(placed.select(F.xxhash64("g", "p").alias("g"), "k", "n", (F.col("home") & F.col("_nearest")).alias("home"), "top", F.col("g").alias("up")))
+        before = large.select(F.col("g").alias("up"), F.col("m").alias("_before"))
+        level += 1
 
 
 def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """(_r, doc_id, n_shingles, component_id, root) for each document: the least doc_id that links reach, and the component's least set hash.
+    """(_r, _q, doc_id, n_shingles, component_id, root) for each document: the least doc_id that links reach, and the component's least set key.
 
     Null and empty texts, and texts without words, have no n-grams, are linked to nothing, and are their own component.
     Copies are one set. Documents with a null doc_id take part, but null is a component_id only where no other id is reached,
     and different components can share a doc_id: root alone tells them apart. It is null for what has no n-grams. Rows equal in doc_id and text
     are the same document, each returned. Very long texts are read whole. An empty table gives no rows. Other columns are neither read nor
-    returned. _r is xxhash64(doc_id, text).
+    returned. _r and _q are hashes of doc_id and text. Sets are named by 128 bits, n-grams by 64.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     read = materialize(_read(docs, shape))
-    known = read.where("slice is null").select("_r", "doc_id", "n", "k", "v")
+    known = read.where("slice is null").select("_r", "_q", "doc_id", "n", "k", "k2", "v")
+    clashes = _clashes(known)
+    if clashes:
+        others = spark.createDataFrame([(*x, y) for x, y in clashes.items()], "k long, k2 long, _other long")
+        known = known.join(F.broadcast(others), ["k", "k2"], "left").withColumn("k", F.coalesce("_other", "k")).drop("_other")  # a few dozen rows at most
     ranks = spark.sparkContext.broadcast(_ranks(read, shape))  # 2 ** count_bits bytes, whatever the input
-    reps = known.where("k is not null").groupBy("k").agg(F.min("_r").alias("_r"), F.min("doc_id").alias("_id"))
-    given = materialize(_given(docs, ranks, shape, parts))
-    reps = materialize(reps)
-    vectors = materialize(known.select("_r", "n", "v").join(reps, "_r").groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v")))
-    links = _links(docs, given, reps, vectors, shape)
-    joined = components(links)
+    given = materialize(_given(docs, ranks, clashes, shape, parts))
+    reps = materialize(known.where("k is not null").groupBy("k").agg(F.min("_r").alias("_r"), F.min("doc_id").alias("_id")))
+    met = materialize(given.select("k").unionByName(given.selectExpr("p AS k")).distinct())
+    vectors = materialize(maybe_among(known.select("k", "n", "v").where("k is not null"), "k", met).join(met, "k", "left_semi").groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v")))
+    galaxies = materialize(components(_may_link(given, vectors, shape)).select(F.col("root").alias("g"), F.col("node").alias("k")))
+    packed = materialize(_packed(docs, galaxies.select("k"), reps, clashes, shape))
+    joined = components(_links(galaxies, packed, shape))
     roots = materialize(reps.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").select("k", "_id", F.coalesce("root", "k").alias("root")))
     least = roots.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = materialize(roots.join(least, "root").select("k", "component_id", "root"))
     out = known.join(named, "k", "left")
-    return out.select("_r", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    return out.select("_r", "_q", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")

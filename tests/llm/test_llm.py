@@ -99,7 +99,17 @@ def brute_components(texts, percent=80):
     return [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("shape", [jaccard.Shape(count_bits=12, slice_bits=10), jaccard.Shape(count_bits=8, slice_bits=8, part=4, block=2, hot=1)])
+SMALL = {"count_bits": 8, "slice_bits": 8}
+SHAPES = {
+    "plain": jaccard.Shape(count_bits=12, slice_bits=10),
+    "split lists": jaccard.Shape(**SMALL, part=4, block=2, hot=1, guides=2),
+    "cells over cells": jaccard.Shape(**SMALL, room_sets=4, room=200, pivots=3, leaf=2),
+    "blocks": jaccard.Shape(**SMALL, part=4, guides=1, room_sets=3, room=100, pivots=2, leaf=2, levels=0, load=1),
+    "names that clash": jaccard.Shape(**SMALL, name_bits=3),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES.values(), ids=SHAPES)
 def test_jaccard_against_brute_force(spark, shape):
     rng = np.random.default_rng(3)
     texts = [*ODD]
@@ -113,6 +123,47 @@ def test_jaccard_against_brute_force(spark, shape):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_cells_against_brute_force():
+    """Clusters of any tightness, so that windows hold a few sets or all; links of home sets must all be found."""
+    rng = np.random.default_rng(12)
+    for round_ in range(12):
+        held = []
+        for _ in range(rng.integers(1, 12)):
+            base = np.unique(rng.integers(0, 500 if round_ % 2 else 1 << 40, rng.integers(3, 120)).astype(np.uint64))
+            for _ in range(rng.integers(1, 30)):
+                keep = rng.random(len(base)) > rng.choice([0.02, 0.1, 0.3])
+                held.append(np.unique(np.append(base[keep], rng.integers(0, 1 << 50, rng.integers(1, 6)).astype(np.uint64))))
+        order = rng.permutation(len(held))
+        held = [held[i] for i in order]
+        home = rng.random(len(held)) < 0.6
+        groups = jaccard.Groups(len(held))
+        for i in range(len(held)):
+            for j in range(i):
+                common = len(np.intersect1d(held[i], held[j]))
+                if (home[i] or home[j]) and 100 * common >= 80 * (len(held[i]) + len(held[j]) - common):
+                    groups.join(i, j)
+        got = jaccard.Groups(len(held))
+        for a, b in jaccard.cell(held, home, jaccard.Shape(leaf=6, pivots=8)):
+            common = len(np.intersect1d(held[a], held[b]))
+            assert 100 * common >= 80 * (len(held[a]) + len(held[b]) - common)
+            got.join(a, b)
+        same = lambda g: [[g.root(i) == g.root(j) for j in range(len(held))] for i in range(len(held))]
+        linked, want = np.array(same(got)), np.array(same(groups))
+        assert (linked >= want).all()
+
+
+def test_vectors_never_reject_a_link():
+    rng = np.random.default_rng(13)
+    shape = jaccard.Shape(buckets=4, load=2)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 200)).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 62, len(a) // 12).astype(np.uint64)))
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
+            v = jaccard.Vectors([len(a), len(b)], [jaccard._vector(x, shape) for x in (a, b)], shape)
+            assert v.hits(0, np.array([1])).all() and v.hits(1, np.array([0])).all()
+
+
 def test_jaccard_empty(spark):
     assert jaccard.join(docs(spark, []), jaccard.Shape(count_bits=8, slice_bits=8)).count() == 0
 
