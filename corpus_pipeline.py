@@ -27,19 +27,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
+    """Of each group of linked documents the one with the least doc_id stays, null last; of ties, any one.
+
+    Documents without words are linked to nothing and stay, except that of rows equal in doc_id and text one stays."""
     groups = jaccard.join(docs)
-    alone = F.when(F.col("n_shingles") == 0, F.col("_r"))  # linked to nothing
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_r").alias("r")))
-    stay = groups.groupBy("root", alone.alias("_alone")).agg(first.alias("_f")).select(F.col("_f.r").alias("_r"))
+    alone = F.when(F.col("n_shingles") == 0, F.struct("_r", "_q"))  # linked to nothing
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_r").alias("r"), F.col("_q").alias("q")))
+    stay = groups.groupBy("root", alone.alias("_alone")).agg(first.alias("_f")).select(F.col("_f.r").alias("_r"), F.col("_f.q").alias("_q"))
     stay = materialize(stay)
-    many = materialize(groups.groupBy("_r").count().where("count > 1").select("_r"))  # rows equal in doc_id and text
-    rows = docs.withColumn("_r", F.xxhash64("doc_id", "text"))
-    kept = rows.join(stay, "_r", "left_semi")
+    many = materialize(groups.groupBy("_r", "_q").count().where("count > 1").select("_r", "_q"))  # rows equal in doc_id and text
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_r"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_q"))
+    kept = rows.join(stay, ["_r", "_q"], "left_semi")
     if many.isEmpty():
-        return kept.select(docs.columns)
-    one = kept.join(many, "_r", "left_anti").unionByName(kept.join(many, "_r", "left_semi").dropDuplicates(["_r"]))
-    return one.select(docs.columns)
+        return kept.select("_row.*")
+    one = kept.join(many, ["_r", "_q"], "left_anti").unionByName(kept.join(many, ["_r", "_q"], "left_semi").dropDuplicates(["_r", "_q"]))
+    return one.select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
