@@ -240,19 +240,36 @@ def test_url_rules_and_distrust(spark):
 
 
 def test_topk_against_brute_force(spark):
+    """Null, odd, repeated and huge vectors, other lengths, two vectors of one id, in blocks of several sizes."""
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (350, 16)).astype(np.float32).round(1))]
     rows += [(1000, None), (1001, [None] * 16), (1002, [float("nan")] * 16), (1003, [float("inf")] * 16), (5, rows[5][1]), (None, rows[6][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [tuple(r) for r in topk.search(df, candidate_block=64, query_block=2).orderBy("query_id", "rank").collect()]
-    v = [(i, np.floor(1024 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
+    rows += [(100, rows[7][1]), (100, rows[100][1]), (2000, [1.0, -2.0]), (2100, []), (400, [3e38, -1e30, 0.25]), (401, [-2e38] * 16), (403, [2e38, 1.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, _c string, v int")
+    v = [(i, [int(np.floor(1024 * float(np.float32(c)))) for c in x]) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
     want = []
-    for q, x in v:
-        if q % 100 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in v if i != q))[:10]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    for q, x in {(i, tuple(x)) for i, x in v if i % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in v if i != q)[:10]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    for block in (64, 16384):
+        assert sorted(tuple(r) for r in topk.search(df, block=block).collect()) == sorted(want)
     assert topk.search(df.limit(0)).count() == 0
+    assert topk.search(df.where("vec_id = 2000")).count() == 0
+
+
+def test_topk_index_stops_on_proof():
+    """Fewer postings are walked than candidates x dimensions, and fewer candidates scored than there are; none of the best is lost."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(0, 1, (12, 32))
+    x = np.floor(200 * (centres[rng.integers(0, 12, 3000)] + rng.normal(0, 0.3, (3000, 32))))
+    index = topk.Index(x)
+    for i in range(40):
+        q, k = x[i] * rng.choice([-1, 1]), 10
+        s = x @ q
+        kth = np.sort(s)[-k]
+        assert set(np.flatnonzero(s >= kth)) <= set(index.search(q, k))
+    assert index.touched < 0.6 * 40 * x.size
+    assert index.rescored < 0.2 * 40 * len(x)
 
 
 def test_language(spark):
