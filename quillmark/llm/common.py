@@ -52,6 +52,14 @@ def uniform(column: str, seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(column)), 11) / F.lit(float(1 << 53))
 
 
+def sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most `most` rows of (doc_id, ...), with distinct doc_ids, those first by a hash of doc_id. A bar for the hash goes first, so that tasks
+    send about 1.5 * most rows together to the one that takes the first of them."""
+    n = rows.count()
+    bar = F.lit(1.5 * most / n if n > most + 1000 else 1.0)
+    return rows.where(uniform("doc_id", seed) < bar).orderBy(uniform("doc_id", seed), "doc_id").limit(most)
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

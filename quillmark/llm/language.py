@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ class Shape:
     rounds: int = 8
     sample_rows: int = 600
     sample_total: int = 8_000
-    languages: int = 500
+    least_rows: int = 16
     reject_quantile: float = 0.002
     reject_margin: float = 0.9
     cuts: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128)
@@ -163,16 +163,19 @@ def cluster(m: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
-    """Learn from (doc_id, text, lang) rows: about `sample_rows` texts of each language, or `sample_total` in all, chosen by a hash of doc_id and
-    text; rows without lang or text are left out. Of more than `languages` languages the most frequent are learned."""
+    """Learn from (doc_id, text, lang) rows: at most `sample_rows` texts of each language, or `sample_total` in all but `least_rows` of each, the
+    first by a hash of doc_id and text; rows without lang or text are left out. Every language is learned."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(shape.languages).collect()
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not sizes:
         return Model(shape, np.zeros(shape.buckets), np.zeros((0, shape.buckets)), np.zeros(0, int), (), np.zeros(0))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(shape.seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    each = max(1, min(shape.sample_rows, shape.sample_total // len(sizes)))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    got = known.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).limit(2 * each * len(sizes)).toArrow()
+    each = max(shape.least_rows, min(shape.sample_rows, shape.sample_total // len(sizes)))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 1.5 * each / r["count"] + 100 / r["count"])) for r in sizes], "lang string, _share double")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(shape.seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    likely = known.join(F.broadcast(shares), "lang").where(u < F.col("_share")).withColumn("_u", u)
+    line = Window.partitionBy("lang").orderBy("_u", "doc_id", "text")  # about 1.5 * each + 100 rows of a language
+    got = likely.withColumn("_at", F.row_number().over(line)).where(F.col("_at") <= each).select("doc_id", "text", "lang").toArrow()
     order = sorted(range(got.num_rows), key=[(str(d), t) for d, t in zip(got["doc_id"].to_pylist(), got["text"].to_pylist())].__getitem__)
     got = got.take(pa.array(order, pa.int64()))
     text, lang = got["text"].combine_chunks(), np.array(got["lang"].to_pylist(), object)
@@ -202,7 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     of the languages' names. Repeated rows are judged each by itself, an empty table gives no rows, and all columns of docs
     are kept; columns named lang_pred, lang_score or lang_rejected are replaced."""
     new = ["lang_pred", "lang_score", "lang_rejected"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*new)  # in any case of letters
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x buckets
     at = docs.columns.index("text")
 

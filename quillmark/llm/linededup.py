@@ -17,19 +17,19 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import materialize, maybe_among
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _k): _k names the row's content, so that rows equal in doc_id and text are one document."""
-    return docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+def _key() -> list[Column]:
+    """(_k, _j): two hashes that name a row's content, so that rows equal in doc_id and text are one document."""
+    return [F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_j")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_k, _pos, _place, _l): the lines with a word, their place in the order (doc_id, line number), and their words, each but
+    """(_k, _j, _pos, _place, _l): the lines with a word, their place in the order (doc_id, line number), and their words, each but
     the first after one space. No word is split off: these strings are hashed and cut as they are."""
     text = F.expr(r"replace(replace(replace(replace(text, '\t', ' '), '\r', ' '), '\u000b', ' '), '\u000c', ' ')")
-    single = docs.select("_k", "doc_id", text.alias("_t")).select("_k", "doc_id", F.expr("CASE WHEN contains(_t, '  ') THEN regexp_replace(_t, ' +', ' ') ELSE _t END").alias("_t"))
-    out = single.select("_k", "doc_id", F.posexplode(F.split("_t", "\n")).alias("_pos", "_t")).select("_k", "doc_id", "_pos", F.trim("_t").alias("_l")).where("_l <> ''")
+    single = docs.select("_k", "_j", "doc_id", text.alias("_t")).select("_k", "_j", "doc_id", F.expr("CASE WHEN contains(_t, '  ') THEN regexp_replace(_t, ' +', ' ') ELSE _t END").alias("_t"))
+    out = single.select("_k", "_j", "doc_id", F.posexplode(F.split("_t", "\n")).alias("_pos", "_t")).select("_k", "_j", "doc_id", "_pos", F.trim("_t").alias("_l")).where("_l <> ''")
     place = F.expr("CAST(coalesce(doc_id, 9223372036854775807) AS DECIMAL(20,0)) * 10000000000BD + _pos").cast("decimal(38,0)")
-    return out.select("_k", "_pos", place.alias("_place"), "_l")
+    return out.select("_k", "_j", "_pos", place.alias("_place"), "_l")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -85,14 +85,14 @@ def within_one(a: str, b: str) -> Column:
 
 
 def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(_k, _drop): for rows that lose lines, the numbers of those lines from 0."""
-    docs = _rows(docs.select("doc_id", "text").where("text is not null"))
+    """(_k, _j, _drop): for rows that lose lines, the numbers of those lines from 0."""
+    docs = docs.select("doc_id", "text", *_key()).where("text is not null")
     lines = _hashed(_lines(docs))
     distinct = materialize(_halved(lines, min_words).groupBy("_h", "_g").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), *(F.min(f"_k{i}").alias(f"_k{i}") for i in range(4))))
     near = materialize(_near(docs, distinct))
     marked = distinct.select("_h", "_g", "_first", "_n").join(near, ["_h", "_g"], "left").where("_n > 1 or _near is not null").select("_h", "_g", F.least("_first", F.coalesce("_near", "_first")).alias("_first"))
-    late = lines.select("_k", "_pos", "_place", "_h", "_g").join(materialize(marked), ["_h", "_g"]).where("_place > _first")
-    return late.groupBy("_k").agg(F.collect_set("_pos").alias("_drop"))  # a document's own lines
+    late = lines.select("_k", "_j", "_pos", "_place", "_h", "_g").join(materialize(marked), ["_h", "_g"]).where("_place > _first")
+    return late.groupBy("_k", "_j").agg(F.collect_set("_pos").alias("_drop"))  # a document's own lines
 
 
 def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -101,11 +101,11 @@ def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     A line is dropped if an equal or near line stands earlier in the order (doc_id, line number); null doc_id comes last. Lines
     without a word always stay. Rows equal in doc_id and text are one document and keep the same lines; lines at the
     same place of two texts with one doc_id tie, and both stay. Null texts stay null, empty ones empty; a text that loses all its lines
-    becomes empty. An empty table gives no rows. Other columns are kept; columns named n_lines or n_dropped are replaced.
+    becomes empty. An empty table gives no rows. Other columns, whatever their names, are kept; columns named n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    order = docs.columns
     drop = dropped_lines(docs, min_words)
-    out = _rows(docs).join(drop, "_k", "left")
-    left = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> named_struct('l', l, 'i', i)), z -> NOT array_contains(_drop, z.i)), z -> z.l), '\\n')")
-    return out.select(*(F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in order), F.expr(r"coalesce(octet_length(text) - octet_length(replace(text, '\n', '')) + 1, 0)").alias("_n"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped")).withColumn("n_lines", F.greatest(F.col("_n"), F.lit(0)).cast("int")).drop("_n").select(*order, "n_lines", "n_dropped")
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text")).alias("own"), F.col("text").alias("all"), *_key()).join(drop, ["_k", "_j"], "left")  # columns of any name stay apart
+    left = F.expr("CASE WHEN _drop IS NULL THEN `all` ELSE array_join(transform(filter(transform(split(`all`, '\\n'), (l, i) -> named_struct('l', l, 'i', i)), z -> NOT array_contains(_drop, z.i)), z -> z.l), '\\n') END")
+    lines = F.expr(r"CAST(coalesce(octet_length(`all`) - octet_length(replace(`all`, '\n', '')) + 1, 0) AS INT)")
+    return out.select(*(left.alias(c) if c.lower() == "text" else F.col(f"own.`{c}`") for c in docs.columns), lines.alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))

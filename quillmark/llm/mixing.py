@@ -65,8 +65,14 @@ def draw(key: Column, seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def row_key() -> list[Column]:
+    """Two hashes that name a row's content."""
+    own = ["doc_id", "text", "lang", "source"]
+    return [F.xxhash64(*own).alias("_row"), F.xxhash64(F.lit(1), *own).alias("_twin")]
+
+
 def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], domain: Column, tokens: Column, fraction: float = 0.5, epochs: int = 2, seed: int = 13, bucket_bits: int = 12, other: int = 1) -> DataFrame:
-    """For each document that is taken: doc_id, _row (a hash of the row), domain, language, origin, tokens, copies (how many
+    """For each document that is taken: doc_id, _row and _twin (hashes of the row), domain, language, origin, tokens, copies (how many
     times), leaf_budget. The tokens wanted are `fraction` of all tokens.
 
     A leaf's documents stand in an order drawn anew for each epoch; each is taken while the tokens before it in the epoch
@@ -75,8 +81,8 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], domain: Colum
     doc_id, text, lang and source are one item of as many tokens as they have together. Null texts must have 0 tokens. An
     empty table gives no rows; other columns are not returned.
     """
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text", "lang", "source").alias("_row"), domain.alias("domain"), F.col("lang").alias("language"), F.col("source").alias("origin"), tokens.cast("long").alias("tokens"))
-    base = base.groupBy("doc_id", "_row", *LEVELS).agg(F.sum("tokens").alias("tokens"))
+    base = docs.select("doc_id", *row_key(), domain.alias("domain"), F.col("lang").alias("language"), F.col("source").alias("origin"), tokens.cast("long").alias("tokens"))
+    base = base.groupBy("doc_id", "_row", "_twin", *LEVELS).agg(F.sum("tokens").alias("tokens"))
     base = materialize(base)  # small rows: the texts are read once
     leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = materialize(budgets(leaves, weights, fraction, epochs, other))  # a row for each leaf
@@ -95,7 +101,7 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], domain: Colum
     hit = rows.join(named, same & (F.col("_bucket") == F.col("_b")) & (F.col("_part") > 0), "left").drop(*(f"_{c}" for c in LEVELS), "_b")
     certain = hit.where("_before is null or _whole").withColumn("_more", F.when(F.col("_before").isNull(), 0).otherwise(1))
     edge = hit.where("_before is not null and not _whole")  # one bucket of a leaf
-    inside = Window.partitionBy(*LEVELS).orderBy("_draw", F.col("doc_id").asc_nulls_first(), "_row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS).orderBy("_draw", F.col("doc_id").asc_nulls_first(), "_row", "_twin").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_more", F.when(F.col("_before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)) < F.col("_part"), 1).otherwise(0))
     out = certain.unionByName(edge).withColumn("copies", F.col("_full") + F.col("_more")).where("copies > 0")
-    return out.select("doc_id", "_row", *LEVELS, "tokens", "copies", "leaf_budget")
+    return out.select("doc_id", "_row", "_twin", *LEVELS, "tokens", "copies", "leaf_budget")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words
-from quillmark.llm.common import uniform
+from quillmark.llm.common import sampled
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_same"]
@@ -208,9 +208,9 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, seed: int = 11, **learning) -> list[Rule]:
     """Learn from at most `sample_rows` labelled documents, chosen by a hash of doc_id. Without labels: no rule."""
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
-    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(uniform("doc_id", seed), "doc_id").limit(sample_rows)
+    marked = sampled(marked.groupBy("doc_id").agg(F.min("quality").alias("quality")), sample_rows, seed)
     chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most sample_rows ids
-    rows = with_stats(chosen).join(F.broadcast(marked), "doc_id").selectExpr("doc_id", "quality", *(f"{sql} AS {n}" for n, sql in RATIOS.items())).limit(2 * sample_rows).toPandas()
+    rows = with_stats(chosen).join(F.broadcast(marked), "doc_id").selectExpr("doc_id", "quality", *(f"{sql} AS {n}" for n, sql in RATIOS.items())).orderBy("doc_id", *RATIOS).limit(2 * sample_rows).toPandas()  # doc_ids can repeat
     rows = rows.sort_values(["doc_id", *RATIOS], kind="stable")
     if rows.empty:
         return []

@@ -17,23 +17,25 @@ def shard(rows: DataFrame, size_column: str, order: list[str], shards: int, part
 
     Shards are contiguous in the order of the columns `order`, nulls first; a row belongs to the shard in which the middle
     of its bytes falls, so shard sizes differ from the mean by less than the largest row. Rows that tie in all of `order`
-    take adjoining places in any order. Sizes must not be null or negative. An empty table gives no rows. Other columns are
-    kept as they are; columns named shard or slot are replaced.
+    take adjoining places in any order. Sizes must not be null or negative. An empty table gives no rows. Other columns, whatever
+    their names, are kept as they are; columns named shard or slot are replaced.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *(F.col(c).asc_nulls_first() for c in order)).withColumn("_part", F.spark_partition_id())
+    size = F.col(f"own.`{size_column}`")
+    by = [F.col(f"own.`{c}`").asc_nulls_first() for c in order]
+    own = rows.select(F.struct("*").alias("own"))  # so that columns of any name stay apart from those made here
+    placed = own.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id())
     placed = materialize(placed)  # the cuts between partitions are sampled: once and for all
-    totals = placed.groupBy("_part").agg(F.sum(size_column).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = totals.select("_part", F.coalesce(F.sum("_bytes").over(line), F.lit(0)).alias("_bytes_before"), F.coalesce(F.sum("_rows").over(line), F.lit(0)).alias("_rows_before"), F.sum("_bytes").over(Window.partitionBy()).alias("_all"))
-    inside = Window.partitionBy("_part").orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = placed.withColumns({"_to": F.sum(size_column).over(inside), "_row": F.row_number().over(inside)})
-    run = run.join(F.broadcast(starts), "_part")  # a row for each partition
-    middle = (F.col("_bytes_before") + F.col("_to")) * 2 - F.col(size_column)
-    cut = run.withColumn("_middle", (F.col("_bytes_before") + F.col("_to")) * 2 - F.col(size_column)).withColumn("shard", F.expr(f"CAST(least(CAST(_middle AS DECIMAL(28,0)) * {shards} DIV greatest(2 * _all, 1), {shards - 1}) AS INT)"))
-    cut = cut.withColumn("_at", F.col("_rows_before") + F.col("_row") - 1)
-    first = cut.groupBy("shard").agg(F.min("_at").alias("_first"))  # a row for each shard
-    out = cut.join(F.broadcast(first), "shard").withColumn("slot", (F.col("_at") - F.col("_first")).cast("long"))
-    return out.select(*rows.columns, "shard", "slot")
+    totals = placed.groupBy("part").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = totals.select("part", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(line), F.lit(0)).alias("rows_before"), F.sum("bytes").over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumns({"to": F.sum(size).over(inside), "nth": F.row_number().over(inside)})
+    run = run.join(F.broadcast(starts), "part")  # a row for each partition
+    cut = run.withColumn("middle", (F.col("bytes_before") + F.col("to")) * 2 - size).withColumn("shard", F.expr(f"CAST(least(CAST(middle AS DECIMAL(28,0)) * {shards} DIV greatest(2 * `all`, 1), {shards - 1}) AS INT)"))
+    cut = cut.withColumn("at", F.col("rows_before") + F.col("nth") - 1)
+    first = cut.groupBy("shard").agg(F.min("at").alias("first"))  # a row for each shard
+    out = cut.join(F.broadcast(first), "shard").withColumn("slot", (F.col("at") - F.col("first")).cast("long"))
+    return out.select("own.*", "shard", "slot")

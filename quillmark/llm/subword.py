@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words
-from quillmark.llm.common import uniform
+from quillmark.llm.common import sampled
 
 
 @dataclass(frozen=True)
@@ -149,10 +149,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, shape: Shape
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, shape: Shape = Shape(), seed: int = 7) -> Model:
-    """Train on at most `sample_rows` labelled documents, chosen by a hash of doc_id. Without labels every score is 0.5."""
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(uniform("doc_id", seed), "doc_id").limit(sample_rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").limit(2 * sample_rows).toArrow()  # at most sample_rows ids
-    order = sorted(range(got.num_rows), key=list(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), strict=True)).__getitem__) if not got["text"].null_count else list(range(got.num_rows))
+    """Train on at most `sample_rows` labelled doc_ids, chosen by a hash of doc_id. Without labels every score is 0.5.
+
+    A doc_id's documents all take part, with the least of its labels; of more than twice `sample_rows` documents the first by doc_id and text.
+    Their order, null texts first, doesn't depend on how rows are dealt, so neither does the model."""
+    marked = sampled(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), sample_rows, seed)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most sample_rows ids
+    got = chosen.orderBy("doc_id", "text").limit(2 * sample_rows).toArrow()
+    order = sorted(range(got.num_rows), key=[(i, t is not None, t or "") for i, t in zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), strict=True)].__getitem__)
     got = got.take(pa.array(order, pa.int64()))
     y = (got["quality"].to_numpy() == 1).astype(int)
     if not len(y):
