@@ -15,15 +15,22 @@ from quillmark.llm.queries import MIX, TOKENIZER, WEIGHTS, domain_of, tokens_of
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go; a null lang becomes the predicted one."""
-    out = language.identify(docs, language.fit(docs)).where("NOT lang_rejected")
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    """Documents that language ID rejects go; a null lang becomes the predicted one.
+
+    Null texts and texts without a letter are rejected. Each repeated row is judged by itself; without any lang or in an empty table nothing stays."""
+    out = language.identify(docs.select("doc_id", "text", "lang", F.struct("*").alias("own")), language.fit(docs)).where("NOT lang_rejected")
+    lang = F.coalesce("lang", "lang_pred")
+    return out.select(*(lang.alias(c) if c == "lang" else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; documents of which nothing is left go too."""
+    """Repeated lines go, but for their first place in the order (doc_id, line number); documents of which nothing is left go too.
+
+    Null and empty texts lose nothing and stay; rows equal in doc_id and text keep the same lines; of lines at the same place of two texts
+    with one doc_id both stay."""
     out = linededup.dedup(docs).where(F.expr(r"n_dropped = 0 OR text rlike '[^\\x20\\x09-\\x0D]'"))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*(size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +52,17 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: a document stays once for each epoch that takes it."""
-    taken = mixing.mix(docs, WEIGHTS, domain_of("source"), tokens_of("text"), **MIX).select("_row", "copies")
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source")).join(taken, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Sources in their target weights: a document stays once for each epoch that takes it.
+
+    A null text has no tokens and is taken by the same rule as others; a null lang or source is a leaf of its own; rows equal in doc_id,
+    text, lang and source are taken together, each as often; ties in the drawn order fall by doc_id."""
+    taken = mixing.mix(docs, WEIGHTS, domain_of("source"), tokens_of("text"), **MIX).select("_row", "_twin", "copies")
+    rows = docs.select(F.struct("*").alias("own"), *mixing.row_key()).join(taken, ["_row", "_twin"])
+    return rows.select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 ids."""
+    """Windows of 2048 ids. Null and empty texts have just the end id; repeated rows are packed each by itself; other columns aren't read."""
     return packing.pack(docs, TOKENIZER)
 
 
@@ -64,7 +74,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models, edit distances and tokenizers are beyond SQL: tests compare the stages with brute force.
+#: Trained models, edit distances and tokenizers are beyond SQL: tests/llm/test_pipeline_stages.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
