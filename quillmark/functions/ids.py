@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions.bind import bound
+
 ID = r"^S[123]-(0|[1-9][0-9]{0,9})$"
 
 
@@ -23,14 +25,45 @@ def draw(key: Column, salt: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(salt)), key.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+_MASK = 0xFFFFFFFF
+
+
+def _times(z: Column, by: int) -> Column:
+    """The low 64 bits of a product. Parts of 32 and 16 bits are multiplied, so that no product or sum overflows, which ANSI mode forbids."""
+    low, high, mask = by & _MASK, by >> 32, F.lit(_MASK)
+    part = lambda x, y: x * F.lit(y & 0xFFFF) + F.shiftleft((x * F.lit(y >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)  # noqa: E731  the low 32 bits of x * y, and more
+
+    def product(x: Column) -> Column:
+        a, b = x.bitwiseAND(mask), F.shiftrightunsigned(x, 32)
+        top = F.shiftleft((part(a, high) + part(b, low)).bitwiseAND(mask), 32)
+        return _plus(_plus(a * F.lit(low & 0xFFFF), F.shiftleft(a * F.lit(low >> 16), 16)), top)
+
+    return bound(z, product)
+
+
+def _plus(x: Column, y: Column) -> Column:
+    """The low 64 bits of a sum."""
+    mask = F.lit(_MASK)
+
+    def total(p: Column) -> Column:
+        low = p["x"].bitwiseAND(mask) + p["y"].bitwiseAND(mask)
+        high = F.shiftrightunsigned(p["x"], 32) + F.shiftrightunsigned(p["y"], 32) + F.shiftrightunsigned(low, 32)
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(mask))
+
+    return bound(F.struct(x.alias("x"), y.alias("y")), total)
+
+
+def _mixed(z: Column, by: int) -> Column:
+    return bound(z, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, by)))
+
+
 def splitmix(key: Column, salt: int) -> Column:
-    """The splitmix64 finaliser's top 53 bits over 2**53. Needs wrap-around products: spark.sql.ansi.enabled off."""
-    mask = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    z = key + F.lit(mask((salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 30)) * F.lit(mask(0xBF58476D1CE4E5B9))
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 27)) * F.lit(mask(0x94D049BB133111EB))
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 31))
-    return F.shiftrightunsigned(z, 11) / F.lit(float(1 << 53))
+    """The splitmix64 finaliser's top 53 bits over 2**53."""
+    step = (salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    z = _plus(key.cast("long"), F.lit(step - (1 << 64) if step >> 63 else step))
+    z = _times(_mixed(z, 30), 0xBF58476D1CE4E5B9)
+    z = _times(_mixed(z, 27), 0x94D049BB133111EB)
+    return F.shiftrightunsigned(_mixed(z, 31), 11) / F.lit(float(1 << 53))
 
 
 def role(key: Column, held: float, first: float, third: float, seed: int) -> Column:

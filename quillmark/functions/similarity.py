@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -39,32 +42,54 @@ def _set_ratio(a: str, b: str) -> float:
 
 
 def _partial(a: str, b: str) -> float:
+    """The best ratio of the shorter text to any span of its length in the longer one, or to what such a span leaves at either end.
+
+    A span moved by one character changes the common length by one at most, so spans that can't reach the best are passed over."""
     if len(a) > len(b):
         a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    n = len(a)
-    spans = {(max(0, i), min(len(b), i + n)) for i in range(1 - n, len(b))}
-    return max(_ratio(a, b[i:j]) for i, j in spans)
+    n, m = len(a), len(b)
+    if not n:
+        return 100.0 if not m else 0.0
+    most, i = 0, 0
+    while i <= m - n:
+        common = _lcs(a, b[i : i + n])
+        most = max(most, common)
+        i += most - common + 1
+    best = 100.0 * most / n
+    return _ends(a[::-1], b[m - n :][::-1], _ends(a, b[:n], best))
+
+
+def _ends(a: str, end: str, best: float) -> float:
+    """The best ratio of a to a shorter start of `end`, if over `best`."""
+    n, size = len(a), len(end) - 1
+    while size > 0:
+        common = _lcs(a, end[:size])
+        best = max(best, 200.0 * common / (n + size))
+        size = min(size - 1, math.ceil(200.0 * common / best - n) - 1) if best else size - 1
+    return best
 
 
 def _jaro_winkler(a: str, b: str) -> float:
+    """Each character of a takes the first unused equal one of b in its window. Windows only move on, so places are met once."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used, hits = [False] * len(b), []
+    places: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, deque()).append(j)
+    hits, taken = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                hits.append(c)
-                break
+        own = places.get(c)
+        while own and own[0] < i - reach:
+            own.popleft()
+        if own and own[0] <= i + reach:
+            hits.append(c)
+            taken.append(own.popleft())
     if not hits:
         return 0.0
-    other = [c for c, u in zip(b, used) if u]
-    swaps = sum(x != y for x, y in zip(hits, other)) // 2
+    swaps = sum(x != b[j] for x, j in zip(hits, sorted(taken))) // 2
     m = len(hits)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     common = 0

@@ -24,6 +24,11 @@ ORDINALS = {"first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "f
 ADDRESS_DROP = ["de", "du", "des", "la", "le", "les", "et", "null"]
 ADDRESS_DESIGNATORS = ["unit", "apt", "apartment", "suite", "ste", "no", "ndeg", "flat", "floor", "fl", "door", "plot", "house"]
 LANDMARK_CUES = ["near", "opposite", "behind", "beside", "next to", "pres de", "en face de"]
+# Fixed patterns: which strings are elisions, dotted acronyms, the "M/s" before a name and house numbers is defined by them.
+ELISION = r"\b[ld]'(?=[a-z])"
+DOTTED = r"(?<=\b[a-z])\.(?=[a-z]\b)"
+MESSRS = r"\bm/s\b"
+HOUSE_NUMBER = r"(?<![a-z0-9])(\d+)([a-z])?(?:\s*-\s*(\d+))?(?![a-z0-9])"
 #: Accented Latin letters and their plain forms.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY")
 #: Letters that become two.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import tables as T
+from quillmark.functions.addresses import address_views
 
 
 def _map(entries: dict[str, str]) -> Column:
@@ -30,12 +31,12 @@ def squeeze(c: Column) -> Column:
 
 
 def _unquoted(c: Column) -> Column:
-    return F.translate(F.regexp_replace(c, r"\b[ld]'(?=[a-z])", ""), "'`", "")
+    return F.translate(F.regexp_replace(c, T.ELISION, ""), "'`", "")
 
 
 def name_ascii(raw: Column) -> Column:
-    s = F.regexp_replace(ascii_lower(raw), r"\bm/s\b", " ")
-    s = F.regexp_replace(_unquoted(F.replace(s, F.lit("&"), F.lit(" and "))), r"(?<=\b[a-z])\.(?=[a-z]\b)", "")
+    s = F.regexp_replace(ascii_lower(raw), T.MESSRS, " ")
+    s = F.regexp_replace(_unquoted(F.replace(s, F.lit("&"), F.lit(" and "))), T.DOTTED, "")
     s = squeeze(s)
     for phrase, to in T.NAME_PHRASES.items():
         s = F.regexp_replace(s, rf"\b{phrase}\b", to)
@@ -61,7 +62,7 @@ def legal_form(name: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(tokens(name), lambda t: F.try_element_at(forms, t)), lambda t: t.isNotNull()))), " ")
 
 
-_HOUSE = r"(?<![a-z0-9])(\d+)([a-z])?(?:\s*-\s*(\d+))?(?![a-z0-9])"
+_HOUSE = T.HOUSE_NUMBER
 
 
 def _whole(c: Column) -> Column:
@@ -88,53 +89,12 @@ def numbers(low: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1)), _whole))), " ")
 
 
-def _part_tokens(part: Column) -> Column:
-    words = F.filter(F.split(squeeze(part), " "), lambda t: t != "")
-    starts, streets, ends, ordinals = map(_map, (T.PART_START, T.STREET_TYPES, T.STREET_END_ONLY, T.ORDINALS))
-
-    def one(t: Column, i: Column) -> Column:
-        last = F.size(words) - 1
-        return (
-            F.when(t.rlike(r"^\d+$"), _whole(t))
-            .when((i == 0) & (last > 0) & F.try_element_at(starts, t).isNotNull(), F.try_element_at(starts, t))
-            .when(F.try_element_at(streets, t).isNotNull(), F.try_element_at(streets, t))
-            .when((i == last) & (i > 0) & F.try_element_at(ends, t).isNotNull(), F.try_element_at(ends, t))
-            .otherwise(F.coalesce(F.try_element_at(ordinals, t), t))
-        )
-
-    return F.transform(words, one)
-
-
-def _cue(words: Column) -> Column:
-    """Where a landmark begins, from 1; 0 if nowhere."""
-    at = F.transform(words, lambda t, i: F.array_join(F.slice(words, i + 1, 1), " ").isin(T.LANDMARK_CUES) | F.array_join(F.slice(words, i + 1, 2), " ").isin(T.LANDMARK_CUES) | F.array_join(F.slice(words, i + 1, 3), " ").isin(T.LANDMARK_CUES))
-    return F.array_position(at, True).cast("int")
-
-
-def address_parts(low: Column) -> Column:
-    """For each part between commas: keep (words of the normal view), head (words before a landmark) and mark (the landmark)."""
-    keep = lambda a: F.filter(a, lambda t: ~t.isin(T.ADDRESS_DROP))
-
-    def one(words: Column) -> Column:
-        cue = _cue(words)
-        head = F.when(cue > 0, F.slice(words, F.lit(1), F.greatest(cue - 1, F.lit(0)))).otherwise(words)
-        mark = F.when(cue > 0, F.array_join(keep(F.slice(words, F.greatest(cue, F.lit(1)), F.greatest(F.size(words), F.lit(1)))), " "))
-        return F.struct(keep(words).alias("keep"), F.filter(keep(head), lambda t: ~t.isin(T.ADDRESS_DESIGNATORS)).alias("head"), mark.alias("mark"))
-
-    return F.filter(F.transform(F.transform(F.split(low, ","), _part_tokens), one), lambda p: F.size(p["keep"]) > 0)
-
-
 def normalize(df: DataFrame, name: str = "business_name", address: str = "business_address") -> DataFrame:
     """df with the nine views name_ascii, name_core, legal_form, address_norm, address_core, landmark, house_no, postal and
     numbers; empty strings where there is nothing."""
     out = df.withColumn("name_ascii", name_ascii(F.col(name)))
-    out = out.withColumns({"name_core": name_core(F.col("name_ascii")), "legal_form": legal_form(F.col("name_ascii")), "_low": _unquoted(ascii_lower(F.col(address)))})
-    out = out.withColumns({"house_no": house_no(F.col("_low")), "postal": postal(F.col("_low")), "numbers": numbers(F.col("_low")), "_parts": address_parts(F.col("_low"))})
-    return out.withColumns({
-        "address_norm": F.array_join(F.flatten(F.transform("_parts", lambda p: p["keep"])), " "),
-        "address_core": F.array_join(F.flatten(F.transform("_parts", lambda p: p["head"])), " "),
-        "landmark": F.array_join(F.filter(F.transform("_parts", lambda p: p["mark"]), lambda m: m.isNotNull()), " "),
-    }).drop("_low", "_parts")
+    out = out.withColumns({"name_core": name_core(F.col("name_ascii")), "legal_form": legal_form(F.col("name_ascii")), "_views": address_views(F.col(address))})
+    return out.select(*(c for c in out.columns if c != "_views"), "_views.*")
 
 
 def acronym(core: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.similarity import dot
-
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best t of each s1, rank from 1; ties to the smaller t."""
@@ -47,16 +48,63 @@ def tfidf_topk(records: DataFrame, text: str, kind: str, max_df: float, top_m: i
     return ranked(scored, k)
 
 
+def _blocked_best(s1: DataFrame, t: DataFrame, k: int, by: str, rows: int = 4096) -> DataFrame:
+    """(s1, t, score): for each row of the side `by` ("s1" or "t") its k best partners of each block of the other side, by inner product
+    within a group; s1 (s1, grp, v), t (t, grp, w). Groups are cut into blocks of about `rows` on either side; a block of one side meets
+    each of the other in one task, as a product of matrices, and only the best leave it."""
+    own, other = ((s1, "s1", "v"), (t, "t", "w")) if by == "s1" else ((t, "t", "w"), (s1, "s1", "v"))
+    left = own[0].select("grp", F.col(own[1]).alias("id"), F.col(own[2]).alias("x"))
+    right = other[0].select("grp", F.col(other[1]).alias("id"), F.col(other[2]).alias("x"))
+    number = lambda d, n: d.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / rows).cast("long").alias(n))
+    sizes = number(left, "a").join(number(right, "b"), "grp")
+    cell = lambda d, side, mine, copies, key: d.join(sizes, "grp").withColumn("_m", F.expr(f"pmod(xxhash64(id), {mine})")).withColumn("_c", F.explode(F.expr(f"sequence(0L, {copies} - 1)"))).select("grp", F.expr(key).alias("cell"), F.lit(side).alias("side"), "id", "x")
+    both = cell(left, 0, "a", "b", "_m * b + _c").unionByName(cell(right, 1, "b", "a", "_c * b + _m"))
+    dealt = both.repartition("grp", "cell").sortWithinPartitions("grp", "cell", "side").select("grp", "cell", "side", "id", "x")
+    ids = {0: dict(left.dtypes)["id"], 1: dict(right.dtypes)["id"]}
+
+    def met(held: list[list], arrow) -> pa.RecordBatch | None:
+        (ids_a, xs), (ids_b, ys) = held
+        if not ids_a or not ids_b:
+            return None
+        scores = np.round(np.stack(xs) @ np.stack(ys).T, 6)
+        best_a, best_b, best = [], [], []
+        names = np.array(ids_b)
+        for i, line in zip(ids_a, scores):
+            near = np.arange(len(line)) if len(line) <= k else np.flatnonzero(line >= np.partition(line, -k)[-k])
+            near = near[np.lexsort((names[near], -line[near]))[:k]]
+            best_a += [i] * len(near)
+            best_b += names[near].tolist()
+            best += line[near].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(best_a, arrow), pa.array(best_b), pa.array(best, pa.float64())], ["own", "other", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, kind = None, [[[], []], [[], []]], None
+        for b in batches:
+            kind = b.schema.field(3).type
+            values, offsets = b.column(4).values.to_numpy(zero_copy_only=False).astype(float), b.column(4).offsets.to_numpy()
+            for n, (g, c, side, i) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
+                if (g, c) != now:
+                    if (out := met(held, kind)) is not None:
+                        yield out
+                    now, held = (g, c), [[[], []], [[], []]]
+                held[side][0].append(i)
+                held[side][1].append(values[offsets[n] : offsets[n + 1]].copy())
+        if (out := met(held, kind)) is not None:
+            yield out
+
+    found = dealt.mapInArrow(run, f"own {ids[0]}, other {ids[1]}, score double")
+    return found.selectExpr(*(("own AS s1", "other AS t") if by == "s1" else ("other AS s1", "own AS t")), "score")
+
+
 def vector_topk(s1: DataFrame, t: DataFrame, k: int) -> DataFrame:
-    """(s1, t, score, rank) by inner product within a group: s1 (s1, grp, v), t (t, grp, w)."""
-    return ranked(s1.join(t, "grp").select("s1", "t", F.round(dot(F.col("v"), F.col("w")), 6).alias("score")), k)
+    """(s1, t, score, rank) by inner product within a group: s1 (s1, grp, v), t (t, grp, w), vectors of one length without nulls."""
+    return ranked(_blocked_best(s1, t, k, "s1"), k)
 
 
 def reverse_top2(s1: DataFrame, t: DataFrame) -> DataFrame:
     """(t, best, best_s1, second): each target's two best S1 of its group; best -1 and best_s1 null where it has none."""
-    scored = s1.join(t, "grp").select("s1", "t", F.round(dot(F.col("v"), F.col("w")), 6).alias("score"))
     line = Window.partitionBy("t").orderBy(F.desc("score"), "s1")
-    two = scored.withColumn("_r", F.row_number().over(line)).where("_r <= 2").groupBy("t").agg(F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("_r") == 1, F.col("s1"))).alias("best_s1"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
+    two = _blocked_best(s1, t, 2, "t").withColumn("_r", F.row_number().over(line)).where("_r <= 2").groupBy("t").agg(F.max(F.when(F.col("_r") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("_r") == 1, F.col("s1"))).alias("best_s1"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("second"))
     return t.select("t").join(two, "t", "left").select("t", F.coalesce("best", F.lit(-1.0)).alias("best"), "best_s1", F.coalesce("second", F.lit(-1.0)).alias("second"))
 
 
