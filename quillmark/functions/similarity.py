@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -119,6 +121,30 @@ def scorers() -> dict[str, object]:
     return {"ratio": _vector(_ratio), "token_sort": _vector(lambda a, b: _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))), "token_set": _vector(_set_ratio), "partial": _vector(_partial), "jaro_winkler": _vector(_jaro_winkler)}
 
 
+_KINDS = {"ratio": _ratio, "tset": _set_ratio, "tsort": lambda a, b: _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), "partial": _partial, "jw": _jaro_winkler}
+
+
+def several(wanted: list[str], *sides: Column) -> Column:
+    """A struct of scores in one pass. sides: columns in pairs. wanted: {view}_{kind}, the views in the order in which they first
+    occur among the wanted, one pair of columns each; a name without a view is of kind and view alike. Null counts as empty."""
+    split = [w.rsplit("_", 1) if "_" in w else (w, w) for w in wanted]
+    views = list(dict.fromkeys(v for v, _ in split))
+    assert len(sides) == 2 * len(views), (views, len(sides))
+
+    @F.pandas_udf(StructType([StructField(w, DoubleType()) for w in wanted]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            pairs = [list(zip(columns[2 * i].fillna(""), columns[2 * i + 1].fillna(""))) for i in range(len(views))]
+            out = {}
+            for w, (view, kind) in zip(wanted, split):
+                mine, f = pairs[views.index(view)], _KINDS[kind]
+                known = {p: f(*p) for p in {*mine}}
+                out[w] = [known[p] for p in mine]
+            yield pd.DataFrame(out, columns=wanted, dtype=float)
+
+    return run(*sides)
+
+
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     most = F.greatest(F.length(a), F.length(b))
     return F.when(most == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / most)

@@ -108,6 +108,13 @@ def street_word(address_core: Column) -> Column:
     return F.regexp_extract(address_core, r"^\D*\d\S*(?:\s+\S{1,2}|\s+\S*\d\S*)*\s+([a-z]{3,})", 1)
 
 
+def model_text(kind: str) -> Column:
+    """What a model reads of a record: the embedder, the reranker, or the reranker of raw texts."""
+    name, address = ("business_name", "business_address") if kind == "raw" else ("name_ascii", "address_norm")
+    line = F.concat(F.coalesce(name, F.lit("")), F.lit(" | "), F.coalesce(address, F.lit("")))
+    return F.concat(F.lit("query: "), line) if kind == "embedder" else line
+
+
 def has_indic(c: Column) -> Column:
     return c.rlike("[ऀ-෿]")
 

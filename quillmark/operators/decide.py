@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.lists import best_first
+from quillmark.operators.lists import assign_targets, best_first, expected_f_pairs
+from quillmark.sources.tsv import id_lists
 
 
 def apply_rule(pairs: DataFrame, t_emit: float, t_add: float, rel: float) -> DataFrame:
@@ -86,6 +87,15 @@ def emission_profile(pairs: DataFrame, emitted: DataFrame, s1: DataFrame) -> Dat
     return x.groupBy("country").agg(F.count(F.lit(1)).alias("n_s1"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("empty_share"), F.round(F.sum("n") / F.greatest(F.sum((F.col("n") > 0).cast("int")), F.lit(1)), 6).alias("pairs_per_matched"), F.round(F.avg("best"), 6).alias("mean_best_p"), F.round(F.sum("sum_p") / F.greatest(F.sum("n"), F.lit(1)), 6).alias("mean_emitted_p"))
 
 
+def vote_lists(runs: list[DataFrame], least: int) -> DataFrame:
+    """(s1, ids): the ids that `least` of the runs (s1, ids) hold or more: those of the first run with a list in its order, then others in
+    the order of the runs."""
+    rows = [r.select("s1", F.lit(n).alias("run"), F.posexplode(F.split("ids", ",")).alias("at", "t")).where("t <> ''") for n, r in enumerate(runs)]
+    votes = reduce(DataFrame.unionByName, rows).groupBy("s1", "t").agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("run", "at")).alias("place"))
+    kept = votes.where(F.col("votes") >= least).groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("place", "t"))).alias("l"))
+    return runs[0].select("s1").join(kept, "s1", "left").select("s1", F.coalesce(F.array_join("l.t", ","), F.lit("")).alias("ids"))
+
+
 def vote(runs: list[DataFrame], least: int) -> DataFrame:
     """(s1, t) emitted by `least` runs or more."""
     return reduce(DataFrame.unionByName, [r.select("s1", "t").distinct() for r in runs]).groupBy("s1", "t").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
@@ -118,6 +128,72 @@ def validate(out: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def emit(pairs: DataFrame, how: str, rule: tuple[float, float, float] = (0.55, 0.75, 0.7), miss: float = 0.05) -> DataFrame:
+    """Emitted pairs, by the rule or by the largest expected F0.5."""
+    if how not in ("rule", "expected_f"):
+        raise ValueError(f"unknown way to emit: {how}")
+    return apply_rule(pairs, *rule) if how == "rule" else expected_f_pairs(pairs, miss)
+
+
+def tune(pairs: DataFrame, truth: DataFrame, s1: DataFrame, emit: list[float], add: list[float], rel: list[float]) -> DataFrame:
+    """The best thresholds of the grid and the metrics they give: a row for each country, and one with the country null for all.
+
+    The grid's macro F0.5 must equal that of the emitted sets, else an error is raised."""
+    best = best_thresholds(grid_search(pairs, truth, s1, emit, add, rel)).first()  # one row
+    rule = (best["t_emit"], best["t_add"], best["rel"])
+    per = counts(s1, apply_rule(pairs.select("s1", "t", "p"), *rule), truth)
+    all_ = metrics(per).withColumn("country", F.lit(None).cast("string"))
+    if abs(all_.first()["macro_f05"] - best["macro_f05"]) > 2e-6:
+        raise AssertionError("the grid search and the emitted sets disagree")
+    return metrics(per, "country").unionByName(all_).withColumns({"t_emit": F.lit(rule[0]), "t_add": F.lit(rule[1]), "rel": F.lit(rule[2])})
+
+
+def predict(pairs: DataFrame, s1: DataFrame, how: str = "rule", rule: tuple[float, float, float] = (0.55, 0.75, 0.7), margin: float | None = None, adjust: tuple[float, float] | None = None, s1_id=None, t_id=None) -> DataFrame:
+    """(s1, ids): one list for each S1, from scored pairs: logit adjustment and assignment of targets, if asked for, then emission, then lists.
+    s1_id and t_id name the keys. Lists that break a rule of the validator raise an error where they are used."""
+    x = pairs.select("s1", "t", "p")
+    x = x.withColumn("p", logit_adjust(F.col("p"), *adjust)) if adjust else x
+    x = assign_targets(x, margin) if margin is not None else x
+    name = (lambda c: c.cast("string")) if s1_id is None else s1_id
+    out = emit(x.where("p > 0"), how, rule).select(name(F.col("s1")).alias("s1"), (t_id or name)(F.col("t")).alias("t"))
+    lists = id_lists(s1.select(name(F.col("s1")).alias("s1")), out, "ids")
+    bad = F.col("ids").rlike("(^|,)(?!S[23]-)") & (F.col("ids") != "")
+    return lists.withColumn("ids", F.when(bad, F.raise_error(F.concat(F.lit("not a target's id in the list of "), F.col("s1")))).otherwise(F.col("ids")))
+
+
+def validate_files(spark: SparkSession, files: dict[str, tuple[str, list[str]]], s1: DataFrame, targets: DataFrame | None = None, subset: tuple[str, str] | None = None) -> DataFrame:
+    """(file, rule, n): how often each rule is broken. files: name -> (path, header); targets (t): known ids, if they are to be checked; subset:
+    names of two files of which the first's ids must be among the second's. A file with a wrong header is not read further.
+
+    Rules: header, comma_separated, no_tab, duplicate_row, duplicate_id, self_match, bad_prefix, unknown_id, missing_s1, unknown_s1, not_in_candidates.
+    The files are read line by line as tables: one pass for the lines' form, none on the driver but of the header."""
+    out, lists = [], {}
+    for name, (path, header) in files.items():
+        lines = spark.read.text(path)
+        first = lines.limit(1).collect()  # one line
+        got = first[0]["value"] if first else ""
+        rule = None if [c.strip().lower() for c in got.split("\t")] == header else "comma_separated" if "\t" not in got and "," in got else "header"
+        if rule:
+            out.append(spark.createDataFrame([(name, rule, 1)], "file string, rule string, n long"))
+            continue
+        body = lines.where(F.col("value") != got)
+        rows = body.where("instr(value, '\t') > 0").selectExpr("split_part(value, '\t', 1) AS s1", "substring(value, instr(value, '\t') + 1) AS ids")
+        ids = rows.where("trim(ids) <> ''").select("s1", F.explode(F.split("ids", ",")).alias("t"))
+        lists[name] = ids
+        broken = {
+            "no_tab": body.where("instr(value, '\t') = 0 AND trim(value) <> ''").select("value"), "duplicate_row": rows.groupBy("s1").count().where("count > 1").select("s1"),
+            "duplicate_id": ids.groupBy("s1", "t").count().where("count > 1").select("s1").distinct(), "self_match": ids.where("t LIKE 'S1-%'").select("t").distinct(),
+            "bad_prefix": ids.where("NOT t rlike '^S[123]-'").select("t").distinct(), "missing_s1": s1.join(rows, "s1", "left_anti").select("s1"), "unknown_s1": rows.join(s1, "s1", "left_anti").select("s1").distinct(),
+        }
+        if targets is not None:
+            broken["unknown_id"] = ids.where("t rlike '^S[23]-'").join(targets, "t", "left_anti").select("t").distinct()
+        out += [d.select(F.lit(name).alias("file"), F.lit(r).alias("rule")).groupBy("file", "rule").agg(F.count(F.lit(1)).alias("n")) for r, d in broken.items()]
+    if subset and set(subset) <= set(lists):
+        over = subset_violations(lists[subset[0]], lists[subset[1]])
+        out.append(over.select(F.lit(subset[0]).alias("file"), F.lit("not_in_candidates").alias("rule")).groupBy("file", "rule").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def subset_violations(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     return matches.join(candidates, ["s1", "t"], "left_anti").select("s1", "t")
 

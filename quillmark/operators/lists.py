@@ -91,12 +91,18 @@ def expected_f_select(pairs: DataFrame, miss: float) -> DataFrame:
     """(s1, k, f): how many of the best to emit for the largest expected F0.5, 0 if emitting none is as good."""
     line = best_first("s1", "p", "t")
     run = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = pairs.withColumns({"_k": F.row_number().over(line), "_c": F.sum("p").over(run), "_sum": F.sum("p").over(by_s1()), "_none": F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))).over(by_s1())})
+    x = pairs.withColumns({"_k": F.row_number().over(line), "_c": F.sum("p").over(run), "_sum": F.sum("p").over(by_s1()), "_none": F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))).over(by_s1())})
     x = x.withColumns({"_f": F.round(1.25 * F.col("_c") / (F.col("_k") + 0.25 * (F.col("_sum") + miss)), 9), "_f0": F.round((1 - miss) * F.exp("_none"), 9)})
     best = x.groupBy("s1").agg(F.max(F.struct("_f", (-F.col("_k")).alias("k"))).alias("b"), F.max("_f0").alias("f0"))
     return best.select("s1", F.when(F.col("b._f") > F.col("f0"), -F.col("b.k")).otherwise(0).alias("k"), F.round(F.greatest("b._f", "f0"), 6).alias("f"))
 
 
+def expected_f_pairs(pairs: DataFrame, miss: float) -> DataFrame:
+    """The pairs that expected_f_select chooses."""
+    x = pairs.withColumn("_k", F.row_number().over(best_first("s1", "p", "t"))).join(expected_f_select(pairs, miss).select("s1", F.col("k").alias("_most")), "s1")
+    return x.where("_k <= _most").select(pairs.columns)
+
+
 def pseudo_clean(pairs: DataFrame, emitted: str, hi: float, lo: float, lo_single: float) -> DataFrame:
     """S1 whose lists are clear enough to train on: n_emit, min_emit, max_rest, best."""
     e = F.col(emitted)

@@ -43,7 +43,7 @@ def overlap(pairs: DataFrame, weighted: DataFrame, rare: float = 8.0) -> DataFra
     return x.select(
         *pairs.columns,
         F.size("both").alias("n_shared"),
-        (F.size("left") + F.size("right")).alias("token_diff"),
+        F.abs(F.size("ta") - F.size("tb")).alias("token_diff"),
         (F.col("shared") / F.greatest(F.col("ma") + F.col("mb") - F.col("shared"), F.lit(1e-6))).alias("idf_jacc"),
         (F.col("shared") / F.greatest("ma", F.lit(1e-6))).alias("idf_cover_s1"),
         (F.col("shared") / F.greatest("mb", F.lit(1e-6))).alias("idf_cover_t"),

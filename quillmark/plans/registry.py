@@ -246,7 +246,7 @@ def _(s, d):
 , w AS (SELECT key, k.token, idf FROM ({TOK}) k JOIN i ON k.country = i.country AND k.token = i.token), m AS (SELECT key, sum(idf) AS mass, count(*) AS n FROM w GROUP BY key),
 c AS (SELECT p.s1, p.t, count(w2.token) AS n, coalesce(sum(w1.idf) FILTER (WHERE w2.token IS NOT NULL), 0) AS sh, max(w1.idf) FILTER (WHERE w2.token IS NOT NULL) AS mx, max(w1.idf) FILTER (WHERE w2.token IS NULL) AS un
   FROM tru p JOIN w w1 ON w1.key = p.s1 LEFT JOIN w w2 ON w2.key = p.t AND w2.token = w1.token AND w2.idf = w1.idf GROUP BY p.s1, p.t)
-SELECT c.s1, c.t, c.n::INT AS n_shared, (m1.n + m2.n - 2 * c.n)::INT AS token_diff, round(sh / greatest(m1.mass + m2.mass - sh, 1e-6), 6) AS idf_jacc, round(sh / greatest(m1.mass, 1e-6), 6) AS idf_cover_s1, round(coalesce(mx, 0), 6) AS max_shared_idf, round(coalesce(un, 0), 6) AS max_unmatched_idf_s1
+SELECT c.s1, c.t, c.n::INT AS n_shared, abs(m1.n - m2.n)::INT AS token_diff, round(sh / greatest(m1.mass + m2.mass - sh, 1e-6), 6) AS idf_jacc, round(sh / greatest(m1.mass, 1e-6), 6) AS idf_cover_s1, round(coalesce(mx, 0), 6) AS max_shared_idf, round(coalesce(un, 0), 6) AS max_unmatched_idf_s1
 FROM c JOIN m m1 ON m1.key = c.s1 JOIN m m2 ON m2.key = c.t""", "rec", "tru", "tok"))
 def _(s, d):
     w = _tokens(s, d).join(_by_country(s, d), ["country", "token"]).select("key", "token", "idf")
@@ -467,7 +467,7 @@ def _(s, d):
     return lists.assign_targets(pairs(s, d).select("s1", "t", "p"), 0.02)
 
 
-@query("w15_expected_f", sql(f"+x AS (SELECT s1, row_number() OVER ({_LINE % 'p'}) AS k, sum(p) OVER ({_LINE % 'p'} ROWS UNBOUNDED PRECEDING) AS c, sum(p) OVER (PARTITION BY s1) AS sp, sum(ln(greatest(1 - p, 1e-12))) OVER (PARTITION BY s1) AS nn FROM prs), y AS (SELECT s1, k, round(1.25::DOUBLE * c / (k + 0.25::DOUBLE * (sp + 0.05::DOUBLE)), 9) AS f, round(0.95::DOUBLE * exp(nn), 9) AS f0 FROM x), z AS (SELECT s1, f, k, f0, row_number() OVER (PARTITION BY s1 ORDER BY f DESC, k) AS r FROM y) SELECT s1, CASE WHEN f > f0 THEN k ELSE 0 END AS k, round(greatest(f, f0), 6) AS f FROM z WHERE r = 1", "prs"))
+@query("w15_expected_f", sql(f"+x AS (SELECT s1, row_number() OVER ({_LINE % 'p'}) AS k, sum(p) OVER ({_LINE % 'p'} ROWS UNBOUNDED PRECEDING) AS c, sum(p) OVER (PARTITION BY s1) AS sp, sum(ln(greatest(1 - p, 1e-9))) OVER (PARTITION BY s1) AS nn FROM prs), y AS (SELECT s1, k, round(1.25::DOUBLE * c / (k + 0.25::DOUBLE * (sp + 0.05::DOUBLE)), 9) AS f, round(0.95::DOUBLE * exp(nn), 9) AS f0 FROM x), z AS (SELECT s1, f, k, f0, row_number() OVER (PARTITION BY s1 ORDER BY f DESC, k) AS r FROM y) SELECT s1, CASE WHEN f > f0 THEN k ELSE 0 END AS k, round(greatest(f, f0), 6) AS f FROM z WHERE r = 1", "prs"))
 def _(s, d):
     return lists.expected_f_select(pairs(s, d), 0.05)
 
