@@ -65,14 +65,14 @@ def text_of(column: str = "text"):
 
 
 #: Least and most bits of a bitmap that keeps most rows without partners out of a shuffle; a join follows, so it only saves work.
-FILTER_BITS = (1 << 16, 1 << 26)
+FILTER_BITS = (1 << 22, 1 << 26)
 
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of which the long column `key` may be among those of ids (a table that can be read twice): all that are, and few others while
-    ids are fewer than FILTER_BITS[1]; beyond that, more others. Keys are hashes. The bitmap has eight bits for each id, and
+    ids are fewer than FILTER_BITS[1]; beyond that, more others. Keys are hashes. The bitmap has 32 bits for each id, and
     at most FILTER_BITS[1] / 8 bytes are broadcast."""
-    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * ids.count()).bit_length()))
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (32 * ids.count()).bit_length()))
     at = F.pmod(key, F.lit(size)) + 1
     bits = ids.select(at.alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
     own = rows.withColumn("_p", at).withColumns({"_b": F.expr("bitmap_bucket_number(_p)"), "_at": F.expr("bitmap_bit_position(_p)")})

@@ -171,8 +171,10 @@ def _ranks(counts: DataFrame, shape: Shape) -> np.ndarray:
 
     slices = 1 << (shape.count_bits - shape.slice_bits)
     out = np.zeros((slices, 1 << shape.slice_bits), np.uint8)
-    for r in counts.where("slice is not null").select("slice", "counts").repartition(slices, "slice").mapInArrow(run, "slice int, ranks binary").collect():  # 2 ** count_bits bytes
-        out[r["slice"]] = np.frombuffer(r["ranks"], np.uint8)
+    got = counts.where("slice is not null").select("slice", "counts").repartition(slices, "slice").mapInArrow(run, "slice int, ranks binary").toArrow()  # 2 ** count_bits bytes
+    for b in got.to_batches():
+        for s, r in zip(b.column(0).to_pylist(), b.column(1)):
+            out[s] = np.frombuffer(r.as_buffer(), np.uint8)
     return out.ravel()
 
 

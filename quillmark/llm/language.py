@@ -179,14 +179,16 @@ def fit(docs: DataFrame, shape: Shape = Shape()) -> Model:
     order = sorted(range(got.num_rows), key=[(str(d), t) for d, t in zip(got["doc_id"].to_pylist(), got["text"].to_pylist())].__getitem__)
     got = got.take(pa.array(order, pa.int64()))
     text, lang = got["text"].combine_chunks(), np.array(got["lang"].to_pylist(), object)
-    df, parts = np.zeros(shape.buckets), []
+    df, unit, at = np.zeros(shape.buckets), np.zeros((len(text), shape.buckets), np.float32), 0
     for m, _ in vectors(text, shape, None):
         df += (m > 0).sum(0)
-        parts.append(m.astype(np.float32))
-    counts = np.concatenate(parts) if parts else np.zeros((0, shape.buckets), np.float32)
-    idf = np.log((1 + len(counts)) / (1 + df)) + 1
-    unit = np.log1p(counts) * idf.astype(np.float32)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        unit[at : at + len(m)] = m
+        at += len(m)
+    idf = np.log((1 + len(unit)) / (1 + df)) + 1
+    for part in np.array_split(unit, max(1, len(unit) // 128)):  # in place: the one large matrix of the sample
+        np.log1p(part, out=part)
+        part *= idf.astype(np.float32)
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     rng, names = np.random.default_rng(shape.seed), tuple(sorted({*lang}))
     centroids, of, farthest = [], [], []
     for k, name in enumerate(names):
