@@ -1,7 +1,7 @@
 """Connected components of a link table.
 
-Each task contracts its own edges to stars first, in blocks of bounded size; alternating star steps then join the stars of
-all tasks, until the table is a forest of stars.
+Each task contracts its own edges to stars first, in blocks of bounded size. If the stars of all tasks together fit into one such
+block, one more contraction joins them; else alternating star steps do, until the table is a forest of stars.
 """
 
 from __future__ import annotations
@@ -82,11 +82,15 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, most_rounds: int = 60, block: int = 1 << 20) -> DataFrame:
     """(node, root) for every node of (a, b) edges of longs: root is the least node of its component. Self-links and repeated edges count for
     nothing, edges with a null neither; an empty table gives no rows. `block`: most edges that a task contracts at once, and one batch more."""
-    now = materialize(_contracted(edges.where("a <> b"), block).distinct())
-    for _ in range(most_rounds):
-        if _settled(now):
-            break
-        now = _star(_star(now, True), False)
+    now = materialize(_contracted(edges.where("a <> b"), block))
+    if now.count() <= block:  # a bounded table: one block, one task
+        now = materialize(_contracted(now.coalesce(1), block))
     else:
-        raise RuntimeError("components did not settle")
+        now = materialize(now.distinct())
+        for _ in range(most_rounds):
+            if _settled(now):
+                break
+            now = _star(_star(now, True), False)
+        else:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -152,7 +152,9 @@ def _row() -> list:
 
 def _clashes(read: DataFrame) -> Clashes:
     """Other keys for sets that share the first half of their names: about n * n / 2 ** 65 of n sets, so a few dozen of 3e10."""
-    shared = read.select("k", "k2").where("k is not null").distinct().groupBy("k").agg(F.collect_list("k2").alias("_all")).where("size(_all) > 1").collect()
+    named = read.select("k", "k2").where("k is not null")
+    keys = [r["k"] for r in named.groupBy("k").agg(F.min("k2").alias("_a"), F.max("k2").alias("_z")).where("_a <> _z").select("k").collect()]
+    shared = named.where(F.col("k").isin(keys)).groupBy("k").agg(F.collect_set("k2").alias("_all")).collect() if keys else []
     return {(r["k"], k2): _signed(xxhash.xxh3_64_intdigest(f"{r['k']}:{k2}")) for r in shared for k2 in r["_all"]}
 
 
