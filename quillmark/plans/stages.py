@@ -251,7 +251,8 @@ def _(s, d):
 
 @query("d7_validate_files", "SELECT * FROM (VALUES ('matches', 'duplicate_id', 1), ('matches', 'self_match', 1), ('matches', 'bad_prefix', 1), ('matches', 'unknown_id', 1), ('matches', 'no_tab', 1), ('matches', 'missing_s1', (SELECT count(*) FROM nation) - 5), ('matches', 'unknown_s1', 1), ('matches', 'duplicate_row', 1), ('matches', 'not_in_candidates', 6), ('candidates', 'missing_s1', (SELECT count(*) FROM nation) - 1), ('broken', 'comma_separated', 1)) v(file, rule, n)")
 def _(s, d):
-    rows = ["S1-0\tS2-1,S2-1", "S1-1\tS1-3", "S1-2\tX-1,S3-2", "S1-3\tS2-999999", "no tab here", "S1-4\t", "S1-4\tS2-2", "S1-77\tS2-3"]
+    beyond = (table(s, d, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1  # an id that isn't known, however large the table is
+    rows = ["S1-0\tS2-1,S2-1", "S1-1\tS1-3", "S1-2\tX-1,S3-2", f"S1-3\tS2-{max(beyond, 999_999)}", "no tab here", "S1-4\t", "S1-4\tS2-2", "S1-77\tS2-3"]
     files = {"matches": (["source1_entity_id\tmatched_entity_ids", *rows], ["source1_entity_id", "matched_entity_ids"]), "candidates": (["source1_entity_id\tcandidate_entity_ids", "S1-0\tS2-1"], ["source1_entity_id", "candidate_entity_ids"]), "broken": (["source1_entity_id,matched_entity_ids", "S1-0,S2-1"], ["source1_entity_id", "matched_entity_ids"])}
     paths = {}
     for name, (lines, header) in files.items():
