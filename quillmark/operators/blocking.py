@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators import tokens
+
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best t of each s1, rank from 1; ties to the smaller t."""
@@ -17,35 +21,118 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
 
 
-def grams(text: str, kind: str) -> Column:
+def grams(text: str, kind: str) -> list[str]:
     """Words, or character n-grams: char3 over the whole text, char_wb within blank-padded words (2 to 4)."""
-    if kind == "word":
-        return F.expr(f"filter(split({text}, '\\\\s+'), t -> t <> '')")
     if kind == "char3":
-        return F.expr(f"CASE WHEN length({text}) < 3 THEN array() ELSE transform(sequence(1, length({text}) - 2), i -> substring({text}, i, 3)) END")
+        return [text[i : i + 3] for i in range(len(text) - 2)]
+    words = [w for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    if kind == "word":
+        return words
     # n-grams of n >= length of a padded word give the word once, for the first such n
-    return F.expr(f"""flatten(transform(filter(split({text}, '\\\\s+'), t -> t <> ''), w -> flatten(transform(sequence(2, 4), n ->
-        CASE WHEN length(w) + 2 >= n THEN transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n)) ELSE array() END))))""")
+    return [w[i : i + n] for w in (f" {w} " for w in words) for n in (2, 3, 4) for i in range(len(w) + 1 - n)]
+
+
+def counted(records: DataFrame, text: str, kind: str) -> DataFrame:
+    """(key, country, is_s1, gram, tf): arrays of the distinct grams of each record with any, and how often they occur. Rows of one key are one record."""
+    rows = records.select("key", "country", "is_s1", F.array(text).alias("_t"))
+    again = records.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    if not again.isEmpty():
+        merged = rows.join(again, "key", "left_semi").groupBy("key", "country", "is_s1").agg(F.flatten(F.collect_list("_t")).alias("_t"))
+        rows = rows.join(again, "key", "left_anti").unionByName(merged)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Counter(g for t in texts for g in grams(t or "", kind)) for texts in b.column(3).to_pylist()]
+            some = pa.array([bool(c) for c in found])
+            found = [c for c in found if c]
+            columns = [*(b.column(i).filter(some) for i in range(3)), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "country", "is_s1", "gram", "tf"])
+
+    kind_of = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"key {kind_of['key']}, country {kind_of['country']}, is_s1 {kind_of['is_s1']}, gram array<string>, tf array<int>")
 
 
-def tfidf_topk(records: DataFrame, text: str, kind: str, max_df: float, top_m: int, k: int) -> DataFrame:
+def tfidf_topk(records: DataFrame, text: str, kind: str, max_df: float, top_m: int, k: int, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(s1, t, score, rank): within a country, each S1's k targets of the largest partial cosine.
 
-    records: (key, country, is_s1, text). Weights tf * (ln((1+n)/(1+df)) + 1), scaled to length 1 over all grams of a record; then only
-    grams in at most max_df * n records count, and of an S1 the top_m rarest of them. The join is on (country, gram), so the
-    frequent grams that would make hot keys are gone before it.
-    """
-    tf = records.select("key", "country", "is_s1", F.explode(grams(text, kind)).alias("gram")).groupBy("key", "country", "is_s1", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    n = records.agg(F.count(F.lit(1)).alias("n"))
-    stats = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))  # one row
-    stats = stats.withColumns({"idf": F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, "usable": F.col("df") <= F.col("n") * max_df})
-    w = tf.join(stats, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))).where("usable")
-    rarest = Window.partitionBy("key").orderBy(F.desc("idf"), "gram")
-    q = w.where("is_s1").withColumn("_r", F.row_number().over(rarest)).where(F.col("_r") <= top_m).select(F.col("key").alias("s1"), "country", "gram", F.col("w").alias("wq"))
-    t = w.where("not is_s1").select(F.col("key").alias("t"), "country", "gram", F.col("w").alias("wt"))
-    scored = q.join(t, ["country", "gram"]).groupBy("s1", "t").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 6).alias("score")).where("score > 0")
-    return ranked(scored, k)
+    records: (key, country, is_s1, text), rows of one key in one country. Weights tf * (ln((1+n)/(1+df)) + 1), scaled to length 1 over all grams
+    of a record; then only grams in at most max_df * n records count, and of an S1 the top_m rarest of them. Targets are dealt into blocks, each
+    in one task, which all S1 of the country meet: only the best of a block leave it, as pairs with a gram in common are too many to be
+    written. There grams are named by 64 bits. keep: writes a table that is read several times."""
+    rows = keep(counted(records, text, kind))
+    n = float(records.count())
+    freq = keep(rows.select(F.explode("gram").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).select(F.lit("df").alias("name"), "token", "df"))
+    w = tokens.looked_up(rows, freq, {"df": F.col("gram")})
+    idf = lambda df: F.log((1 + F.lit(n)) / (1 + df)) + 1
+    w = w.withColumn("_w", F.transform(F.arrays_zip("df", "gram", "tf"), lambda c: F.struct(c["df"].alias("df"), c["gram"].alias("gram"), (c["tf"] * idf(c["df"])).alias("w"))))
+    w = w.withColumn("_l", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
+    w = w.select("key", "country", "is_s1", "_l", F.filter("_w", lambda x: x["df"] <= n * max_df).alias("_w")).where("size(_w) > 0 and country is not null")
+    best = F.when(F.col("is_s1"), F.slice(F.array_sort("_w"), 1, top_m)).otherwise(F.col("_w"))  # the rarest first, ties by the gram
+    packed = w.withColumn("_w", best).select("country", F.when(F.col("is_s1"), 1).otherwise(0).alias("side"), "key", F.transform("_w", lambda x: F.xxhash64(x["gram"])).alias("h"), F.transform("_w", lambda x: x["w"] / F.col("_l")).alias("w"))
+    return ranked(_best_of_blocks(keep(packed), k), k)
+
+
+def _best_of_blocks(packed: DataFrame, k: int, rows: tuple[int, int] = (1 << 14, 1 << 16)) -> DataFrame:
+    """(s1, t, score): each S1's k best targets of each block of its country, of (country, side, key, h, w): side 0 targets, 1 S1. A block has
+    about rows[1] targets at most, and fewer, down to rows[0], where there are more cores than blocks."""
+    sizes = packed.where("side = 0").groupBy("country").agg(F.count(F.lit(1)).alias("_n"))
+    every = sizes.agg(F.sum("_n")).first()[0] or 0
+    most = min(max(every // (2 * packed.sparkSession.sparkContext.defaultParallelism), rows[0]), rows[1])
+    blocks = sizes.select("country", F.ceil(F.col("_n") / most).cast("long").alias("_b"))
+    placed = packed.join(F.broadcast(blocks), "country")  # one row for each country
+    own = F.array(F.expr("pmod(xxhash64(key), _b)"))
+    dealt = placed.withColumn("block", F.explode(F.when(F.col("side") == 0, own).otherwise(F.expr("sequence(0L, _b - 1)"))))
+    dealt = dealt.repartition("country", "block").sortWithinPartitions("country", "block", "side", "key").select("country", "block", "side", "key", "h", "w")
+    kind = dict(packed.dtypes)["key"]
+
+    def index(held: list[tuple]) -> tuple:
+        keys, sizes, h, w = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)[order]
+        return keys, h[order], owner, w[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, made = None, [], None
+        for b in batches:
+            country, block, side = (b.column(i).to_pylist() for i in range(3))
+            keys = b.column(3).to_numpy()
+            at = b.column(4).offsets.to_numpy()
+            h, w = b.column(4).values.to_numpy(), b.column(5).values.to_numpy()
+            cuts = [i for i in range(1, len(keys)) if (country[i], block[i], side[i]) != (country[i - 1], block[i - 1], side[i - 1])]
+            for i, j in zip([0, *cuts], [*cuts, len(keys)]):
+                if (country[i], block[i]) != now:
+                    now, held, made = (country[i], block[i]), [], None
+                if side[i] == 0:
+                    held.append((keys[i:j].copy(), np.diff(at[i : j + 1]), h[at[i] : at[j]].copy(), w[at[i] : at[j]].copy()))
+                    continue
+                if not held and made is None:
+                    continue
+                made = made or index(held)
+                held = []
+                out = ([], [], [])
+                for q in range(i, j):
+                    t, score = _best_targets(h[at[q] : at[q + 1]], w[at[q] : at[q + 1]], *made, k)
+                    out[0].append(np.full(len(t), keys[q]))
+                    out[1].append(t)
+                    out[2].append(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["s1", "t", "score"])
+
+    return dealt.mapInArrow(run, f"s1 {kind}, t {kind}, score double")
+
+
+def _best_targets(h: np.ndarray, w: np.ndarray, keys: np.ndarray, grams_: np.ndarray, owner: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the sorted keys by the sum of products; ties to the smaller key."""
+    starts, ends = np.searchsorted(grams_, h, "left"), np.searchsorted(grams_, h, "right")
+    rows = np.concatenate([owner[a:b] for a, b in zip(starts, ends)])
+    if not len(rows):
+        return keys[:0], np.zeros(0)
+    score = np.round(np.bincount(rows, np.concatenate([weights[a:b] * x for a, b, x in zip(starts, ends, w)])), 6)
+    near = np.flatnonzero(score > 0)
+    if len(near) > k:
+        own = score[near]
+        near = near[own >= np.partition(own, -k)[-k]]
+        near = near[np.lexsort((near, -score[near]))[:k]]
+    return keys[near], score[near]
 
 
 def _blocked_best(s1: DataFrame, t: DataFrame, k: int, by: str, rows: int = 4096) -> DataFrame:

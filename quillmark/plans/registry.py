@@ -280,7 +280,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, t) AS ra
 
 
 def _blocker(s, d, kind: str, max_df: float, top_m: int, k: int) -> DataFrame:
-    return blocking.tfidf_topk(records(s, d).selectExpr("key", "country", "src = 1 AS is_s1", "lower(business_name) AS low"), "low", kind, max_df, top_m, k)
+    return blocking.tfidf_topk(records(s, d).selectExpr("key", "country", "src = 1 AS is_s1", "lower(business_name) AS low"), "low", kind, max_df, top_m, k, _kept(s))
+
+
+def _kept(s):
+    """Writes a table that is read several times."""
+    return lambda x: tsv.cache(x, _scratch(s))
 
 
 @query("j1_word_topk", sql(_topk_sql("list_filter(regexp_split_to_array(lower(business_name), '\\s+'), lambda t: t <> '')", 0.1, 8, 20), "rec"))
