@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import ids, similarity, text
 from quillmark.operators import blocking, decide, features, lists, models, reports, stack, tokens
-from quillmark.plans.registry import _GRID, _METRICS, ORACLES, QUERIES, _normal, _scratch, _vectors, query
+from quillmark.plans.registry import _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _vectors, query
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
 from quillmark.sources import store, synthetic, tsv
 from quillmark.streaming import competition
@@ -146,9 +146,9 @@ def _(s, d):
 
 @query("j20_block_universe")
 def _(s, d):
-    r = _normal(s, d).withColumn("is_s1", F.col("src") == 1)
-    word = blocking.tfidf_topk(r, "name_core", "word", 0.1, 8, 10).select("s1", "t", "score", "rank")
-    char = blocking.tfidf_topk(r, "name_ascii", "char3", 0.02, 12, 5).select("s1", "t", "score", "rank")
+    r = _kept(s)(_normal(s, d).select("key", "country", "name_core", "name_ascii", (F.col("src") == 1).alias("is_s1")))
+    word = blocking.tfidf_topk(r, "name_core", "word", 0.1, 8, 10, _kept(s)).select("s1", "t", "score", "rank")
+    char = blocking.tfidf_topk(r, "name_ascii", "char3", 0.02, 12, 5, _kept(s)).select("s1", "t", "score", "rank")
     k = QUERIES["j5_block_keys"](s, d)
     keyed = {n: blocking.key_block_pairs(k.where("src = 1").selectExpr("key AS s1", f"{n} AS key"), k.where("src > 1").selectExpr("key AS t", f"{n} AS key"), 20) for n in ("k_postal", "k_rare2")}
     return blocking.union_pool({"b2w": word, "b1": char}, keyed)
