@@ -67,3 +67,13 @@ def test_topk_does_not_write_the_pairs_it_compares(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert written() - before < 50_000
+
+
+@pytest.mark.parametrize("name", ["f_pruner_features", "f_stage1_features"])
+def test_feature_tables_have_a_small_plan_and_look_rare_words_up(spark, name, monkeypatch):
+    rows = lambda df: sorted(map(repr, df.collect()))
+    made = entry.queries()[name](spark, SF)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") < 30
+    want = rows(made)
+    monkeypatch.setattr(tokens.looked_up, "__defaults__", (20,))
+    assert rows(entry.queries()[name](spark, SF)) == want and want
