@@ -11,6 +11,8 @@ Everything happens in one pass over each input partition, without a shuffle. The
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,6 +47,7 @@ class Encoder:
     """Ids by a byte-level BPE tokenizer, each distinct pre-token encoded once."""
 
     MOST = 400_000
+    AT_ONCE = 4_096  # an encoding takes about a kilobyte besides its ids
 
     def __init__(self, json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,7 +72,7 @@ class Encoder:
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+            ids = [e.ids for i in range(0, len(new), self.AT_ONCE) for e in self.tokenizer.encode_batch_fast([p.decode() for p in new[i : i + self.AT_ONCE]], add_special_tokens=False)]
             known.update(zip(new, range(len(known), len(known) + len(new))))
             ends = np.cumsum([len(x) for x in ids]) + len(self.flat)
             self.at = np.concatenate([self.at, ends])
@@ -253,6 +256,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _release()  # what earlier stages have left in this worker
         encoder = _encoder(shared)
         next_id = TaskContext.get().partitionId() << 40
         waiting, out, held = Pool(capacity), [], 0
@@ -300,6 +304,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, SCHEMA.format(id=kind))
 
 
+def _release() -> None:
+    """Hand memory that is free back to the system, where it keeps it: a worker lives for many tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
