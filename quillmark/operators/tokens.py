@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 #: So many of the most frequent tokens are broadcast at most, for look-ups in place; the others are joined.
-COMMON = 1 << 17
+COMMON = 1 << 19
 
 
 def words(text: str) -> Column:
