@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words
-from quillmark.llm.common import materialize, maybe_among
+from quillmark.llm.common import materialize, maybe_among, releasing
 from quillmark.llm.graph import components
 
 
@@ -142,7 +142,7 @@ def _read(docs: DataFrame, shape: Shape) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types[:7]), pa.array(some, pa.int32()), pa.array([pack.compress(low[i].tobytes()) for i in some], pa.binary())], names)
 
-    return docs.select(*_row(), "doc_id", "text").mapInArrow(run, f"_r long, _q long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, k2 long, v binary, slice int, counts binary")
+    return docs.select(*_row(), "doc_id", "text").mapInArrow(releasing(run), f"_r long, _q long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, k2 long, v binary, slice int, counts binary")
 
 
 def _row() -> list:
@@ -173,7 +173,7 @@ def _ranks(counts: DataFrame, shape: Shape) -> np.ndarray:
 
     slices = 1 << (shape.count_bits - shape.slice_bits)
     out = np.zeros((slices, 1 << shape.slice_bits), np.uint8)
-    got = counts.where("slice is not null").select("slice", "counts").repartition(slices, "slice").mapInArrow(run, "slice int, ranks binary").toArrow()  # 2 ** count_bits bytes
+    got = counts.where("slice is not null").select("slice", "counts").repartition(slices, "slice").mapInArrow(releasing(run), "slice int, ranks binary").toArrow()  # 2 ** count_bits bytes
     for b in got.to_batches():
         for s, r in zip(b.column(0).to_pylist(), b.column(1)):
             out[s] = np.frombuffer(r.as_buffer(), np.uint8)
@@ -253,8 +253,8 @@ def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -
             yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(p[i : i + (1 << 16)])], ["k", "p"])
 
     texts = docs.select("text").where("text is not null")
-    packed = texts.mapInArrow(lambda batches: run(batches, False), "part int, packed binary").repartition(parts, "part").select("packed").mapInArrow(star, "k long, p long")
-    hot = materialize(texts.mapInArrow(lambda batches: run(batches, True), "t long, k long").distinct())
+    packed = texts.mapInArrow(releasing(lambda batches: run(batches, False)), "part int, packed binary").repartition(parts, "part").select("packed").mapInArrow(releasing(star), "k long, p long")
+    hot = materialize(texts.mapInArrow(releasing(lambda batches: run(batches, True)), "t long, k long").distinct())
     least = materialize(hot.groupBy("t").agg(F.min("k").alias("p"), F.max("k").alias("_z")).where("p <> _z").select("t", "p"))
     met = hot.join(least, "t").where("k <> p").select("k", "p")
     return packed.unionByName(met).distinct()
@@ -379,7 +379,7 @@ def _sift(rows: DataFrame, shape: Shape) -> DataFrame:
         found = ((p, a, b) for (p, _, mode), held in _grouped(batches, 3) for a, b in part(mode, held))
         yield from _batches(found, ["p", "a", "b"], [pa.int64()] * 3)
 
-    return _dealt(rows, "p", "part").select("p", "part", "mode", "role", "k", "n", "v").mapInArrow(run, "p long, a long, b long")
+    return _dealt(rows, "p", "part").select("p", "part", "mode", "role", "k", "n", "v").mapInArrow(releasing(run), "p long, a long, b long")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -420,7 +420,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, reps: DataFrame, clashes: Clashe
 
     rows = wanted.join(reps.select("k", "_r"), "k").select("_r")
     some = maybe_among(docs.select(F.xxhash64("doc_id", "text").alias("_r"), "text"), "_r", materialize(rows)).select("text")
-    return some.mapInArrow(run, "k long, n long, s binary").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    return some.mapInArrow(releasing(run), "k long, n long, s binary").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
 
 
 class Region:
@@ -501,7 +501,7 @@ def _joined(rows: DataFrame, shape: Shape) -> DataFrame:
 
         yield from _batches(links(), ["a", "b"], [pa.int64(), pa.int64()])
 
-    return _dealt(rows, "g", "block").select("g", "block", "k", "home", "s").mapInArrow(run, "a long, b long")
+    return _dealt(rows, "g", "block").select("g", "block", "k", "home", "s").mapInArrow(releasing(run), "a long, b long")
 
 
 def _nearest(rows: DataFrame, shape: Shape) -> DataFrame:
@@ -527,7 +527,7 @@ def _nearest(rows: DataFrame, shape: Shape) -> DataFrame:
 
         yield from _batches(((g, k, p, bool(h), x) for g, k, p, h, x in found()), ["g", "k", "p", "home", "linked"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()])
 
-    return _dealt(rows, "g", "part").select("g", "part", "role", "k", "s").mapInArrow(run, "g long, k long, p long, home boolean, linked boolean")
+    return _dealt(rows, "g", "part").select("g", "part", "role", "k", "s").mapInArrow(releasing(run), "g long, k long, p long, home boolean, linked boolean")
 
 
 def _measured(cells: DataFrame, shape: Shape) -> DataFrame:

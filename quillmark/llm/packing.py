@@ -11,7 +11,6 @@ Everything happens in one pass over each input partition, without a shuffle. The
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 from collections import defaultdict
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import words
+from quillmark.llm.common import release
 
 LETTER, NUMBER, OTHER, WHITE, UNKNOWN = 1, 2, 3, 4, 9
 
@@ -305,12 +305,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
 
 def _release() -> None:
-    """Hand memory that is free back to the system, where it keeps it: a worker lives for many tasks and stages."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    release()
 
 
 _ENCODERS: dict[int, Encoder] = {}
