@@ -15,6 +15,7 @@ import gc
 import os
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,10 @@ CLASSES = _classes()
 
 
 class Encoder:
-    """Ids by a byte-level BPE tokenizer, each distinct pre-token encoded once."""
+    """Ids by a byte-level BPE tokenizer, each distinct pre-token encoded once, while it is remembered: of more than MOST, those stay that were met
+    again since the last time, half of MOST at most."""
 
-    MOST = 400_000
+    MOST = 600_000
     AT_ONCE = 4_096  # an encoding takes about a kilobyte besides its ids
 
     def __init__(self, json: str):
@@ -61,6 +63,18 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.at = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Forget pieces that were not met again."""
+        stay = np.flatnonzero(self.again)[: self.MOST // 2]
+        pieces = list(self.known)  # by number, as they were added
+        size = self.at[stay + 1] - self.at[stay]
+        ends = np.zeros(len(stay) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        self.flat = self.flat[np.repeat(self.at[stay] - ends[:-1], size) + np.arange(ends[-1])]
+        self.known = {pieces[i]: k for k, i in enumerate(stay.tolist())}
+        self.at, self.again = ends, np.zeros(len(stay), bool)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -68,16 +82,22 @@ class Encoder:
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each piece in the table of encoded pieces."""
         if len(self.known) > self.MOST:
-            self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
+            self._thin()
+        known, n = self.known, len(self.known)
+        number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        first = number < 0
+        self.again[number[~first]] = True
+        new = dict.fromkeys(compress(pieces, first.tolist()))
         if new:
-            ids = [e.ids for i in range(0, len(new), self.AT_ONCE) for e in self.tokenizer.encode_batch_fast([p.decode() for p in new[i : i + self.AT_ONCE]], add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            ends = np.cumsum([len(x) for x in ids]) + len(self.flat)
+            texts = [p.decode() for p in new]
+            ids = [e.ids for i in range(0, len(texts), self.AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + self.AT_ONCE], add_special_tokens=False)]
+            known.update(zip(new, range(n, n + len(new))))
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + len(self.flat)
             self.at = np.concatenate([self.at, ends])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+            number[first] = np.fromiter(map(known.__getitem__, compress(pieces, first.tolist())), np.int64)
+        return number
 
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row's whole text; null is empty."""
