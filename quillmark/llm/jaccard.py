@@ -3,9 +3,10 @@
 Documents are sets of word n-gram hashes; 1 - Jaccard is a metric. Most documents stand at distance 1 from each other, where no
 triangle inequality tells them apart, so sets are gathered first where distances fall below 1. The first members of every set in
 one global order (rare before frequent) hold a common member for any two linked sets; all sets that share such a member meet at
-the least of them. There, counts of their members in hash buckets are compared: the sum of differences between two such
-vectors is no more than the symmetric difference of the sets, so pairs beyond the bound can't be linked. The components of
-what is left (galaxies) hold every link, and each of their sets is read and moved once, as packed hashes.
+the least of them, unless their sizes, and where the member stands in each, leave no room for a link. There, counts of their
+members in hash buckets are compared: the sum of differences between two such vectors is no more than the symmetric difference
+of the sets, so pairs beyond the bound can't be linked. The components of what is left (galaxies) hold every link. As packed
+hashes, sets of galaxies that fit one task go straight to it; those of larger galaxies are written out, as they are met again.
 
 A galaxy is the first region. While a region is too large for a task, by sets or by members, pivots are drawn from it, as many
 as its size asks for. Every set goes to the Voronoi cell of its nearest pivot, and is replicated to each cell whose pivot is
@@ -18,7 +19,7 @@ components; copies were one set from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,6 +106,20 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+#: Sizes from which the next code holds, about 8 % apart: larger sizes never have lesser codes.
+CODES = np.unique(np.ceil(2.0 ** (np.arange(1, 256) / 9)).astype(np.int64))
+
+
+def _code(n: np.ndarray | int) -> np.ndarray:
+    return np.searchsorted(CODES, n, "right").astype(np.uint8)
+
+
+def largest(n: int, at: np.ndarray, percent: int) -> np.ndarray:
+    """The most members of a set that is linked to a set of n, if their first common member is at this position of it, from 0: at most
+    n - at are in common then, and a link asks for percent / (100 + percent) of both sizes together."""
+    return np.maximum((100 + percent) * (n - at) // percent - n, 0) if percent else np.full(len(at), CODES[-1])
+
+
 def resolution(n: int, shape: Shape) -> int:
     """Into how many buckets the members of a set of n are counted: at most `load` of them in each, on average."""
     most = shape.buckets
@@ -190,21 +205,23 @@ def _first(s: np.ndarray, ranks: np.ndarray, shape: Shape) -> tuple[np.ndarray,
 
 def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -> DataFrame:
     """(k, p): each set's meeting points, by the members of its prefix. Members of high rank, which a fixed share of all sets may
-    hold, go as rows to aggregations and joins that can be split; all others are packed by hash."""
+    hold, go as rows to aggregations and joins that can be split; all others are packed by hash, in 14 bytes: the set, half of the
+    member (a part has few, so halves that agree by chance cost some candidates), and codes of the set's size and of the largest that may
+    be linked to it there. Where a list, by size, has a step that no set before it reaches across, no link does: each side has its own meeting point."""
 
     def run(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[pa.RecordBatch]:
         own = ranks.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, k = (np.concatenate(x) for x in zip(*held))
+            t, *own = (np.concatenate(x) for x in zip(*held))
             held.clear()
             to = (words.mix(t) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            t, k, to = t[order], k[order], to[order]
+            to, columns = to[order], [x[order] for x in (own[0], (t >> np.uint64(32)).astype(np.uint32), *own[1:])]
             at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
-            some = [np.stack([t[a:b].view(np.int64), k[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            some = [b"".join(x[a:b].tobytes() for x in columns) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(to[at[:-1]], pa.int32()), pa.array(some, pa.binary())], ["part", "packed"])
 
         for b in batches:
@@ -221,9 +238,9 @@ def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -
                         hot_t.append(t[hot].view(np.int64))
                         hot_k.append(np.full(int(hot.sum()), k))
                     continue
-                t = t[~hot]
-                held.append((t, np.full(len(t), k)))
-                size += len(t)
+                where = np.flatnonzero(~hot)
+                held.append((t[where], np.full(len(where), k), np.full(len(where), _code(len(s))), _code(largest(len(s), where, shape.percent))))
+                size += len(where)
                 if size > 1 << 20:
                     yield from flush()
                     size = 0
@@ -234,15 +251,11 @@ def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -
             yield from flush()
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for b in batches for x in b.column(0)]
+        held = [_unpacked(x.as_buffer()) for b in batches for x in b.column(0)]
         if not held:
             return
-        t, k = np.concatenate(held, axis=1)
+        k, p = _met(*(np.concatenate(x) for x in zip(*held)))
         held.clear()
-        order = np.lexsort((k, t))
-        t, k = t[order], k[order]
-        head = np.append(True, t[1:] != t[:-1])
-        p = k[head][np.cumsum(head) - 1]
         other = k != p
         k, p = k[other], p[other]
         order = np.lexsort((p, k))
@@ -260,6 +273,24 @@ def _given(docs: DataFrame, ranks, clashes: Clashes, shape: Shape, parts: int) -
     return packed.unionByName(met).distinct()
 
 
+def _unpacked(packed: pa.Buffer) -> list[np.ndarray]:
+    """Sets, halves of members, codes of sizes and of the largest sizes."""
+    n = packed.size // 14
+    return [np.frombuffer(packed, kind, n, at * n) for kind, at in ((np.int64, 0), (np.uint32, 8), (np.uint8, 12), (np.uint8, 13))]
+
+
+def _met(k: np.ndarray, t: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, p): where the sets k that hold t meet, if codes n are their sizes and `most` the largest that may be linked to them there."""
+    order = np.lexsort((n, t))
+    k, t, n, most = k[order], t[order], n[order], most[order]
+    head = np.append(True, t[1:] != t[:-1])[: len(t)]
+    lists = np.cumsum(head)
+    reach = np.maximum.accumulate(lists * 256 + most) - lists * 256  # of all up to here in the list
+    head[1:] |= n[1:] > reach[:-1]
+    at = np.flatnonzero(head)
+    return k, np.repeat(np.minimum.reduceat(k, at), np.diff(np.append(at, len(k)))) if len(k) else k
+
+
 class Groups:
     """Which of n things are linked, directly or not."""
 
@@ -412,15 +443,16 @@ def _may_link(given: DataFrame, vectors: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, reps: DataFrame, clashes: Clashes, shape: Shape) -> DataFrame:
-    """(k, n, s): the wanted sets (k), each once, as packed hashes."""
+    """(k, s, ...): the wanted sets (k, ...), each once, as packed hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _batches(((key_of(s, shape, clashes), len(s), s.tobytes()) for s in sets(b.column(0), shape.width)), ["k", "n", "s"], [pa.int64(), pa.int64(), pa.binary()], 2_000)
+            yield from _batches(((key_of(s, shape, clashes), s.tobytes()) for s in sets(b.column(0), shape.width)), ["k", "s"], [pa.int64(), pa.binary()], 2_000)
 
+    wanted = materialize(wanted)
     rows = wanted.join(reps.select("k", "_r"), "k").select("_r")
     some = maybe_among(docs.select(F.xxhash64("doc_id", "text").alias("_r"), "text"), "_r", materialize(rows)).select("text")
-    return some.mapInArrow(releasing(run), "k long, n long, s binary").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    return some.mapInArrow(releasing(run), "k long, s binary").join(wanted, "k").groupBy("k").agg(*(F.first(c).alias(c) for c in ("s", *wanted.columns) if c != "k"))
 
 
 class Region:
@@ -536,12 +568,11 @@ def _measured(cells: DataFrame, shape: Shape) -> DataFrame:
     return cells.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.max("home").alias("_h")).where("_h").select("g", "m", "size", room.alias("parts"))
 
 
-def _links(galaxies: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b): links between the sets of each galaxy (g, k) that join what is linked."""
-    cells = galaxies.join(packed.select("k", "n"), "k").select("g", "k", "n", F.lit(True).alias("home"), F.col("g").alias("top"))
-    links, seeds, level = None, None, 0
-    small = lambda rows: materialize(_joined(rows.join(packed.select("k", "s"), "k"), shape))
-    add = lambda x: x if links is None else links.unionByName(x)
+def _links(galaxies: DataFrame, vectors: DataFrame, packed: Callable[[DataFrame], DataFrame], shape: Shape) -> DataFrame:
+    """(a, b): links between the sets of each galaxy (g, k) that join what is linked. `packed` gives rows (k, ...) their sets."""
+    cells = materialize(galaxies.join(vectors.select("k", "n"), "k").select("g", "k", "n", F.lit(True).alias("home"), F.col("g").alias("top")))
+    links, large_sets, seeds, level = None, None, None, 0
+    small = lambda rows: materialize(_joined(rows.join(large_sets, "k"), shape))
     before = None  # size of the region that a cell comes from
     while True:
         sizes = _measured(cells, shape)
@@ -551,13 +582,20 @@ def _links(galaxies: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame:
             sizes = sizes.withColumn("_before", F.lit(None).cast("long"))
         sizes = materialize(sizes.select("g", "m", "size", "parts", (F.coalesce(F.col("m") > shape.stuck * F.col("_before"), F.lit(False)) | F.lit(level >= shape.levels)).alias("stuck")))
         fit = cells.join(sizes.where("parts = 1").select("g"), "g", "left_semi").select("g", F.lit(0).cast("long").alias("block"), "k", "home")
-        links = add(small(fit))
+        if links is None:
+            links = materialize(_joined(packed(fit), shape))
+            more = sizes.where("parts > 1").select("g")
+            if more.isEmpty():
+                return links
+            large_sets = materialize(packed(cells.join(more, "g", "left_semi").select("k")))
+        else:
+            links = links.unionByName(small(fit))
         stuck = sizes.where("parts > 1 and stuck").select("g", "parts")
         if not stuck.isEmpty():  # home sets in blocks against all sets in blocks
             rows = cells.join(stuck, "g").withColumn("_own", F.expr("pmod(xxhash64(k), parts)"))
             every = rows.withColumn("_b", F.explode(F.expr("sequence(0L, parts - 1)"))).select("g", F.expr("_own * parts + _b").alias("block"), "k", F.lit(False).alias("home"))
             homes = rows.where("home").withColumn("_b", F.explode(F.expr("sequence(0L, parts - 1)"))).select("g", F.expr("_b * parts + _own").alias("block"), "k", "home")
-            links = add(small(every.unionByName(homes)))
+            links = links.unionByName(small(every.unionByName(homes)))
         large = materialize(sizes.where("parts > 1 and not stuck").select("g", "m", "parts"))
         if large.isEmpty():
             return links
@@ -569,8 +607,8 @@ def _links(galaxies: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame:
         likely = rows.groupBy("g", "parts").agg(F.expr(f"sort_array(array_union(collect_set(CASE WHEN {some} THEN {first} END), array(min({first}))))").alias("_all"))  # a few times as many as are drawn
         drawn = likely.select("g", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("role"), F.explode(F.slice("_all.k", F.lit(1), count)).alias("k"))
         dealt = rows.select("g", F.expr("pmod(xxhash64(k), parts)").alias("part"), F.lit(2).alias("role"), "k").unionByName(drawn)
-        near = materialize(_nearest(dealt.join(packed.select("k", "s"), "k"), shape))
-        links = add(materialize(near.where("linked and k <> p").selectExpr("k AS a", "p AS b").distinct()))
+        near = materialize(_nearest(dealt.join(large_sets, "k"), shape))
+        links = links.unionByName(materialize(near.where("linked and k <> p").selectExpr("k AS a", "p AS b").distinct()))
         joined = materialize(components(links))
         rows = rows.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("_of", F.coalesce("root", "k")).drop("root")
         if seeds is None:  # each galaxy's core: what its largest part then grows to
@@ -607,10 +645,10 @@ def join(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     given = materialize(_given(docs, ranks, clashes, shape, parts))
     reps = materialize(known.where("k is not null").groupBy("k").agg(F.min("_r").alias("_r"), F.min("doc_id").alias("_id")))
     met = materialize(given.select("k").unionByName(given.selectExpr("p AS k")).distinct())
-    vectors = materialize(maybe_among(known.select("k", "n", "v").where("k is not null"), "k", met).join(met, "k", "left_semi").groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v")))
+    # an inner join: the optimizer would put a semi-join first, which deals out all sets
+    vectors = materialize(maybe_among(known.select("k", "n", "v").where("k is not null"), "k", met).join(met, "k").groupBy("k").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v")))
     galaxies = materialize(components(_may_link(given, vectors, shape)).select(F.col("root").alias("g"), F.col("node").alias("k")))
-    packed = materialize(_packed(docs, galaxies.select("k"), reps, clashes, shape))
-    joined = components(_links(galaxies, packed, shape))
+    joined = components(_links(galaxies, vectors, lambda wanted: _packed(docs, wanted, reps, clashes, shape), shape))
     roots = materialize(reps.join(joined.withColumnsRenamed({"node": "k"}), "k", "left").select("k", "_id", F.coalesce("root", "k").alias("root")))
     least = roots.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = materialize(roots.join(least, "root").select("k", "component_id", "root"))
