@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import jaccard, language, linededup, mixing, packing
-from quillmark.llm.common import materialize
+from quillmark.llm.common import materialize, tidy_executors
 from quillmark.llm.queries import MIX, TOKENIZER, WEIGHTS, domain_of, tokens_of
 
 
@@ -63,6 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 ids. Null and empty texts have just the end id; repeated rows are packed each by itself; other columns aren't read."""
+    tidy_executors(spark)
     return packing.pack(docs, TOKENIZER)
 
 
