@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/quillmark/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     tidy(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""The queries of this subpackage, op1 to op10 and the pipeline, and SQL for those that SQL can express."""
+"""The queries of this subpackage, op1 to op13 and the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import jaccard, language, linededup, linkgraph, mixing, packing, quality_rules, sharding, subword, topk
+from quillmark.llm import audit, jaccard, language, linededup, linkgraph, mixing, packing, quality_rules, resampling, sharding, subword, suffixes, topk
 from quillmark.llm.common import crc_mod
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,6 +88,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.expr("aggregate(spans, 0L, (n, x) -> n + x.length)")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8,
     "op9_language": op9,
     "op10_line_dedup": op10,
+    "op11_resampling": op11,
+    "op12_decontamination": op12,
+    "op13_filter_audit": op13,
     "pipeline": pipeline,
 }
 
@@ -218,4 +235,46 @@ s AS (SELECT *, least((2 * upto - size)::HUGEINT * 40 // greatest(2 * total, 1),
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s
 """
 
-ORACLES = {"op4_sharding": _OP4, "op3_jaccard_join": _OP3, "op6_mixing": _OP6, "op7_url_filter": _op7(), "op8_topk": _OP8}
+_LETTERS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""
+WITH crc AS (SELECT {_crc_table()}::UBIGINT[] AS c),
+d AS (SELECT doc_id, coalesce({_LETTERS}, []) AS ws FROM documents), b AS (SELECT {_LETTERS} AS ws FROM benchmark),
+v AS (SELECT DISTINCT unnest(ws) AS w FROM d UNION SELECT DISTINCT unnest(ws) FROM b),
+k AS (SELECT w, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: ('0x' || h)::UBIGINT)), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 10000)::INT AS bucket FROM v, crc),
+dp AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN k USING (w) GROUP BY ALL),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dp GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM b) JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dp JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000::DOUBLE * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score, n_features >= 20 AS able FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE able) OVER () * 10 // 100 AS drawn FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= drawn THEN r END AS rank FROM z
+"""
+
+_OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce({_LETTERS}, []) AS ws FROM documents), b AS (SELECT item_id, {_LETTERS} AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, size, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT item_id, ws, least(len(ws), 10) AS size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM b WHERE len(ws) > 0)),
+o AS (SELECT doc_id, p, size, array_to_string(ws[p:p + size - 1], ' ') AS win FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM i) WHERE len(ws) >= size)),
+m AS (SELECT doc_id, p, size, item_id FROM o JOIN i USING (size, win)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT doc_id, p, size FROM m)) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+_OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x),
+  'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)} AS bad FROM t LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, [bad['A'], bad['B'], bad['C'], bad['D'], bad['E']] AS bad, count(*) AS n FROM f GROUP BY ALL),
+c AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, c1.k, d.k, e.k] AS o FROM c a, c b, c c1, c d, c e WHERE len(list_distinct([a.k, b.k, c1.k, d.k, e.k])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step, o[step] AS own, o[1:step - 1] AS before FROM o, (SELECT k AS step FROM c)),
+r AS (SELECT part, filter_order, step, own, n, good, toxic, bad[own] AS fails, len(list_filter(before, lambda i: bad[i])) > 0 AS gone, len(list_filter(bad, lambda b: b)) = 1 AS sole FROM g, s),
+e AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE fails AND sole), 0)::BIGINT AS unique_fails, coalesce(sum(n * good) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(n * toxic) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM e
+"""
+
+ORACLES = {"op11_resampling": _OP11, "op12_decontamination": _OP12, "op13_filter_audit": _OP13, "op4_sharding": _OP4, "op3_jaccard_join": _OP3, "op6_mixing": _OP6, "op7_url_filter": _op7(), "op8_topk": _OP8}

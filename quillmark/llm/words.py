@@ -17,6 +17,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: Bytes that are no digit, ASCII letter or part of a character beyond ASCII.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 #: Bytes of text handled at once.
 BLOCK_BYTES = 4 << 20
 
@@ -44,9 +48,10 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def split(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the number of words up to each row bound (rows + 1 values)."""
-    inside = ~SPACE[flat]
+def split(flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the number of words up to each row bound (rows + 1 values). `between` says of each byte whether it
+    separates words."""
+    inside = ~between[flat]
     before = np.empty_like(inside)
     before[:1], before[1:] = False, inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(flat)]
