@@ -205,11 +205,31 @@ def block_keys() -> dict[str, Column]:
 
 
 def key_block_pairs(s1: DataFrame, t: DataFrame, cap: int) -> DataFrame:
-    """(s1, t) with equal key; keys of more than cap targets are left out whole, null keys never match."""
+    """(s1, t) with equal key; keys of more than cap targets are left out whole, null keys never match. key_block_left_out tells which,
+    key_block_rest has their pairs."""
     fine = t.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= cap).select("key")
     return s1.where("key is not null").join(t.join(fine, "key", "left_semi"), "key").select("s1", "t")
 
 
+def key_block_left_out(s1: DataFrame, t: DataFrame, cap: int) -> DataFrame:
+    """(key, n_s1, n_t, n_pairs) of the keys that key_block_pairs leaves out: those of more than cap targets that some S1 has."""
+    both = s1.select("key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(t.select("key", F.lit(0).alias("a"), F.lit(1).alias("b"))).where("key is not null")
+    n = both.groupBy("key").agg(F.sum("a").cast("long").alias("n_s1"), F.sum("b").cast("long").alias("n_t")).where((F.col("n_t") > cap) & (F.col("n_s1") > 0))
+    return n.withColumn("n_pairs", F.col("n_s1") * F.col("n_t"))
+
+
+def key_block_rest(s1: DataFrame, t: DataFrame, cap: int, side: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(s1, t) of the keys that key_block_pairs leaves out: with its pairs, those of the join without a cap. Both sides of a key are cut into runs of about
+    `side` rows; a cell of two runs is joined by itself, so that a key is split over as many tasks as its pairs fill. A row is copied once for each run of
+    the other side: side times fewer copies than pairs."""
+    hot = keep(key_block_left_out(s1, t, cap)).select("key", F.ceil(F.col("n_s1") / side).alias("_rows"), F.ceil(F.col("n_t") / side).alias("_cols"))
+    dealt = lambda df, c, n: F.pmod(F.xxhash64(F.col(c)), F.col(n))
+    a, b = s1.where("key is not null").join(hot, "key"), t.where("key is not null").join(hot, "key")
+    a = a.withColumn("_i", dealt(a, "s1", "_rows")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
+    b = b.withColumn("_j", dealt(b, "t", "_cols")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
+    return a.select("key", "_i", "_j", "s1").join(b.select("key", "_i", "_j", "t"), ["key", "_i", "_j"]).select("s1", "t")
+
+
 def union_pool(blockers: dict[str, DataFrame], keyed: dict[str, DataFrame]) -> DataFrame:
     """One row for each distinct (s1, t): {b}_score (null if not retrieved), {b}_rank (0 if not), and the key flags. One shuffle."""
     def row(name: str, df: DataFrame, flag: bool) -> DataFrame:

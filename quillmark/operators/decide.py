@@ -40,8 +40,8 @@ def metrics(c: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def grid_search(pairs: DataFrame, truth: DataFrame, s1: DataFrame, emit: list[float], add: list[float], rel: list[float]) -> DataFrame:
-    """Macro F0.5 of each (t_emit, t_add, rel) of a grid.
+def grid_sums(pairs: DataFrame, truth: DataFrame, s1: DataFrame, emit: list[float], add: list[float], rel: list[float], *by: str) -> DataFrame:
+    """(by, t_emit, t_add, rel, f, n): the sum of the F0.5 of all S1, and how many there are, for each point of a grid; of few groups of S1 each, if asked for.
 
     Of an S1 with the best p b, a pair stays if p reaches both t_add and rel * b: the lesser of two counts, of which there are as many as
     thresholds, not combinations. t_emit only decides between that and an empty list: S1 are summed by the last t_emit that b reaches,
@@ -51,24 +51,31 @@ def grid_search(pairs: DataFrame, truth: DataFrame, s1: DataFrame, emit: list[fl
     marked = pairs.select("s1", "t", "p").join(truth.select("s1", "t", F.lit(1).alias("y")), ["s1", "t"], "left").na.fill(0, ["y"])
     lists = marked.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("n"), "t", "y"))).alias("l"))
     n_true = truth.groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
-    per = s1.select("s1").join(lists, "s1", "left").join(n_true, "s1", "left").na.fill(0, ["n_true"])
+    per = s1.select("s1", *by).join(lists, "s1", "left").join(n_true, "s1", "left").na.fill(0, ["n_true"])
     numbers = lambda x: "array(" + ", ".join(f"{float(v)!r}D" for v in x) + ")"
     per = per.withColumn("b", F.expr("-l[0].n")).withColumns({
         "e": F.expr(f"coalesce(size(filter({numbers(emit)}, x -> x <= b)), 0)"),
         "a": F.expr(f"transform({numbers(add)}, x -> size(filter(l, z -> -z.n >= x)))"),
         "r": F.expr(f"transform({numbers(rel)}, x -> size(filter(l, z -> -z.n >= b * x)))"),
         "hit": F.expr("transform(sequence(1, size(l)), k -> aggregate(slice(l, 1, k), 0, (s, z) -> s + z.y))"),
-    }).select("e", "n_true", "a", "r", "hit")
+    }).select(*by, "e", "n_true", "a", "r", "hit")
     nothing = F.when(F.col("n_true") == 0, 1.0).otherwise(0.0)
-    empty = per.groupBy("e").agg(F.sum(nothing).alias("f0"), F.count(F.lit(1)).alias("n"))  # a row for each t_emit, and one
-    some = per.where("e > 0").select("e", "n_true", "r", "hit", F.posexplode("a").alias("i", "_a")).select("e", "n_true", "hit", "i", "_a", F.posexplode("r").alias("j", "_r"))
+    empty = per.groupBy(*by, "e").agg(F.sum(nothing).alias("f0"), F.count(F.lit(1)).alias("n"))  # a row for each t_emit, and one
+    some = per.where("e > 0").select(*by, "e", "n_true", "r", "hit", F.posexplode("a").alias("i", "_a")).select(*by, "e", "n_true", "hit", "i", "_a", F.posexplode("r").alias("j", "_r"))
     some = some.withColumn("k", F.greatest(F.lit(1), F.least("_a", "_r"))).withColumn("tp", F.expr("hit[k - 1]"))
-    sums = some.groupBy("e", "i", "j").agg(F.sum(f05(F.col("tp"), F.col("k"), F.col("n_true"))).alias("f"))
+    sums = some.groupBy(*by, "e", "i", "j").agg(F.sum(f05(F.col("tp"), F.col("k"), F.col("n_true"))).alias("f"))
     grid = grid_table(spark, emit, add, rel).withColumns({n: F.expr(f"array_position({numbers(x)}, {c}) - 1") for n, c, x in (("h", "t_emit", emit), ("i", "t_add", add), ("j", "rel", rel))})
-    total = empty.agg(F.sum("n").alias("n"))
-    at = grid.crossJoin(F.broadcast(empty)).groupBy("t_emit", "t_add", "rel", "h", "i", "j").agg(F.sum(F.when(F.col("e") <= F.col("h"), F.col("f0")).otherwise(0.0)).alias("f0"))  # all of the grid's size
-    kept = at.join(F.broadcast(sums.withColumnsRenamed({"e": "_e"})), ["i", "j"], "left").groupBy("t_emit", "t_add", "rel", "f0").agg(F.sum(F.when(F.col("_e") > F.col("h"), F.col("f"))).alias("f"))
-    return kept.join(F.broadcast(total)).select("t_emit", "t_add", "rel", F.round((F.col("f0") + F.coalesce("f", F.lit(0.0))) / F.col("n"), 6).alias("macro_f05"))
+    at = grid.crossJoin(F.broadcast(empty)).groupBy(*by, "t_emit", "t_add", "rel", "h", "i", "j").agg(F.sum(F.when(F.col("e") <= F.col("h"), F.col("f0")).otherwise(0.0)).alias("f0"), F.sum("n").alias("n"))  # all of the grid's size
+    same = F.expr("i = _i AND j = _j")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    kept = at.join(F.broadcast(sums.withColumnsRenamed({"e": "_e", "i": "_i", "j": "_j"} | {c: f"_{c}" for c in by})), same, "left").groupBy(*by, "t_emit", "t_add", "rel", "f0", "n").agg(F.sum(F.when(F.col("_e") > F.col("h"), F.col("f"))).alias("f"))
+    return kept.select(*by, "t_emit", "t_add", "rel", (F.col("f0") + F.coalesce("f", F.lit(0.0))).alias("f"), "n")
+
+
+def grid_search(pairs: DataFrame, truth: DataFrame, s1: DataFrame, emit: list[float], add: list[float], rel: list[float]) -> DataFrame:
+    """Macro F0.5 of each (t_emit, t_add, rel) of a grid."""
+    return grid_sums(pairs, truth, s1, emit, add, rel).select("t_emit", "t_add", "rel", F.round(F.col("f") / F.col("n"), 6).alias("macro_f05"))
 
 
 def grid_table(spark: SparkSession, emit, add, rel) -> DataFrame:

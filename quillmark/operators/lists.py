@@ -5,8 +5,11 @@ exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction as SF
+
+from quillmark.operators.ranking import Keep, numbered
 
 
 def by_s1() -> Window:
@@ -57,34 +60,43 @@ def list_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+def two_best(scored: DataFrame, value: str) -> DataFrame:
+    """(t, best, best_s1, second, n, n_hi): of the rows (s1, t, value) with a value, each target's two largest, ties to the smaller s1; how many S1, and how many
+    over 0.5. One aggregation that keeps two rows a target from the map side on: however many S1 claim a target, each task sends two."""
+    top = SF.collect_top_k(F.struct(F.col(value).alias("v"), (-F.col("s1")).alias("s")), 2, False)
+    x = scored.where(F.col(value).isNotNull()).groupBy("t").agg(top.alias("_top"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) > 0.5).alias("n_hi"))
+    return x.select("t", F.expr("_top[0].v").alias("best"), F.expr("-_top[0].s").alias("best_s1"), F.expr("get(_top, 1).v").alias("second"), "n", "n_hi")
+
+
 def target_competition(scored: DataFrame) -> DataFrame:
-    """(t, best, second, best_s1, n_s1) over all S1 that retrieved a target; second -1 if there is one S1 only."""
-    line = best_first("t", "score", "s1")
-    x = scored.withColumn("_r", F.row_number().over(line))
-    at = lambda k, c: F.max(F.when(F.col("_r") == k, F.col(c)))
-    return x.groupBy("t").agg(at(1, "score").alias("best"), F.coalesce(at(2, "score"), F.lit(-1.0)).alias("second"), at(1, "s1").alias("best_s1"), F.count(F.lit(1)).alias("n_s1"))
+    """(t, best, second, best_s1, n_s1) over all S1 that retrieved a target; second -1 if there is one S1 only. A missing score counts as -1."""
+    x = two_best(scored.withColumn("score", F.coalesce("score", F.lit(-1.0))), "score")
+    return x.select("t", "best", F.coalesce("second", F.lit(-1.0)).alias("second"), "best_s1", F.col("n").alias("n_s1"))
+
+
+def _claims(pairs: DataFrame, value: str) -> DataFrame:
+    """pairs with _c, their target's row of two_best (null without the value)."""
+    best = two_best(pairs.select("s1", "t", value), value)
+    return pairs.join(best.select("t", F.struct("best", "best_s1", "second", "n", "n_hi").alias("_c")), "t", "left")
 
 
 def competition_p(pairs: DataFrame, value: str = "p", prefix: str = "tc") -> DataFrame:
     """For each pair, of the other S1 that claim its target: the best value (0 if none), how many, how many over 0.5; and whether this one is the best.
     Rows without the value take no part and get nulls."""
-    have = F.col(value).isNotNull()
-    line = Window.partitionBy("t", have).orderBy(F.desc(value), "s1")
-    claim = Window.partitionBy("t", have)
-    x = pairs.withColumns({"_r": F.row_number().over(line), "_b1": F.max(value).over(claim), "_b2": F.nth_value(value, 2).over(line.rowsBetween(*WHOLE)), "_n": F.count(F.lit(1)).over(claim), "_h": F.sum((F.col(value) > 0.5).cast("int")).over(claim)})
-    on = lambda c: F.when(have, c)
-    return x.select(
+    v, mine = F.col(value), F.col("_c.best_s1") == F.col("s1")
+    on = lambda c: F.when(v.isNotNull(), c)
+    return _claims(pairs, value).select(
         *pairs.columns,
-        on(F.when(F.col("_r") == 1, F.coalesce("_b2", F.lit(0.0))).otherwise(F.col("_b1"))).alias(f"{prefix}_other"),
-        on((F.col("_r") == 1).cast("int")).alias(f"{prefix}_is_best"), on(F.col("_n") - 1).alias(f"{prefix}_n"), on(F.col("_h") - (F.col(value) > 0.5).cast("int")).alias(f"{prefix}_n_hi"),
+        on(F.when(mine, F.coalesce("_c.second", F.lit(0.0))).otherwise(F.col("_c.best"))).alias(f"{prefix}_other"),
+        on(mine.cast("int")).alias(f"{prefix}_is_best"), on(F.col("_c.n") - 1).alias(f"{prefix}_n"), on(F.col("_c.n_hi") - (v > 0.5).cast("int")).alias(f"{prefix}_n_hi"),
     )
 
 
 def assign_targets(pairs: DataFrame, margin: float) -> DataFrame:
     """p stays only for the S1 with a target's largest p, and only if it beats the next by the margin; else p is 0."""
-    line = best_first("t", "p", "s1")
-    x = pairs.withColumns({"_r": F.row_number().over(line), "_next": F.coalesce(F.lead("p").over(line), F.lit(0.0))})
-    return x.withColumn("p", F.when((F.col("_r") == 1) & (F.round(F.col("p") - F.col("_next"), 9) >= margin), F.col("p")).otherwise(0.0)).drop("_r", "_next")
+    x, p = _claims(pairs, "p"), F.col("p")
+    wins = (F.col("_c.best_s1") == F.col("s1")) & (p == F.col("_c.best")) & (F.round(p - F.coalesce("_c.second", F.lit(0.0)), 9) >= margin)
+    return x.select(*(F.when(wins, p).otherwise(0.0).alias("p") if c == "p" else F.col(c) for c in pairs.columns))
 
 
 def expected_f_select(pairs: DataFrame, miss: float) -> DataFrame:
@@ -126,6 +138,7 @@ def contested(selected: DataFrame, needed: DataFrame) -> DataFrame:
     return selected.join(needed, "s1", "left_anti").join(wanted, "t", "left_semi").select(selected.columns)
 
 
-def stratified_cap(rows: DataFrame, by: str, cap: int, order, tie: str) -> DataFrame:
-    line = Window.partitionBy(by).orderBy(order, tie)
-    return rows.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= cap).drop("_r")
+def stratified_cap(rows: DataFrame, by: str, cap: int, order: Column, tie: str, keep: Keep) -> DataFrame:
+    """At most cap rows of each group, the first by order; a group's rows are numbered over as many tasks as they fill."""
+    x = numbered(rows.withColumn("_o", order), [by], ["_o", tie], keep, "_r")
+    return x.where(F.col("_r") <= cap).drop("_r", "_o")

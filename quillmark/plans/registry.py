@@ -361,6 +361,21 @@ def _(s, d):
     return _blocked(s, d, "key_rare2", 20)
 
 
+def _sides(s, d, name: str) -> tuple[DataFrame, DataFrame]:
+    k = _keys(s, d).withColumnRenamed(name, "bk")
+    return k.where("src = 1").selectExpr("key AS s1", "bk AS key"), k.where("src > 1").selectExpr("key AS t", "bk AS key")
+
+
+@query("j4_keys_left_out", sql(_KEYS + ", n AS (SELECT key_rare2 AS key, (count(*) FILTER (WHERE src = 1))::BIGINT AS n_s1, (count(*) FILTER (WHERE src > 1))::BIGINT AS n_t FROM kk WHERE r2 IS NOT NULL GROUP BY key_rare2) SELECT *, n_s1 * n_t AS n_pairs FROM n WHERE n_t > 2 AND n_s1 > 0", "rec", "tok"))
+def _(s, d):
+    return blocking.key_block_left_out(*_sides(s, d, "key_rare2"), 2)
+
+
+@query("j4_key_block_rest", sql(_KEYS + ", tt AS (SELECT *, count(*) OVER (PARTITION BY key_rare2) AS n FROM kk WHERE src > 1 AND r2 IS NOT NULL) SELECT a.key AS s1, b.key AS t FROM kk a JOIN tt b ON a.key_rare2 = b.key_rare2 AND a.src = 1 AND a.r2 IS NOT NULL AND b.n > 20", "rec", "tok"))
+def _(s, d):
+    return blocking.key_block_rest(*_sides(s, d, "key_rare2"), 20, 4096, _kept(s))
+
+
 @query("j6_pool_union", "WITH a AS (SELECT l_orderkey AS s1, l_partkey AS t, max(l_quantity) AS sc, min(l_linenumber) AS rk FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), b AS (SELECT l_orderkey AS s1, l_partkey AS t, max(l_tax) AS sc, min(l_linenumber) AS rk FROM lineitem WHERE l_linenumber >= 2 GROUP BY ALL), k AS (SELECT DISTINCT l_orderkey AS s1, l_partkey AS t FROM lineitem WHERE l_returnflag = 'R') SELECT s1, t, a.sc AS w_score, b.sc AS v_score, coalesce(a.rk, 0)::INT AS w_rank, coalesce(b.rk, 0)::INT AS v_rank, (k1 IS NOT NULL)::INT AS k_name FROM a FULL JOIN b USING (s1, t) FULL JOIN (SELECT *, 1 AS k1 FROM k) k USING (s1, t)")
 def _(s, d):
     li = table(s, d, "lineitem").withColumnsRenamed({"l_orderkey": "s1", "l_partkey": "t"})
@@ -489,7 +504,7 @@ def _(s, d):
 
 @query("k8_stratified_cap", sql("SELECT s1, country FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5(s1::VARCHAR), s1) AS r FROM own) WHERE r <= 50", "own"))
 def _(s, d):
-    return lists.stratified_cap(owners(s, d), "country", 50, F.md5(F.col("s1").cast("string")), "s1")
+    return lists.stratified_cap(owners(s, d), "country", 50, F.md5(F.col("s1").cast("string")), "s1", _kept(s))
 
 
 # ---- decision ---------------------------------------------------------------------------------------------------------
@@ -642,11 +657,6 @@ def _(s, d):
 # ---- models (rows only) -----------------------------------------------------------------------------------------------
 
 
-@query("m2_out_of_fold_scores")
-def _(s, d):
-    return models.out_of_fold(pairs(s, d), ["p", "emb", "b4_rank", "rr"], rounds=3, depth=3).select("s1", "t", F.round("score_p", 6).alias("score_p"))
-
-
 @query("a30_isotonic")
 def _(s, d):
     return models.calibrate(pairs(s, d)).select("s1", "t", F.round("calibrated", 6).alias("calibrated"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import ids, similarity, text
-from quillmark.operators import blocking, decide, features, lists, models, reports, stack, tokens
+from quillmark.operators import blocking, decide, features, lists, reports, stack, tokens
 from quillmark.plans.registry import _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _vectors, query
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
 from quillmark.sources import store, synthetic, tsv
@@ -20,10 +20,18 @@ ranked AS (SELECT s1, t, ((s1 + 7 * t) % 40)::INT AS b4_rank, ((3 * s1 + t) % 25
 pool AS (SELECT *, CASE WHEN b4_rank > 0 THEN 1.0::DOUBLE / b4_rank END AS b4_score, CASE WHEN b2w_rank > 0 THEN 1.0::DOUBLE / b2w_rank END AS b2w_score, CASE WHEN b1_rank > 0 THEN 1.0::DOUBLE / b1_rank END AS b1_score FROM ranked) """
 
 
-def _pool(s, d) -> DataFrame:
+def near_pairs(s, d) -> DataFrame:
     r = records(s, d)
     a, b = r.where("src = 1").selectExpr("key AS s1", "country", "doc_id div 10 AS g"), r.where("src > 1").selectExpr("key AS t", "country", "doc_id div 10 AS g")
-    x = a.join(b, ["country", "g"]).selectExpr("s1", "t", "CAST((s1 + 7 * t) % 40 AS INT) AS b4_rank", "CAST((3 * s1 + t) % 25 AS INT) AS b2w_rank", "CAST((s1 + t) % 11 AS INT) AS b1_rank", "((s1 + 3 * t) % 101) / 100D AS emb_cos", "((s1 + 5 * t) % 97) / 97D AS prune_p", "CAST((s1 + t) % 5 = 0 AS INT) AS k_name", "0 AS k_postal", "CAST((s1 + t) % 7 = 0 AS INT) AS k_house", "0 AS k_rare2")
+    return a.join(b, ["country", "g"]).select("s1", "t")
+
+
+def _pool(s, d) -> DataFrame:
+    return with_scores(near_pairs(s, d))
+
+
+def with_scores(near: DataFrame) -> DataFrame:
+    x = near.selectExpr("s1", "t", "CAST((s1 + 7 * t) % 40 AS INT) AS b4_rank", "CAST((3 * s1 + t) % 25 AS INT) AS b2w_rank", "CAST((s1 + t) % 11 AS INT) AS b1_rank", "((s1 + 3 * t) % 101) / 100D AS emb_cos", "((s1 + 5 * t) % 97) / 97D AS prune_p", "CAST((s1 + t) % 5 = 0 AS INT) AS k_name", "0 AS k_postal", "CAST((s1 + t) % 7 = 0 AS INT) AS k_house", "0 AS k_rare2")
     return x.withColumns({f"{b}_score": F.when(F.col(f"{b}_rank") > 0, 1.0 / F.col(f"{b}_rank")) for b in features.BLOCKERS})
 
 
@@ -63,14 +71,18 @@ def _rounded(df: DataFrame) -> DataFrame:
 # ---- pair features ----------------------------------------------------------------------------------------------------
 
 
-def _written(s, d) -> tuple[DataFrame, DataFrame]:
+def _written(s, d, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pool and the normalized records, which a plan of many steps reads again and again: as tables, so that it stays small."""
-    return _kept(s)(_pool(s, d)), _kept(s)(_normal(s, d).select("key", *features.VIEWS, "numbers"))
+    return _kept(s)(_pool(s, d) if pool is None else pool), _kept(s)(_normal(s, d).select("key", *features.VIEWS, "numbers"))
 
 
 @query("f_pruner_features")
 def _(s, d):
-    pool, normal = _written(s, d)
+    return pruner_table(s, d)
+
+
+def pruner_table(s, d, pool: DataFrame | None = None) -> DataFrame:
+    pool, normal = _written(s, d, pool)
     return _rounded(features.pruner_features(pool, normal, _two_best(pool, "emb_cos"), _kept(s)))
 
 
@@ -91,7 +103,11 @@ def _(s, d):
 
 @query("f_stage1_features")
 def _(s, d):
-    pool, normal = _written(s, d)
+    return stage1_table(s, d)
+
+
+def stage1_table(s, d, pool: DataFrame | None = None) -> DataFrame:
+    pool, normal = _written(s, d, pool)
     return _rounded(features.stage1_features(pool, normal, _two_best(pool, "b2w_score"), _two_best(pool, "emb_cos"), keep=_kept(s)))
 
 
@@ -211,12 +227,17 @@ def _(s, d):
     return _rounded(stack.block_features(pairs(s, d).selectExpr("s1", "t", "rr AS rr_p"), "rr"))
 
 
+def target_views(s, d) -> DataFrame:
+    """Targets as stage 2 reads them, with an embedding each from the given ones."""
+    r = _normal(s, d).where("src > 1")
+    e = table(s, d, "embeddings").selectExpr("vec_id AS n", "embedding AS emb")
+    return r.withColumn("n", F.col("doc_id") % 500).join(e, "n", "left").selectExpr("key", "name_core AS name", "address_core AS addr", "src AS source", "emb")
+
+
 @query("w11_graph_features")
 def _(s, d):
     p = _pool(s, d).selectExpr("s1", "t", "prune_p AS p", "emb_cos")
-    r = _normal(s, d).where("src > 1")
-    e = table(s, d, "embeddings").selectExpr("vec_id AS n", "embedding AS emb")
-    targets = r.withColumn("n", F.col("doc_id") % 500).join(e, "n", "left").selectExpr("key", "name_core AS name", "address_core AS addr", "src AS source", "emb")
+    targets = target_views(s, d)
     rr = p.where("t % 3 = 0").select("s1", "t", F.col("emb_cos").alias("p"))
     return _rounded(stack.graph_features(spread(p), targets, {"rr": rr}))
 
@@ -383,28 +404,6 @@ def _(s, d):
     return s1.withColumn("side", F.lit("s1")).unionByName(targets.withColumn("side", F.lit("targets")))
 
 
-@query("a29_importances")
-def _(s, d):
-    names = models.feature_names(pairs(s, d).columns, ["s1", "t", "label"], ["k_*"])
-    fitted = models.fit(pairs(s, d), names, rounds=3, depth=3)
-    return s.createDataFrame([(n, float(v)) for n, v in models.importances(fitted, names)], "feature string, importance double")
-
-
-@query("m1_pruner_select")
-def _(s, d):
-    x = tsv.cache(QUERIES["f_pruner_features"](s, d), _scratch(s))  # a fit reads it many times
-    names = models.feature_names(x.columns, ["s1", "t"], [])
-    y = x.withColumn("label", (F.coalesce("name_tset", F.lit(0.0)) > 90).cast("int"))
-    scored = models.score(models.fit(y, names, rounds=5, depth=3), x, names, "p")
-    return lists.prune_keep(scored, 14, 10, 0.001, 5).select("s1", "t", F.round("p", 6).alias("p"))
-
-
-@query("m8_leave_one_country_out")
-def _(s, d):
-    x = pairs(s, d).join(owners(s, d), "s1")
-    return models.leave_one_out(x, "country", ["p", "emb", "b4_rank", "rr"], rounds=3, depth=3).select("s1", "t", "country", F.round("score_p", 6).alias("score_p"))
-
-
 @query("x_stream_two_best", sql("SELECT s1, t, p AS score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p DESC, s1) AS r FROM prs) WHERE r <= 2", "prs"))
 def _(s, d):
     return competition.two_best(pairs(s, d).select("s1", "t", F.col("p").alias("score")))
