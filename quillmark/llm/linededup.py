@@ -28,7 +28,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     text = F.expr(r"replace(replace(replace(replace(text, '\t', ' '), '\r', ' '), '\u000b', ' '), '\u000c', ' ')")
     single = docs.select("_k", "_j", "doc_id", text.alias("_t")).select("_k", "_j", "doc_id", F.expr("CASE WHEN contains(_t, '  ') THEN regexp_replace(_t, ' +', ' ') ELSE _t END").alias("_t"))
     out = single.select("_k", "_j", "doc_id", F.posexplode(F.split("_t", "\n")).alias("_pos", "_t")).select("_k", "_j", "doc_id", "_pos", F.trim("_t").alias("_l")).where("_l <> ''")
-    place = F.expr("CAST(coalesce(doc_id, 9223372036854775807) AS DECIMAL(20,0)) * 10000000000BD + _pos").cast("decimal(38,0)")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_pos").alias("line"))
     return out.select("_k", "_j", "_pos", place.alias("_place"), "_l")
 
 
@@ -55,8 +55,8 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = each.where("_key is not null").withColumn("_side", F.expr("_side % 2"))
     shared = keys.groupBy("_key").agg(F.min("_h").alias("_a"), F.max("_h").alias("_z")).where("_a <> _z").select("_key")
     some = materialize(keys.join(shared, "_key").groupBy("_h").agg(F.max(F.expr("_side = 0")).alias("_front"), F.max(F.expr("_side = 1")).alias("_back")))
-    lines = maybe_among(_hashed(_lines(docs)), "_h", some).join(some, "_h")
-    held = materialize(lines.groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_l").alias("_l"), F.any_value("_front").alias("_front"), F.any_value("_back").alias("_back")))
+    once = maybe_among(_hashed(_lines(docs)), "_h", some).groupBy("_h", "_g").agg(F.min("_place").alias("_place"), F.any_value("_l").alias("_l"))  # first: a line may stand in a third of all rows
+    held = materialize(once.join(some, "_h"))
     # One row for each deletion, and one for the line itself with position -1. Equal contents meet by v. An edit lies behind a
     # front half that is shared, or before a back half: deletions on the other side can't lead to a near line.
     cuts = held.withColumn("_n", F.expr(f"CAST({_N} AS INT)")).select("_h", "_g", "_place", "_l", "_n", F.explode(F.expr("concat(array(0), CASE WHEN _back AND _front THEN sequence(1, _n) WHEN _back THEN sequence(1, CAST(_n div 2 AS INT)) ELSE sequence(CAST(_n div 2 + 1 AS INT), _n) END)")).alias("_i"))
@@ -98,7 +98,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """docs with `text` without its repeated lines, n_lines (\\n-split lines, 0 for null) and n_dropped.
 
-    A line is dropped if an equal or near line stands earlier in the order (doc_id, line number); null doc_id comes last. Lines
+    A line is dropped if an equal or near line stands earlier in the order (doc_id, line number); null doc_id comes last, ids may be of any type that has an order. Lines
     without a word always stay. Rows equal in doc_id and text are one document and keep the same lines; lines at the
     same place of two texts with one doc_id tie, and both stay. Null texts stay null, empty ones empty; a text that loses all its lines
     becomes empty. An empty table gives no rows. Other columns, whatever their names, are kept; columns named n_lines or n_dropped are replaced.
