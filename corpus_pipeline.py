@@ -28,9 +28,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts lose nothing and stay; rows equal in doc_id and text keep the same lines; of lines at the same place of two texts
     with one doc_id both stay."""
-    out = linededup.dedup(docs).where(F.expr(r"n_dropped = 0 OR text rlike '[^\\x20\\x09-\\x0D]'"))
-    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*(size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own")
+    out = linededup.dedup(docs.select("doc_id", "text", others)).where(F.expr(r"n_dropped = 0 OR text rlike '[^\\x20\\x09-\\x0D]'"))
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))
+    return out.select(*(F.col("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
