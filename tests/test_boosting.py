@@ -155,7 +155,7 @@ def test_two_best_needs_no_window(spark):
             others = [-v for v, s in order if s != s1]
             r = got.loc[s1]
             assert r.tc_other == max(others, default=0) and r.tc_is_best == int(order[0][1] == s1) and r.tc_n == len(others) and r.tc_n_hi == sum(v > 0.5 for v in others)
-    assert got.loc[0].isna().sum() == 4
+    assert got.loc[0].isna().sum() == 5
 
 
 def test_keys_over_the_cap_have_an_exact_way(spark):
