@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmark.operators import tokens
 
@@ -135,51 +137,69 @@ def _best_targets(h: np.ndarray, w: np.ndarray, keys: np.ndarray, grams_: np.nda
     return keys[near], score[near]
 
 
-def _blocked_best(s1: DataFrame, t: DataFrame, k: int, by: str, rows: int = 4096) -> DataFrame:
+#: Rows of the side that a task holds (at 256 dimensions 67 MB), and of the other side that meet them at once.
+HELD_ROWS, TILE_ROWS = 32_768, 64
+
+
+def _blocked_best(s1: DataFrame, t: DataFrame, k: int, by: str, rows: int = HELD_ROWS) -> DataFrame:
     """(s1, t, score): for each row of the side `by` ("s1" or "t") its k best partners of each block of the other side, by inner product
     within a group; s1 (s1, grp, v), t (t, grp, w). Groups are cut into blocks of about `rows` on either side; a block of one side meets
-    each of the other in one task, as a product of matrices, and only the best leave it."""
+    each of the other in one task, and only the best leave it. A task holds one block of the partners; the other block passes by in tiles, each a
+    product of matrices. So blocks are as large as memory lets them be: a row is copied once for each block of the other side."""
     own, other = ((s1, "s1", "v"), (t, "t", "w")) if by == "s1" else ((t, "t", "w"), (s1, "s1", "v"))
     left = own[0].select("grp", F.col(own[1]).alias("id"), F.col(own[2]).alias("x"))
     right = other[0].select("grp", F.col(other[1]).alias("id"), F.col(other[2]).alias("x"))
     number = lambda d, n: d.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / rows).cast("long").alias(n))
     sizes = number(left, "a").join(number(right, "b"), "grp")
     cell = lambda d, side, mine, copies, key: d.join(sizes, "grp").withColumn("_m", F.expr(f"pmod(xxhash64(id), {mine})")).withColumn("_c", F.explode(F.expr(f"sequence(0L, {copies} - 1)"))).select("grp", F.expr(key).alias("cell"), F.lit(side).alias("side"), "id", "x")
-    both = cell(left, 0, "a", "b", "_m * b + _c").unionByName(cell(right, 1, "b", "a", "_c * b + _m"))
+    both = cell(right, 0, "b", "a", "_c * b + _m").unionByName(cell(left, 1, "a", "b", "_m * b + _c"))
     dealt = both.repartition("grp", "cell").sortWithinPartitions("grp", "cell", "side").select("grp", "cell", "side", "id", "x")
-    ids = {0: dict(left.dtypes)["id"], 1: dict(right.dtypes)["id"]}
-
-    def met(held: list[list], arrow) -> pa.RecordBatch | None:
-        (ids_a, xs), (ids_b, ys) = held
-        if not ids_a or not ids_b:
-            return None
-        scores = np.round(np.stack(xs) @ np.stack(ys).T, 6)
-        best_a, best_b, best = [], [], []
-        names = np.array(ids_b)
-        for i, line in zip(ids_a, scores):
+    made = T.StructType([*(T.StructField(n, d.schema["id"].dataType) for n, d in (("own", left), ("other", right))), T.StructField("score", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in made]
+
+    def best(names: np.ndarray, ys: np.ndarray, mine: list, xs: list) -> tuple[list, list, list]:
+        out: tuple[list, list, list] = ([], [], [])
+        for i, line in zip(mine, np.round(np.stack(xs) @ ys.T, 6)):
             near = np.arange(len(line)) if len(line) <= k else np.flatnonzero(line >= np.partition(line, -k)[-k])
             near = near[np.lexsort((names[near], -line[near]))[:k]]
-            best_a += [i] * len(near)
-            best_b += names[near].tolist()
-            best += line[near].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(best_a, arrow), pa.array(best_b), pa.array(best, pa.float64())], ["own", "other", "score"])
+            for o, v in zip(out, ([i] * len(near), names[near].tolist(), line[near].tolist())):
+                o += v
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, kind = None, [[[], []], [[], []]], None
+        now, names, ys, held, mine, xs = None, [], [], None, [], []
         for b in batches:
-            kind = b.schema.field(3).type
             values, offsets = b.column(4).values.to_numpy(zero_copy_only=False).astype(float), b.column(4).offsets.to_numpy()
+            found: tuple[list, list, list] = ([], [], [])
+
+            def meet(found=found) -> None:
+                nonlocal mine, xs
+                if mine:
+                    for o, v in zip(found, best(*held, mine, xs)):
+                        o += v
+                mine, xs = [], []
+
             for n, (g, c, side, i) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
                 if (g, c) != now:
-                    if (out := met(held, kind)) is not None:
-                        yield out
-                    now, held = (g, c), [[[], []], [[], []]]
-                held[side][0].append(i)
-                held[side][1].append(values[offsets[n] : offsets[n + 1]].copy())
-        if (out := met(held, kind)) is not None:
-            yield out
-
-    found = dealt.mapInArrow(run, f"own {ids[0]}, other {ids[1]}, score double")
+                    meet()
+                    now, names, ys, held = (g, c), [], [], None
+                v = values[offsets[n] : offsets[n + 1]]
+                if side == 0:
+                    names.append(i)
+                    ys.append(v.copy())
+                    continue
+                if held is None:
+                    if not names:
+                        continue
+                    held, ys = (np.array(names), np.stack(ys)), []
+                mine.append(i)
+                xs.append(v.copy())
+                if len(mine) == TILE_ROWS:
+                    meet()
+            meet()
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds)], names=made.names)
+
+    found = dealt.mapInArrow(run, made)
     return found.selectExpr(*(("own AS s1", "other AS t") if by == "s1" else ("other AS s1", "own AS t")), "score")
 
 
