@@ -13,9 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quillmark.functions import indic
 from quillmark.functions import tables as T
 
-_LETTERS, _OTHER = {**dict(zip(*T.ACCENTS)), **T.DIGRAPHS}, re.compile("[^\x00-\x7f]")
+_LETTERS, _OTHER = {**dict(zip(*T.ACCENTS)), **T.DIGRAPHS, **indic.table()}, re.compile("[^\x00-\x7f]")
 _ELISION, _QUOTES = re.compile(T.ELISION, re.ASCII), str.maketrans("", "", "'`")
 _HOUSE, _POSTAL = re.compile(T.HOUSE_NUMBER, re.ASCII), re.compile(r"(?<![0-9])[0-9]{5,6}(?![0-9])")
 _WORDS, _DIGITS = re.compile("[a-z0-9]+|,"), re.compile("[0-9]+")

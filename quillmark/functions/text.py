@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions import indic
 from quillmark.functions import tables as T
 from quillmark.functions.addresses import address_views
 
@@ -17,9 +18,18 @@ def _in(t: Column, names: list[str]) -> Column:
     return t.isin(names)
 
 
+def indic_latin(c: Column) -> Column:
+    """Letters of the scripts of indic.SCRIPTS as Latin ones; others as they are."""
+    letters, to, several = indic.steps()
+    out = F.translate(c, letters, to)
+    for one, more in several.items():
+        out = F.replace(out, F.lit(one), F.lit(more))
+    return F.when(c.rlike(indic.ANY), out).otherwise(c)
+
+
 def ascii_lower(c: Column) -> Column:
-    """Latin letters without accents, lower-cased."""
-    out = F.coalesce(c, F.lit(""))
+    """Latin letters without accents and letters of Indic scripts as Latin ones, lower-cased."""
+    out = indic_latin(F.coalesce(c, F.lit("")))
     for a, b in T.DIGRAPHS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.lower(F.translate(out, *T.ACCENTS))

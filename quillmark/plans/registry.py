@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions import ids, similarity, tables, text
+from quillmark.functions import ids, indic, similarity, tables, text
 from quillmark.operators import blocking, checks, decide, lists, models, tokens
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
 from quillmark.sources import tsv
@@ -124,6 +125,19 @@ def _normal(s, d) -> DataFrame:
     return text.normalize(spread(records(s, d)))
 
 
+#: Latin letters that all of five scripts have, with their places in a script's block.
+_PLACES = {"a": 0x05, "i": 0x07, "u": 0x09, "e": 0x0F, "o": 0x13, "k": 0x15, "g": 0x17, "c": 0x1A, "j": 0x1C, "t": 0x24, "d": 0x26, "n": 0x28, "p": 0x2A, "b": 0x2C, "m": 0x2E, "y": 0x2F, "r": 0x30, "l": 0x32, "s": 0x38, "h": 0x39}
+_SCRIPTS = ["devanagari", "bengali", "gujarati", "telugu", "kannada"]
+
+
+@query("p1_indic_scripts", f"SELECT p_partkey, script, lower(p_name) AS back FROM part, (SELECT unnest({_SCRIPTS}) AS script)")
+def _(s, d):
+    """Names written in the letters of five scripts, and read back."""
+    x = table(s, d, "part").select("p_partkey", F.lower("p_name").alias("n"), F.explode(F.array(*map(F.lit, _SCRIPTS))).alias("script"))
+    written = reduce(lambda out, k: F.when(F.col("script") == k, F.translate("n", "".join(_PLACES), "".join(chr(indic.SCRIPTS[k][0] + p) for p in _PLACES.values()))).otherwise(out), _SCRIPTS, F.col("n"))
+    return x.select("p_partkey", "script", text.ascii_lower(written).alias("back"))
+
+
 @query("p7_name_ascii", sql("SELECT key, name_ascii FROM nrm", "rec", "nrm"))
 def _(s, d):
     return spread(records(s, d)).select("key", text.name_ascii(F.col("business_name")).alias("name_ascii"))

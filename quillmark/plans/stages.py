@@ -9,7 +9,7 @@ from quillmark.functions import ids, similarity, text
 from quillmark.operators import blocking, decide, features, lists, reports, stack, tokens
 from quillmark.plans.registry import _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _vectors, query
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
-from quillmark.sources import store, synthetic, tsv
+from quillmark.sources import store, stress, synthetic, tsv
 from quillmark.streaming import competition
 
 # ---- the pool: near records with made-up scores -----------------------------------------------------------------------
@@ -404,6 +404,13 @@ def _(s, d):
     return s1.withColumn("side", F.lit("s1")).unionByName(targets.withColumn("side", F.lit("targets")))
 
 
+@query("p32_stress_rewrites")
+def _(s, d):
+    """The records of all sources rewritten; without SQL: golden cases are in tests/test_stress.py."""
+    side = F.when(F.col("src") == 1, "S1").otherwise("T").alias("side")
+    return stress.french_records(spread(records(s, d)).select("entity_id", side, "business_name", "business_address")).drop("orig_name", "orig_address")
+
+
 @query("x_stream_two_best", sql("SELECT s1, t, p AS score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p DESC, s1) AS r FROM prs) WHERE r <= 2", "prs"))
 def _(s, d):
     return competition.two_best(pairs(s, d).select("s1", "t", F.col("p").alias("score")))
