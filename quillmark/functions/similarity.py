@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -13,19 +15,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
+@lru_cache(maxsize=256)
+def _places(a: str) -> dict[str, int]:
+    """For each character of a, a whole number with a bit for each of its places."""
+    if len(a) < 48:
+        where: dict[str, int] = {}
+        for i, c in enumerate(a):
+            where[c] = where.get(c, 0) | 1 << i
+        return where
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+
+
+def _common(a: str, b: Iterable[str]) -> int:
+    """Length of the longest common subsequence: a row of the table is one whole number, of which all bits change at once. The bits of `a` are made once for
+    all b it is asked with."""
+    n, get = len(a), _places(a).get
+    row = full = (1 << n) - 1
+    for k, u in enumerate(map(get, b)):
+        if u:
+            u &= row
+            row = (row + u) | (row - u)
+            if not k & 63:
+                row &= full  # carries pile up beyond the last place
+    return n - (row & full).bit_count()
+
+
 def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows in Python integers."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        u = row & where.get(c, 0)
-        row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    """Length of the longest common subsequence. What both begin and end with is all common; of the rest the longer text's places are the bits."""
+    if a == b:
+        return len(a)
+    if len(a) < len(b):
+        a, b = b, a
+    front, most = len(commonprefix((a, b))), len(b)
+    back = len(commonprefix((a[: front - len(a) - 1 : -1] if front < len(a) else "", b[: front - len(b) - 1 : -1] if front < most else "")))
+    a, b = a[front : len(a) - back], b[front : most - back]
+    return front + back + (_common(a, b) if a and b else 0)
 
 
 def _ratio(a: str, b: str) -> float:
@@ -33,14 +58,18 @@ def _ratio(a: str, b: str) -> float:
 
 
 def _set_ratio(a: str, b: str) -> float:
+    """The best of three ratios: the words of both with either side's own words, and each of these with the words of both. Those begin alike, so only the
+    words that one side has alone are compared by characters."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
     both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
     if both and (not left or not right):
         return 100.0
-    first, second = f"{both} {left}".strip(), f"{both} {right}".strip()
-    return max(_ratio(first, second), _ratio(both, first) if both else 0.0, _ratio(both, second) if both else 0.0)
+    start = len(both) + 1 if both else 0
+    first, second = start + len(left), start + len(right)
+    most = 200.0 * (start + _lcs(left, right)) / (first + second)
+    return max(most, 200.0 * len(both) / (len(both) + min(first, second))) if both else most
 
 
 def _partial(a: str, b: str) -> float:
@@ -52,9 +81,11 @@ def _partial(a: str, b: str) -> float:
     n, m = len(a), len(b)
     if not n:
         return 100.0 if not m else 0.0
+    if a in b:
+        return 100.0
     most, i = 0, 0
     while i <= m - n:
-        common = _lcs(a, b[i : i + n])
+        common = _common(a, b[i : i + n])
         most = max(most, common)
         i += most - common + 1
     best = 100.0 * most / n
@@ -65,7 +96,7 @@ def _ends(a: str, end: str, best: float) -> float:
     """The best ratio of a to a shorter start of `end`, if over `best`."""
     n, size = len(a), len(end) - 1
     while size > 0:
-        common = _lcs(a, end[:size])
+        common = _common(a, end[:size])
         best = max(best, 200.0 * common / (n + size))
         size = min(size - 1, math.ceil(200.0 * common / best - n) - 1) if best else size - 1
     return best
