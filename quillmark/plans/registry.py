@@ -220,6 +220,27 @@ def _(s, d):
     return _near(s, d).select("s1", "t", *(F.round(k[n]("na", "nb"), 6).alias(n) for n in ("ratio", "token_sort", "token_set", "partial")))
 
 
+#: Common subsequences in SQL: one row of the table for each character of the longer text. The best entry of a row up to a place is at the character's last place before it.
+_LCS = """c AS (SELECT a, b, list_transform(string_split(CASE WHEN length(a) < length(b) THEN a ELSE b END, ''), lambda x: unicode(x)) AS p, list_transform(string_split(CASE WHEN length(a) < length(b) THEN b ELSE a END, ''), lambda x: [unicode(x)]) AS q FROM (SELECT DISTINCT a, b FROM asked WHERE a <> '' AND b <> '')),
+e AS (SELECT a, b, list_last(list_reduce(list_prepend(list_transform(range(0, len(p) + 1), lambda x: 0), q), lambda row, y: list_transform(range(1, len(p) + 2), lambda i: greatest(row[i], coalesce(row[i - list_position(list_reverse(p[1:i - 1]), y[1])] + 1, 0))))) AS lcs FROM c)"""
+_SETS = """w AS (SELECT s1, t, na, nb, list_sort(list_filter(string_split_regex(na, '\\s+'), lambda x: x <> '')) AS sa, list_sort(list_filter(string_split_regex(nb, '\\s+'), lambda x: x <> '')) AS sb FROM (SELECT s1, t, coalesce(na, '') AS na, coalesce(nb, '') AS nb FROM x)),
+v AS (SELECT *, array_to_string(sa, ' ') AS ja, array_to_string(sb, ' ') AS jb, array_to_string(list_sort(list_distinct(list_filter(sa, lambda z: list_contains(sb, z)))), ' ') AS i, array_to_string(list_sort(list_distinct(list_filter(sa, lambda z: NOT list_contains(sb, z)))), ' ') AS l, array_to_string(list_sort(list_distinct(list_filter(sb, lambda z: NOT list_contains(sa, z)))), ' ') AS r FROM w),
+u AS (SELECT *, trim(i || ' ' || l) AS il, trim(i || ' ' || r) AS ir FROM v), asked AS (SELECT na AS a, nb AS b FROM u UNION SELECT ja, jb FROM u UNION SELECT il, ir FROM u UNION SELECT i, il FROM u UNION SELECT i, ir FROM u)"""
+
+
+def _ratio_sql(a: str, b: str, k: str) -> str:
+    return f"CASE WHEN {a} = '' AND {b} = '' THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * coalesce({k}.lcs, 0) / (length({a}) + length({b})) END"
+
+
+_ASKED = {"r": ("na", "nb"), "o": ("ja", "jb"), "p": ("il", "ir"), "m": ("i", "il"), "n": ("i", "ir")}
+
+
+@query("f1_f3_ratios", sql(_NEAR + f", {_SETS}, {_LCS} SELECT s1, t, round({_ratio_sql('na', 'nb', 'r')}, 6) AS ratio, round({_ratio_sql('ja', 'jb', 'o')}, 6) AS token_sort, round(CASE WHEN ja = '' OR jb = '' THEN 0.0::DOUBLE WHEN i <> '' AND (l = '' OR r = '') THEN 100.0::DOUBLE ELSE greatest({_ratio_sql('il', 'ir', 'p')}, CASE WHEN i <> '' THEN greatest({_ratio_sql('i', 'il', 'm')}, {_ratio_sql('i', 'ir', 'n')}) ELSE 0 END) END, 6) AS token_set FROM u " + " ".join(f"LEFT JOIN e {k} ON {k}.a = u.{a} AND {k}.b = u.{b}" for k, (a, b) in _ASKED.items()), "rec"))
+def _(s, d):
+    k = similarity.scorers()
+    return _near(s, d).select("s1", "t", *(F.round(k[n]("na", "nb"), 6).alias(n) for n in ("ratio", "token_sort", "token_set")))
+
+
 @query("f8_f10_flags", sql(_NEAR + "SELECT s1, t, CASE WHEN na <> '' AND nb <> '' THEN (na = nb)::INT END AS eq, round(least(length(na), length(nb)) / greatest(length(na), length(nb), 1), 6) AS len_ratio FROM x", "rec"))
 def _(s, d):
     a, b = F.col("na"), F.col("nb")
