@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import ids, similarity, text
 from quillmark.operators import blocking, decide, features, lists, reports, stack, tokens
-from quillmark.plans.registry import _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _vectors, query
+from quillmark.plans.registry import _FOUR, _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _topk_sql, _vectors, query
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
 from quillmark.sources import store, stress, synthetic, tsv
 from quillmark.streaming import competition
@@ -165,7 +165,16 @@ def _(s, d):
     return x.select("s1", "t", F.col("a.name_core").alias("name_s1"), F.col("b.name_core").alias("name_t"), F.col("a.postal").alias("postal_s1"), F.col("b.postal").alias("postal_t"))
 
 
-@query("j20_block_universe")
+def _inner(body: str) -> str:
+    return "WITH " + body.removeprefix("+").replace("FROM rec", "FROM nrm")
+
+
+_BY_KEY = "SELECT a.key AS s1, b.key AS t FROM f a JOIN (SELECT key, {0} AS k, count(*) OVER (PARTITION BY {0}) AS n FROM f WHERE src > 1 AND {0} IS NOT NULL) b ON a.{0} = b.k AND a.src = 1 AND b.n <= 20"
+_WORDS = "list_filter(string_split(name_core, ' '), lambda t: t <> '')"
+_CHARS = "list_transform(range(1, length(name_ascii) - 1), lambda i: substr(name_ascii, i, 3))"
+
+
+@query("j20_block_universe", sql(_FOUR + f", wa AS ({_inner(_topk_sql(_WORDS, 0.1, 8, 10))}), ca AS ({_inner(_topk_sql(_CHARS, 0.02, 12, 5))}), kp AS ({_BY_KEY.format('k_postal')}), kr AS ({_BY_KEY.format('k_rare2')}) SELECT s1, t, wa.score AS b2w_score, ca.score AS b1_score, coalesce(wa.rank, 0)::INT AS b2w_rank, coalesce(ca.rank, 0)::INT AS b1_rank, coalesce(kp.k, 0)::INT AS k_postal, coalesce(kr.k, 0)::INT AS k_rare2 FROM wa FULL JOIN ca USING (s1, t) FULL JOIN (SELECT DISTINCT s1, t, 1 AS k FROM kp) kp USING (s1, t) FULL JOIN (SELECT DISTINCT s1, t, 1 AS k FROM kr) kr USING (s1, t)", "rec", "nrm"))
 def _(s, d):
     r = _kept(s)(_normal(s, d).select("key", "country", "name_core", "name_ascii", (F.col("src") == 1).alias("is_s1")))
     word = blocking.tfidf_topk(r, "name_core", "word", 0.1, 8, 10, _kept(s)).select("s1", "t", "score", "rank")
