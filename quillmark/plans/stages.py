@@ -399,20 +399,50 @@ def _(s, d):
     return out.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_json", "SELECT 0.55::DOUBLE AS t_emit, 2 AS n")
+@query("s11_json", "SELECT round(avg(l_discount), 6) AS t_emit, count(*) AS n FROM lineitem")
 def _(s, d):
-    path = _scratch(s)
-    store.write_json(s, path, {"t_emit": 0.55, "n": 2})
+    """Side data of a stage: made from a table, written as JSON, read again."""
+    path, made = _scratch(s), table(s, d, "lineitem").agg(F.round(F.avg("l_discount"), 6).alias("t_emit"), F.count(F.lit(1)).alias("n")).first()
+    store.write_json(s, path, made.asDict())
     got = store.read_json(s, path)
-    return s.createDataFrame([(got["t_emit"], got["n"])], "t_emit double, n int")
+    return s.createDataFrame([(got["t_emit"], got["n"])], "t_emit double, n long")
+
+
+_LANDS = ["US", "India", "France"]
+
+
+def _ids(s, d) -> DataFrame:
+    return table(s, d, "customer").selectExpr("c_custkey AS id")
 
 
 @query("s13_synthetic")
 def _(s, d):
-    s1, targets, lists_ = synthetic.sources(s, 2000, ["US", "India", "France"])
+    """Sources with noisy copies, a business for each customer; without SQL: s13_businesses has it for what they are made from."""
+    s1, targets, lists_ = synthetic.sources(_ids(s, d), _LANDS)
     return s1.withColumn("side", F.lit("s1")).unionByName(targets.withColumn("side", F.lit("targets")))
 
 
+def _drawn(salt: int) -> str:
+    return f"('0x' || substr(md5('{salt}:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _picked(names: list[str], salt: int) -> str:
+    return f"({names})[floor({_drawn(salt)} * {len(names)})::INT + 1]"
+
+
+def _landed(entries: dict[str, list[str]], salt: int) -> str:
+    return "CASE country " + " ".join(f"WHEN '{k}' THEN {_picked(v, salt)}" for k, v in entries.items()) + " END"
+
+
+def _capital(x: str) -> str:
+    return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+
+
+@query("s13_businesses", f"WITH c AS (SELECT c_custkey AS id FROM customer), b AS (SELECT id, {_picked(_LANDS, 1)} AS country FROM c) SELECT id, country, {_capital(_picked(synthetic.FIRST, 2))} || ' ' || {_capital(_picked(synthetic.SECOND, 3))} || ' ' || {_capital(_picked(synthetic.TRADE, 4))} AS name, {_landed(synthetic.LEGAL, 5)} AS legal, (1 + floor({_drawn(6)} * 999))::BIGINT::VARCHAR AS house, {_capital(_picked(synthetic.SECOND, 7))} AS street, {_landed(synthetic.STREET, 8)} AS kind, {_capital(_picked(synthetic.FIRST, 9))} || 'ville' AS town, (10000 + floor({_drawn(10)} * 90000))::INT::VARCHAR AS postal FROM b")
+def _(s, d):
+    return synthetic.businesses(_ids(s, d), _LANDS)
+
+
 @query("p32_stress_rewrites")
 def _(s, d):
     """The records of all sources rewritten; without SQL: golden cases are in tests/test_stress.py."""

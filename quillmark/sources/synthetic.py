@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.ids import draw
@@ -31,10 +31,10 @@ def _changed(column: str, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(column)), F.col(column))
 
 
-def businesses(spark: SparkSession, n: int, countries: list[str], seed: int = 1) -> DataFrame:
-    """n businesses: id, country, name, legal, house, street, kind, town, postal."""
+def businesses(ids: DataFrame, countries: list[str], seed: int = 1) -> DataFrame:
+    """A business for each id: id, country, name, legal, house, street, kind, town, postal."""
     b = F.col("id")
-    out = spark.range(n).withColumn("country", _pick(countries, b, seed))
+    out = ids.select("id").withColumn("country", _pick(countries, b, seed))
     name = F.concat_ws(" ", F.initcap(_pick(FIRST, b, seed + 1)), F.initcap(_pick(SECOND, b, seed + 2)), F.initcap(_pick(TRADE, b, seed + 3)))
     return out.withColumns({
         "name": name, "legal": _by_country(LEGAL, b, seed + 4), "house": (1 + F.floor(draw(b, seed + 5) * 999)).cast("string"), "street": F.initcap(_pick(SECOND, b, seed + 6)),
@@ -59,9 +59,9 @@ def noisy(copies: DataFrame, seed: int = 50, typo: float = 0.25, swap: float = 0
     return x.select("id", "copy", full.alias("business_name"), F.when(on(6, empty), F.lit("")).otherwise(address).alias("business_address"), "country")
 
 
-def sources(spark: SparkSession, n: int, countries: list[str], singletons: float = 0.06, most: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(s1, targets, truth): records with an entity_id, targets of S2 and S3, and (source1_entity_id, matched_entity_ids). A share of S1 has no match, the others 1 to `most`."""
-    own = businesses(spark, n, countries, seed)
+def sources(ids: DataFrame, countries: list[str], singletons: float = 0.06, most: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(s1, targets, truth), from whole numbers as ids: records with an entity_id, targets of S2 and S3, and (source1_entity_id, matched_entity_ids). A share of S1 has no match, the others 1 to `most`."""
+    own = businesses(ids, countries, seed)
     count = F.when(draw(F.col("id"), seed + 20) < singletons, 0).otherwise(1 + F.floor(draw(F.col("id"), seed + 21) * most)).cast("int")
     first = F.col("copy") == 0
     copies = noisy(own.withColumn("copy", F.explode(F.sequence(F.lit(0), count))), seed + 50)

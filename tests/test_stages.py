@@ -62,7 +62,7 @@ def test_settings_and_stamps(spark, tmp_path):
 
 
 def test_synthetic_sources_do_not_depend_on_partitions(spark):
-    a, b, truth = synthetic.sources(spark, 300, ["US", "India", "France"])
+    a, b, truth = synthetic.sources(spark.range(300), ["US", "India", "France"])
     assert a.count() == 300 and a.select("entity_id").distinct().count() == 300
     listed = sum(len(r.matched_entity_ids.split(",")) if r.matched_entity_ids else 0 for r in truth.collect())
     assert listed == b.count() and {r.entity_id[:3] for r in b.collect()} == {"S2-", "S3-"}
