@@ -1,5 +1,6 @@
 """A stress set: records rewritten in a French manner, to see how stages fare with a country they haven't seen. Every choice is drawn from a hash of the
-record's key, so a record comes out the same however rows are dealt; the two sides of a pair are rewritten independently."""
+record's key, so a record comes out the same however rows are dealt; the two sides of a pair are rewritten independently. What a lambda reads of a whole text
+is bound before it (functions/bind.py): else it would be worked out again for each word, and the work would grow with the square of a text."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import tables as T
+from quillmark.functions.bind import bound
 from quillmark.functions.ids import draw
 from quillmark.functions.text import ascii_lower
 
@@ -53,24 +55,37 @@ def _words(c: Column) -> Column:
 
 def with_particle(words: Column, d: Draws, name: str) -> Column:
     """Half of the time, a particle between two words; else an elision before a word that begins with a vowel or h; else a particle in front."""
-    n = F.size(words)
-    inside = F.array_insert(words, 2 + d.below(f"{name} place", n - 1), d.one(f"{name} particle", PARTICLES))
-    vowels = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("(?i)^[aeiouh]"), i)), lambda i: i.isNotNull())
-    at = F.get(vowels, d.below(f"{name} vowel", F.size(vowels)))
-    elided = F.transform(words, lambda w, i: F.when(i == at, F.concat(d.one(f"{name} elision", ELISIONS), w)).otherwise(w))
-    front = F.concat(F.array(d.one(f"{name} front", PARTICLES)), words)
-    return F.when((n >= 2) & (d(f"{name} inside") < 0.5), inside).when(F.size(vowels) > 0, elided).otherwise(front)
+
+    def put(words: Column) -> Column:
+        n = F.size(words)
+        inside = F.array_insert(words, 2 + d.below(f"{name} place", n - 1), d.one(f"{name} particle", PARTICLES))
+        vowels = F.filter(F.transform(words, lambda w, i: F.when(w.rlike("(?i)^[aeiouh]"), i)), lambda i: i.isNotNull())
+        elided = lambda at: F.transform(words, lambda w, i: F.when(i == at, F.concat(d.one(f"{name} elision", ELISIONS), w)).otherwise(w))
+        front = F.concat(F.array(d.one(f"{name} front", PARTICLES)), words)
+        beside = lambda v: F.when(F.size(v) > 0, bound(F.get(v, d.below(f"{name} vowel", F.size(v))), elided)).otherwise(front)
+        return F.when((n >= 2) & (d(f"{name} inside") < 0.5), inside).otherwise(bound(vowels, beside))
+
+    return bound(words, put)
 
 
 def french_name(name: Column, d: Draws) -> Column:
     """Legal forms become SARL, SAS or SA (equal forms the same one), or go in 30 % of names; a particle in 30 %."""
-    words, forms = _words(name), _table(T.LEGAL_FORMS)
+    forms = _table(T.LEGAL_FORMS)
     plain = lambda w: F.regexp_replace(ascii_lower(w), "[^a-z]", "")
-    kept = F.filter(words, lambda w: F.try_element_at(forms, plain(w)).isNull())
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(forms, plain(w))), lambda f: f.isNotNull())))
-    legal = F.get(F.array(*map(F.lit, FRENCH_LEGAL)), (F.crc32(F.array_join(found, " ").cast("binary")) % len(FRENCH_LEGAL)).cast("int"))
-    some = F.when(F.size(kept) == 0, words).when((F.size(found) > 0) & (d("name drop") >= 0.3), F.array_append(kept, legal)).otherwise(kept)
-    return F.array_join(F.when((F.size(some) > 0) & (d("name particle") < 0.3), with_particle(some, d, "name")).otherwise(some), " ")
+
+    def legal(words: Column, form: Column, found: Column) -> Column:
+        kept = F.filter(words, lambda w, i: F.get(form, i).isNull())
+        new = F.get(F.array(*map(F.lit, FRENCH_LEGAL)), (F.crc32(F.array_join(found, " ").cast("binary")) % len(FRENCH_LEGAL)).cast("int"))
+        named = lambda k: F.when(F.size(k) == 0, words).when((F.size(found) > 0) & (d("name drop") >= 0.3), F.array_append(k, new)).otherwise(k)
+        return bound(kept, named)
+
+    def put(words: Column) -> Column:
+        found = lambda form: F.array_sort(F.array_distinct(F.filter(form, lambda f: f.isNotNull())))
+        each = F.transform(words, lambda w: F.try_element_at(forms, plain(w)))
+        return bound(each, lambda form: bound(found(form), lambda f: legal(words, form, f)))
+
+    some = lambda words: F.array_join(F.when((F.size(words) > 0) & (d("name particle") < 0.3), with_particle(words, d, "name")).otherwise(words), " ")
+    return bound(bound(_words(name), put), some)
 
 
 def pin_code(pin: Column) -> Column:
@@ -81,7 +96,7 @@ def pin_code(pin: Column) -> Column:
 def _rebuilt(c: Column, pattern: str, change) -> Column:
     """c with each match of the pattern changed by change(match, number from 0)."""
     found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), change)
-    return F.array_join(F.transform(F.split(c, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), "")
+    return bound(found, lambda new: F.array_join(F.transform(F.split(c, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.get(new, i), F.lit("")))), ""))
 
 
 def french_address(address: Column, d: Draws) -> Column:
@@ -90,39 +105,39 @@ def french_address(address: Column, d: Draws) -> Column:
     streets, short = _table(FRENCH_STREET), _table(SHORT_STREET)
     brief, first, gone = d("brief") < 0.5, d("number first") < 0.5, d("no code") < 0.2
     french = lambda w: F.try_element_at(streets, F.lower(F.rtrim(w, F.lit("."))))
-    said = lambda w: F.when(brief, F.try_element_at(short, french(w))).otherwise(french(w))
+    said = lambda f: F.when(brief, F.try_element_at(short, f)).otherwise(f)
 
     def part(p: Column) -> Column:
         group = lambda k: F.regexp_extract(p, NUMBERED_STREET, k)
-        number, street, kind = group(1), group(2), group(3)
-        numbered = F.when(first, F.concat_ws(" ", number, said(kind), street)).otherwise(F.concat_ws(" ", said(kind), street, number))
-        inner = F.array_join(F.transform(_words(p), lambda w, i: F.when((i > 0) & french(w).isNotNull(), said(w)).otherwise(w)), " ")
-        return F.when(french(kind).isNotNull(), numbered).otherwise(inner)
+        numbered = lambda f: F.when(first, F.concat_ws(" ", group(1), said(f), group(2))).otherwise(F.concat_ws(" ", said(f), group(2), group(1)))
+        word = lambda w, i: bound(french(w), lambda f: F.when((i > 0) & f.isNotNull(), said(f)).otherwise(w))
+        inner = F.array_join(F.transform(_words(p), word), " ")
+        return bound(french(group(3)), lambda f: F.when(f.isNotNull(), numbered(f)).otherwise(inner))
+
+    def put(parts: Column) -> Column:
+        more = lambda at: F.transform(parts, lambda p, i: F.when(i == at, F.array_join(with_particle(_words(p), d, "address"), " ")).otherwise(p))
+        return F.when(d("address particle") < 0.3, bound(d.below("address part", F.size(parts)), more)).otherwise(parts)
 
     coded = _rebuilt(address, PIN, lambda m, i: F.when(gone, F.lit("")).otherwise(pin_code(m)))
-    parts = F.filter(F.transform(F.split(coded, ","), lambda p: part(F.trim(p))), lambda p: p != "")
-    at = d.below("address part", F.size(parts))
-    more = F.transform(parts, lambda p, i: F.when(i == at, F.array_join(with_particle(_words(p), d, "address"), " ")).otherwise(p))
-    return F.array_join(F.when(d("address particle") < 0.3, more).otherwise(parts), ", ")
+    parts = F.filter(F.transform(F.split(coded, ","), lambda p: bound(F.trim(p), part)), lambda p: p != "")
+    return F.array_join(bound(parts, put), ", ")
 
 
 def accented(text: Column, d: Draws, name: str) -> Column:
     """An accent on about 30 % of the words of three letters or more that have a letter for it."""
 
+    def marked(c: Column, k: Column) -> Column:
+        out = c
+        for letter, forms in ACCENTS.items():
+            one = d.one(f"{name} {letter}", forms, k)
+            out = F.when(c == letter, one).when(c == letter.upper(), F.upper(one)).otherwise(out)
+        return out
+
     def word(w: Column, k: Column) -> Column:
-        letters = F.split(w, "")
-        spots = F.filter(F.transform(letters, lambda c, i: F.when(F.lower(c).isin(list(ACCENTS)), i)), lambda i: i.isNotNull())
-        at = F.get(spots, d.below(f"{name} spot", F.size(spots), k))
-
-        def marked(c: Column) -> Column:
-            out = c
-            for letter, forms in ACCENTS.items():
-                one = d.one(f"{name} {letter}", forms, k)
-                out = F.when(c == letter, one).when(c == letter.upper(), F.upper(one)).otherwise(out)
-            return out
-
-        changed = F.array_join(F.transform(letters, lambda c, i: F.when(i == at, marked(c)).otherwise(c)), "")
-        return F.when((d(f"{name} word", k) < 0.3) & (F.size(spots) > 0), changed).otherwise(w)
+        spots = lambda letters: F.filter(F.transform(letters, lambda c, i: F.when(F.lower(c).isin(list(ACCENTS)), i)), lambda i: i.isNotNull())
+        changed = lambda letters, at: F.array_join(F.transform(letters, lambda c, i: F.when(i == at, marked(c, k)).otherwise(c)), "")
+        one = lambda letters, s: F.when(F.size(s) > 0, bound(F.get(s, d.below(f"{name} spot", F.size(s), k)), lambda at: changed(letters, at))).otherwise(w)
+        return F.when(d(f"{name} word", k) < 0.3, bound(F.split(w, ""), lambda letters: bound(spots(letters), lambda s: one(letters, s)))).otherwise(w)
 
     return _rebuilt(text, WORD, word)
 
