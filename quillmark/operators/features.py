@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillmark.functions import similarity as S
 from quillmark.functions import text
+from quillmark.functions.batches import pieces
 from quillmark.operators import tokens
 from quillmark.operators.lists import best_first, by_s1
 
@@ -94,9 +95,11 @@ def overlaps(view: str, prefix: str, by_country: bool = False) -> Column:
 
     @F.arrow_udf(_KINDS)
     def run(a: pa.Array, da: pa.Array, na: pa.Array, b: pa.Array, db: pa.Array, nb: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in (a, da, na, b, db, nb)))
-        out = list(zip(*(shared_words(_weights(*r[:3]), _weights(*r[3:])) for r in rows))) or [()] * len(STATS)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int32() if k.dataType == IntegerType() else pa.float64()) for c, k in zip(out, _KINDS)], STATS)
+        done = []
+        for part in pieces([a, da, na, b, db, nb]):
+            out = list(zip(*(shared_words(_weights(*r[:3]), _weights(*r[3:])) for r in zip(*(c.to_pylist() for c in part))))) or [()] * len(STATS)
+            done.append(pa.StructArray.from_arrays([pa.array(c, pa.int32() if k.dataType == IntegerType() else pa.float64()) for c, k in zip(out, _KINDS)], STATS))
+        return pa.concat_arrays(done)
 
     n = "_n_pc" if by_country else "_n"
     return run(*(F.col(f"{side}.{c}") for side in ("a", "b") for c in (view, f"_d_{prefix}", n)))

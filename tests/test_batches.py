@@ -1,9 +1,13 @@
 """What a task holds of a batch as Python objects is bounded."""
 
+import tracemalloc
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from quillmark.functions import addresses
+from quillmark.functions import addresses, similarity
 from quillmark.functions.batches import PIECE, pieces
+from quillmark.operators import features
 
 
 def test_pieces():
@@ -22,3 +26,42 @@ def test_address_views_leave_in_pieces():
     assert len(out) > 2 and max(x.nbytes for x in out) < 3 * PIECE
     rows = [tuple(r.values()) for x in out for r in x.to_pylist()]
     assert rows == [addresses.views(x) for x in [*batch.to_pylist(), None]]
+
+
+def _udf(monkeypatch, make):
+    """The function that make hands to arrow_udf."""
+    held = []
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: held.append(f) or (lambda *columns: None))
+    monkeypatch.setattr(F, "col", str)
+    make()
+    return held[0]
+
+
+def _peak(f) -> tuple:
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most / 1e6
+
+
+def test_shared_words_of_a_large_batch(monkeypatch):
+    """All words and frequencies of a batch stood in a task as Python objects at once."""
+    run = _udf(monkeypatch, lambda: features.overlaps("v", "p"))
+    text, n = " ".join(f"w{i}" for i in range(500)), 8000
+    side = [pa.array([text, "w1 x", None, ""] * (n // 4)), pa.array([list(range(300, 800)), [300, 7], [], []] * (n // 4), pa.list_(pa.int32())), pa.array([1000] * n)]
+    out, most = _peak(lambda: run(*side, *side[:1], *side[1:]))
+    one = features._weights(text, list(range(300, 800)), 1000)
+    assert most < 30 and len(out) == n and tuple(out[0].as_py().values()) == features.shared_words(one, one)
+    assert out[1].as_py()["n_shared"] == 2 and out[2].as_py()["n_shared"] == 0
+
+
+def test_scores_of_a_large_batch(monkeypatch):
+    """A batch's texts stood in a task as Python objects at once."""
+    run = _udf(monkeypatch, lambda: similarity.several(["name_ratio", "addr_tset"], *"abcd"))
+    n = 2000
+    name, long_ = pa.array(["blue star", None, "apple"] * n), pa.array([f"{i} " + "x" * 3000 for i in range(3 * n)])
+    batch = (name, pa.array(["blue start"] * (3 * n)), long_, long_)
+    (sizes, first), most = _peak(lambda: (lambda got: ([len(g) for g in got], got[0][:3].to_pylist()))(list(run(iter([batch])))))
+    assert most < 20 and sum(sizes) == 3 * n and len(sizes) > 10
+    assert first == [{"name_ratio": similarity._ratio(a, "blue start"), "addr_tset": 100.0} for a in ("blue star", "", "apple")]
