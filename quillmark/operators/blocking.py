@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillmark.functions.batches import PIECE, pieces
 from quillmark.operators import tokens
 
 
@@ -43,11 +44,11 @@ def counted(records: DataFrame, text: str, kind: str) -> DataFrame:
         rows = rows.join(again, "key", "left_anti").unionByName(merged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [Counter(g for t in texts for g in grams(t or "", kind)) for texts in b.column(3).to_pylist()]
-            some = pa.array([bool(c) for c in found])
+        for part in (p for b in batches for p in pieces(b.columns, PIECE >> 2)):
+            found = [Counter(g for t in texts for g in grams(t or "", kind)) for texts in part[3].to_pylist()]
+            some = pa.array([bool(c) for c in found], pa.bool_())
             found = [c for c in found if c]
-            columns = [*(b.column(i).filter(some) for i in range(3)), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            columns = [*(part[i].filter(some) for i in range(3)), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "country", "is_s1", "gram", "tf"])
 
     kind_of = dict(rows.dtypes)
@@ -74,13 +75,17 @@ def tfidf_topk(records: DataFrame, text: str, kind: str, max_df: float, top_m: i
     return ranked(_best_of_blocks(keep(packed), k), k)
 
 
-def _best_of_blocks(packed: DataFrame, k: int, rows: tuple[int, int] = (1 << 14, 1 << 16)) -> DataFrame:
+#: Grams of a block of targets, about: an index of some 84 MB, and up to three times that while it is made.
+BLOCK_GRAMS = 1 << 22
+
+
+def _best_of_blocks(packed: DataFrame, k: int, rows: tuple[int, int] = (1 << 14, 1 << 16), grams_: int = BLOCK_GRAMS) -> DataFrame:
     """(s1, t, score): each S1's k best targets of each block of its country, of (country, side, key, h, w): side 0 targets, 1 S1. A block has
-    about rows[1] targets at most, and fewer, down to rows[0], where there are more cores than blocks."""
-    sizes = packed.where("side = 0").groupBy("country").agg(F.count(F.lit(1)).alias("_n"))
+    about rows[1] targets and grams_ grams at most, and fewer, down to rows[0], where there are more cores than blocks."""
+    sizes = packed.where("side = 0").groupBy("country").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("h")).alias("_g"))
     every = sizes.agg(F.sum("_n")).first()[0] or 0
     most = min(max(every // (2 * packed.sparkSession.sparkContext.defaultParallelism), rows[0]), rows[1])
-    blocks = sizes.select("country", F.ceil(F.col("_n") / most).cast("long").alias("_b"))
+    blocks = sizes.select("country", F.greatest(F.ceil(F.col("_n") / most), F.ceil(F.col("_g") / grams_)).cast("long").alias("_b"))
     placed = packed.join(F.broadcast(blocks), "country")  # one row for each country
     own = F.array(F.expr("pmod(xxhash64(key), _b)"))
     dealt = placed.withColumn("block", F.explode(F.when(F.col("side") == 0, own).otherwise(F.expr("sequence(0L, _b - 1)"))))

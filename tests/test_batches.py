@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import addresses, similarity
 from quillmark.functions.batches import PIECE, pieces
-from quillmark.operators import features
+from quillmark.operators import blocking, features
 
 
 def test_pieces():
@@ -65,3 +65,14 @@ def test_scores_of_a_large_batch(monkeypatch):
     (sizes, first), most = _peak(lambda: (lambda got: ([len(g) for g in got], got[0][:3].to_pylist()))(list(run(iter([batch])))))
     assert most < 20 and sum(sizes) == 3 * n and len(sizes) > 10
     assert first == [{"name_ratio": similarity._ratio(a, "blue start"), "addr_tset": 100.0} for a in ("blue star", "", "apple")]
+
+
+def test_blocks_of_targets_are_bounded_by_grams(spark):
+    """Blocks were bounded by rows alone: one of long texts had an index of any size."""
+    rows = [("x", int(i % 4 == 0), i, [int(h) for h in range(i % 5, 40, 3)], [0.1 + (h * i % 7) / 10 for h in range(i % 5, 40, 3)]) for i in range(80)]
+    packed = spark.createDataFrame(rows, "country string, side int, key long, h array<long>, w array<double>")
+    best = lambda **how: sorted(map(tuple, blocking.ranked(blocking._best_of_blocks(packed, 5, **how), 5).collect()))
+    every = best()
+    cut = blocking._best_of_blocks(packed, 5, grams_=60)
+    made = cut.groupBy("s1").count().agg(F.max("count")).first()[0]
+    assert len(every) == 100 and best(grams_=60) == every and made > 20  # five of each of more than four blocks
