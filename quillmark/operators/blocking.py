@@ -243,16 +243,24 @@ def key_block_left_out(s1: DataFrame, t: DataFrame, cap: int) -> DataFrame:
     return n.withColumn("n_pairs", F.col("n_s1") * F.col("n_t"))
 
 
+#: Pairs that a task of key_block_rest makes, about, and the most tasks.
+TASK_PAIRS, MOST_TASKS = 1 << 24, 1 << 14
+
+
 def key_block_rest(s1: DataFrame, t: DataFrame, cap: int, side: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(s1, t) of the keys that key_block_pairs leaves out: with its pairs, those of the join without a cap. Both sides of a key are cut into runs of about
     `side` rows; a cell of two runs is joined by itself, so that a key is split over as many tasks as its pairs fill. A row is copied once for each run of
     the other side: side times fewer copies than pairs."""
-    hot = keep(key_block_left_out(s1, t, cap)).select("key", F.ceil(F.col("n_s1") / side).alias("_rows"), F.ceil(F.col("n_t") / side).alias("_cols"))
+    left = keep(key_block_left_out(s1, t, cap))
+    tasks = min(1 + int(left.agg(F.sum("n_pairs")).first()[0] or 0) // TASK_PAIRS, MOST_TASKS)  # set, as else cells are put together by their bytes, which are few
+    tasks = max(tasks, s1.sparkSession.sparkContext.defaultParallelism)
+    hot = left.select("key", F.ceil(F.col("n_s1") / side).alias("_rows"), F.ceil(F.col("n_t") / side).alias("_cols"))
     dealt = lambda df, c, n: F.pmod(F.xxhash64(F.col(c)), F.col(n))
     a, b = s1.where("key is not null").join(hot, "key"), t.where("key is not null").join(hot, "key")
     a = a.withColumn("_i", dealt(a, "s1", "_rows")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)))
     b = b.withColumn("_j", dealt(b, "t", "_cols")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)))
-    return a.select("key", "_i", "_j", "s1").join(b.select("key", "_i", "_j", "t"), ["key", "_i", "_j"]).select("s1", "t")
+    cell = ["key", "_i", "_j"]
+    return a.select(*cell, "s1").repartition(tasks, *cell).join(b.select(*cell, "t").repartition(tasks, *cell), cell).select("s1", "t")
 
 
 def union_pool(blockers: dict[str, DataFrame], keyed: dict[str, DataFrame]) -> DataFrame:

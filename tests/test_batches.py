@@ -76,3 +76,12 @@ def test_blocks_of_targets_are_bounded_by_grams(spark):
     cut = blocking._best_of_blocks(packed, 5, grams_=60)
     made = cut.groupBy("s1").count().agg(F.max("count")).first()[0]
     assert len(every) == 100 and best(grams_=60) == every and made > 20  # five of each of more than four blocks
+
+
+def test_pairs_of_frequent_keys_are_dealt_by_their_number(spark, monkeypatch):
+    """Cells were put together by their bytes: many millions of pairs were one task's."""
+    monkeypatch.setattr(blocking, "TASK_PAIRS", 2_000, raising=False)
+    s1, t = spark.range(300).selectExpr("id AS s1", "'k' AS key"), spark.range(300).selectExpr("1000 + id AS t", "'k' AS key")
+    out = blocking.key_block_rest(s1, t, 20, 30, lambda d: d.localCheckpoint())
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert out.distinct().count() == sum(sizes) == 90_000 and len(sizes) > 20 and max(sizes) < 10_000
