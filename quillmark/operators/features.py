@@ -5,9 +5,7 @@ views, the token statistics, and windows over s1 that share one exchange. Tables
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +51,9 @@ def in_group(pairs: DataFrame, values: list[str], rank: str, gap: str, margin: l
 def with_frequencies(records: DataFrame, views: list[tuple[str, str, bool]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """records with, for each (view, prefix, by_country), the df of the view's words as _d_{prefix}, in their order; by country also _d_{prefix}_pc
     under its own country, empty without a country. _n and _n_pc: the records of all, and of the country."""
-    one = [records.select(F.lit(p).alias("name"), "country", F.explode(tokens.words(v)).alias("token")) for v, p, _ in views]
-    df = keep(reduce(DataFrame.unionByName, one).groupBy("name", "country", "token").agg(F.count(F.lit(1)).alias("df")))
-    within = lambda country, token: F.concat(country, F.lit("\x01"), token)
-    every = df.groupBy(F.concat(F.lit("_d_"), "name").alias("name"), "token").agg(F.sum("df").alias("df"))
-    split = [p for _, p, by_country in views if by_country]
-    own = df.where(F.col("name").isin(split) & F.col("country").isNotNull()).select(F.concat(F.lit("_d_"), "name", F.lit("_pc")).alias("name"), within(F.col("country"), F.col("token")).alias("token"), "df")
-    arrays = {f"_d_{p}": tokens.words(v) for v, p, _ in views}
-    arrays |= {f"_d_{p}_pc": F.when(F.col("country").isNull(), F.array().cast("array<string>")).otherwise(F.transform(tokens.words(v), lambda t: within(F.col("country"), t))) for v, p, by_country in views if by_country}
+    named = {f"_d_{p}": tokens.Words(v) for v, p, _ in views} | {f"_d_{p}_pc": tokens.Words(v, "country") for v, p, by_country in views if by_country}
     n = records.groupBy("country").agg(F.count(F.lit(1)).alias("_n_pc"))
-    out = tokens.looked_up(records, keep(every.unionByName(own) if split else every), arrays)
+    out = tokens.looked_up(records, keep(tokens.counted_words(records, named)), named)
     return out.withColumn("_n", F.lit(records.count())).join(F.broadcast(n), "country", "left")  # one row for each country
 
 
@@ -71,21 +62,26 @@ STATS = ["n_shared", "token_diff", "idf_jacc", "idf_cover_s1", "idf_cover_t", "m
 COUNTRY_STATS = [c for c in STATS if c not in ("n_shared", "token_diff")]
 
 
-def _weights(text: str | None, df: list[int] | None, n: int | None) -> dict[str, float]:
+def _weights(text: str | None, df: np.ndarray | None, n: int | None) -> dict[str, float]:
     """The idf of each word; none without frequencies."""
-    if not df:
-        return {}
-    return dict(zip(dict.fromkeys(w for w in re.split("[ \t\n\x0b\f\r]+", text) if w), np.log(n / np.array(df, float)).tolist()))
+    return dict(zip(dict.fromkeys(tokens.split(text)), np.log(n / np.asarray(df, float)).tolist())) if df is not None and len(df) else {}
 
 
 def shared_words(a: dict[str, float], b: dict[str, float], rare: float = 8.0) -> tuple:
     """The statistics of tokens.overlap, in the order of STATS, from the words of either side with their idf."""
-    both = [x for t, x in a.items() if b.get(t) == x]
-    left, right = [x for t, x in a.items() if b.get(t) != x], [x for t, x in b.items() if a.get(t) != x]
+    met = {t for t in a.keys() & b.keys() if a[t] == b[t]}
+    both = [x for t, x in a.items() if t in met] if met else []
+    left, right = ([x for t, x in s.items() if t not in met] if met else s.values() for s in (a, b))
     shared, of_a, of_b = sum(both), sum(a.values()), sum(b.values())
     return (len(both), abs(len(a) - len(b)), shared / max(of_a + of_b - shared, 1e-6), shared / max(of_a, 1e-6), shared / max(of_b, 1e-6), max(both, default=0.0), sum(x > rare for x in both), max(left, default=0.0), max(right, default=0.0))
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of whole numbers, as arrays; empty for null."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 _KINDS = StructType([StructField(c, IntegerType() if c in ("n_shared", "token_diff", "n_shared_rare") else DoubleType()) for c in STATS])
 
 
@@ -97,7 +93,8 @@ def overlaps(view: str, prefix: str, by_country: bool = False) -> Column:
     def run(a: pa.Array, da: pa.Array, na: pa.Array, b: pa.Array, db: pa.Array, nb: pa.Array) -> pa.Array:
         done = []
         for part in pieces([a, da, na, b, db, nb]):
-            out = list(zip(*(shared_words(_weights(*r[:3]), _weights(*r[3:])) for r in zip(*(c.to_pylist() for c in part))))) or [()] * len(STATS)
+            rows = zip(*(_lists(c) if i % 3 == 1 else c.to_pylist() for i, c in enumerate(part)))
+            out = list(zip(*(shared_words(_weights(*r[:3]), _weights(*r[3:])) for r in rows))) or [()] * len(STATS)
             done.append(pa.StructArray.from_arrays([pa.array(c, pa.int32() if k.dataType == IntegerType() else pa.float64()) for c, k in zip(out, _KINDS)], STATS))
         return pa.concat_arrays(done)
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from quillmark.functions.batches import pieces
+
 #: So many of the most frequent tokens are broadcast at most, for look-ups in place; the others are joined.
 COMMON = 1 << 19
+_BLANKS = re.compile("[ \t\n\x0b\f\r]+")
 
 
 def words(text: str) -> Column:
@@ -19,9 +25,62 @@ def words(text: str) -> Column:
     return F.coalesce(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != "")), F.array().cast("array<string>"))
 
 
-def looked_up(rows: DataFrame, freq: DataFrame, named: dict[str, Column], most: int = COMMON) -> DataFrame:
-    """rows (key, ...) with, for each name, the df of every token of an array column, in its order, as integers. freq: (name, token, df), a table that can be
-    read many times, with all tokens; named: name -> the array's expression.
+def split(text: str) -> list[str]:
+    """The words of a text, as `words` has them, in Python, with repeats."""
+    return text.split() if text.isascii() and text.isprintable() else [w for w in _BLANKS.split(text) if w]
+
+
+def _distinct(texts: pa.Array, first: pa.Array | None) -> pa.Array:
+    """The distinct words of each text; with `first`, each behind its row's value and a mark, and none where that is null."""
+    done = []
+    for part in pieces([texts] if first is None else [texts, first]):
+        lists = [list(dict.fromkeys(split(t))) if t else [] for t in part[0].to_pylist()]
+        if first is not None:
+            lists = [[] if c is None else [f"{c}\x01{w}" for w in ws] for c, ws in zip(part[1].to_pylist(), lists)]
+        done.append(pa.array(lists, pa.list_(pa.string())))
+    return pa.concat_arrays(done)
+
+
+class Words(NamedTuple):
+    """The distinct words of a text column; with `within`, apart for each value of that column."""
+
+    text: str
+    within: str | None = None
+
+
+def _listed(rows: DataFrame, named: Mapping[str, Column | Words]) -> tuple[DataFrame, Callable]:
+    """rows with what the arrays are made from at the end, and how a batch's last columns become the arrays."""
+    own = {n: [c] if isinstance(c, Column) else [F.col(x) for x in c if x] for n, c in named.items()}
+    wide = rows.select(*rows.columns, *(c.alias(f"_w_{n}_{i}") for n, cs in own.items() for i, c in enumerate(cs)))
+    plain, sizes = [isinstance(c, Column) for c in named.values()], [len(cs) for cs in own.values()]
+
+    def arrays(columns: list[pa.Array]) -> list[pa.Array]:
+        at, out = len(columns) - sum(sizes), []
+        for given, n in zip(plain, sizes):
+            out.append(columns[at] if given else _distinct(columns[at], columns[at + 1] if n > 1 else None))
+            at += n
+        return out
+
+    return wide, arrays
+
+
+def counted_words(rows: DataFrame, named: Mapping[str, Words]) -> DataFrame:
+    """(name, token, df): in how many rows each word occurs, as looked_up takes it. Those of a batch are counted before they leave a task."""
+    wide, arrays = _listed(rows, named)
+    wide, names = wide.select(*wide.columns[len(rows.columns) :]), list(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, array in zip(names, arrays(b.columns)):
+                found = array.flatten().value_counts()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), found.field("values"), found.field("counts")], ["name", "token", "df"])
+
+    return wide.mapInArrow(run, "name string, token string, df long").groupBy("name", "token").agg(F.sum("df").alias("df"))
+
+
+def looked_up(rows: DataFrame, freq: DataFrame, named: Mapping[str, Column | Words], most: int = COMMON) -> DataFrame:
+    """rows (key, ...) with, for each name, the df of every token of an array column, or of a text's words, in its order, as integers. freq: (name, token,
+    df), a table that can be read many times, with all tokens; named: name -> the array's expression, or Words.
 
     Frequent tokens, `most` at most, are looked up in each row, as most words of a text are frequent; only the others travel, by token and by
     key. Keys are distinct."""
@@ -39,29 +98,46 @@ def looked_up(rows: DataFrame, freq: DataFrame, named: dict[str, Column], most:
         own = common.filter(pc.equal(common["name"], name))
         values[name] = (own["token"].combine_chunks(), own["df"].combine_chunks().cast(pa.int32()))
     shared = rows.sparkSession.sparkContext.broadcast(values)
+    asked, more = list(named), held > most
 
-    asked, width = list(named), len(rows.columns)
+    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, array in zip(asked, arrays(b.columns)):
+                flat = array.flatten()
+                at = np.flatnonzero(pc.is_null(pc.index_in(flat, value_set=shared.value[name][0])).to_numpy(zero_copy_only=False))
+                starts = array.offsets.to_numpy() - array.offsets[0].as_py()
+                row = np.searchsorted(starts, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([name] * len(at), pa.string()), pa.array((at - starts[row]).astype(np.int32)), flat.take(pa.array(at))], ["key", "name", "i", "token"])
+
+    wide, arrays = _listed(rows.select("key", *(c for c in rows.columns if c != "key")), named)
+    found = [f"_m_{n}" for n in asked] if more else []
+    if more:
+        own = wide.select("key", *wide.columns[len(rows.columns) :])
+        others = own.mapInArrow(lost, f"key {dict(rows.dtypes)['key']}, name string, i int, token string")
+        met = others.join(rest, ["name", "token"]).groupBy("key").agg(*(F.collect_list(F.when(F.col("name") == n, F.struct("i", F.col("df").cast("int").alias("df")))).alias(f"_m_{n}") for n in asked))
+        wide = wide.join(met, "key", "left").select("key", *found, *wide.columns[1:])
+    carried = [c for c in rows.columns if c != "key"]
+    names = ["key", *carried, *asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = list(b.columns)
-            for name, array in zip(asked, columns[width:]):
+        for part in (b.columns for b in batches):  # whole: each look-up makes a table of the frequent tokens
+            columns = [part[0], *part[1 + len(found) : 1 + len(found) + len(carried)]]
+            for j, (name, array) in enumerate(zip(asked, arrays(part))):
                 values, counts = shared.value[name]
-                columns.append(pa.ListArray.from_arrays(pc.subtract(array.offsets, array.offsets[0]), counts.take(pc.index_in(array.flatten(), value_set=values))))
+                starts = pc.subtract(array.offsets, array.offsets[0])
+                df = counts.take(pc.index_in(array.flatten(), value_set=values))
+                if more:
+                    met = part[1 + j]
+                    at = np.repeat(starts.to_numpy()[:-1], np.diff(met.offsets.to_numpy())) + met.flatten().field("i").to_numpy()
+                    full = df.fill_null(-1).to_numpy().copy()
+                    full[at] = met.flatten().field("df").to_numpy()
+                    df = pa.array(full, pa.int32(), mask=full < 0)
+                columns.append(pa.ListArray.from_arrays(starts, df))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    wide = rows.withColumns({f"_w_{n}": array for n, array in named.items()})
-    names = [*wide.columns, *named]
-    fields = [*wide.schema.fields, *(StructField(n, ArrayType(IntegerType())) for n in named)]
-    out = wide.mapInArrow(run, StructType(fields))
-    if held <= most:
-        return out.drop(*(f"_w_{n}" for n in named))
-    unknown = lambda n: F.filter(F.transform(f"_w_{n}", lambda t, i: F.when(F.get(n, i).isNull(), F.struct(F.lit(n).alias("name"), i.alias("i"), t.alias("token")))), lambda x: x.isNotNull())
-    others = out.select("key", F.explode(F.concat(*(unknown(n) for n in named))).alias("_x")).select("key", "_x.*")
-    met = others.join(rest, ["name", "token"]).groupBy("key").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("name") == n, F.struct("i", F.col("df").cast("int"))))).alias(f"_m_{n}") for n in named))
-    either = lambda found: lambda d, i: F.coalesce(d, F.try_element_at(found, i))
-    out = out.drop(*(f"_w_{n}" for n in named)).join(met, "key", "left").withColumns({n: F.transform(n, either(f"_m_{n}")) for n in named})
-    return out.drop(*(f"_m_{n}" for n in named))
+    kind = {f.name: f for f in rows.schema.fields}
+    fields = [kind["key"], *(kind[c] for c in carried), *(StructField(n, ArrayType(IntegerType())) for n in asked)]
+    return wide.mapInArrow(run, StructType(fields))
 
 
 def token_table(records: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
