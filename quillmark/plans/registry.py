@@ -370,8 +370,14 @@ rr AS (SELECT key, max(token) FILTER (WHERE rn = 1) AS r1, max(token) FILTER (WH
 f AS (SELECT key, src, country, CASE WHEN name_core <> '' THEN concat_ws('|', country, name_core) END AS k_name, CASE WHEN postal <> '' AND r1 IS NOT NULL THEN concat_ws('|', country, postal, r1) END AS k_postal, CASE WHEN house_no <> '' AND street_word <> '' THEN concat_ws('|', country, house_no, street_word) END AS k_house, CASE WHEN r2 IS NOT NULL THEN concat_ws('|', country, least(r1, r2), greatest(r1, r2)) END AS k_rare2 FROM w) """
 
 
-def _four_keys(s, d) -> DataFrame:
+def _named_rows(s, d) -> DataFrame:
+    """Normalized records without their addresses, as a table: keys and their words read it several times."""
     r = _normal(s, d).withColumn("street_word", text.street_word(F.col("address_core")))
+    return _kept(s)(r.select("key", "src", "country", "name_core", "name_ascii", "postal", "house_no", "street_word"))
+
+
+def _four_keys(s, d, rows: DataFrame | None = None) -> DataFrame:
+    r = _named_rows(s, d) if rows is None else rows
     rare = tokens.rare_tokens(tokens.token_table(r, "key", "name_core", "country"), "key")
     return r.join(rare, "key", "left").select("key", "src", "country", *(k.alias(name) for name, k in blocking.block_keys().items()))
 

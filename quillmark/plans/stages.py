@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import ids, similarity, text
 from quillmark.operators import blocking, decide, features, lists, reports, stack, tokens
-from quillmark.plans.registry import _FOUR, _GRID, _METRICS, ORACLES, QUERIES, _kept, _normal, _scratch, _topk_sql, _vectors, query
+from quillmark.plans.registry import _FOUR, _GRID, _METRICS, ORACLES, QUERIES, _four_keys, _kept, _named_rows, _normal, _scratch, _topk_sql, _vectors, query
 from quillmark.plans.views import owners, pairs, records, spread, sql, table, truth
 from quillmark.sources import store, stress, synthetic, tsv
 from quillmark.streaming import competition
@@ -176,10 +176,11 @@ _CHARS = "list_transform(range(1, length(name_ascii) - 1), lambda i: substr(name
 
 @query("j20_block_universe", sql(_FOUR + f", wa AS ({_inner(_topk_sql(_WORDS, 0.1, 8, 10))}), ca AS ({_inner(_topk_sql(_CHARS, 0.02, 12, 5))}), kp AS ({_BY_KEY.format('k_postal')}), kr AS ({_BY_KEY.format('k_rare2')}) SELECT s1, t, wa.score AS b2w_score, ca.score AS b1_score, coalesce(wa.rank, 0)::INT AS b2w_rank, coalesce(ca.rank, 0)::INT AS b1_rank, coalesce(kp.k, 0)::INT AS k_postal, coalesce(kr.k, 0)::INT AS k_rare2 FROM wa FULL JOIN ca USING (s1, t) FULL JOIN (SELECT DISTINCT s1, t, 1 AS k FROM kp) kp USING (s1, t) FULL JOIN (SELECT DISTINCT s1, t, 1 AS k FROM kr) kr USING (s1, t)", "rec", "nrm"))
 def _(s, d):
-    r = _kept(s)(_normal(s, d).select("key", "country", "name_core", "name_ascii", (F.col("src") == 1).alias("is_s1")))
+    rows = _named_rows(s, d)
+    r = rows.select("key", "country", "name_core", "name_ascii", (F.col("src") == 1).alias("is_s1"))
     word = blocking.tfidf_topk(r, "name_core", "word", 0.1, 8, 10, _kept(s)).select("s1", "t", "score", "rank")
     char = blocking.tfidf_topk(r, "name_ascii", "char3", 0.02, 12, 5, _kept(s)).select("s1", "t", "score", "rank")
-    k = QUERIES["j5_block_keys"](s, d)
+    k = _kept(s)(_four_keys(s, d, rows))
     keyed = {n: blocking.key_block_pairs(k.where("src = 1").selectExpr("key AS s1", f"{n} AS key"), k.where("src > 1").selectExpr("key AS t", f"{n} AS key"), 20) for n in ("k_postal", "k_rare2")}
     return blocking.union_pool({"b2w": word, "b1": char}, keyed)
 
