@@ -62,9 +62,17 @@ STATS = ["n_shared", "token_diff", "idf_jacc", "idf_cover_s1", "idf_cover_t", "m
 COUNTRY_STATS = [c for c in STATS if c not in ("n_shared", "token_diff")]
 
 
-def _weights(text: str | None, df: np.ndarray | None, n: int | None) -> dict[str, float]:
+def _words(text: str | None) -> dict[str, None]:
+    return dict.fromkeys(tokens.split(text)) if text else {}
+
+
+def _idf(words: dict[str, None], df: np.ndarray | None, n: int | None) -> dict[str, float]:
     """The idf of each word; none without frequencies."""
-    return dict(zip(dict.fromkeys(tokens.split(text)), np.log(n / np.asarray(df, float)).tolist())) if df is not None and len(df) else {}
+    return dict(zip(words, np.log(n / np.asarray(df, float)).tolist())) if df is not None and len(df) else {}
+
+
+def _weights(text: str | None, df: np.ndarray | None, n: int | None) -> dict[str, float]:
+    return _idf(_words(text), df, n)
 
 
 def shared_words(a: dict[str, float], b: dict[str, float], rare: float = 8.0) -> tuple:
@@ -82,24 +90,25 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
-_KINDS = StructType([StructField(c, IntegerType() if c in ("n_shared", "token_diff", "n_shared_rare") else DoubleType()) for c in STATS])
-
-
 def overlaps(view: str, prefix: str, by_country: bool = False) -> Column:
-    """The statistics of shared words as a struct, from the views and frequencies of both sides, a and b. Not by tokens.overlap: Spark compares
-    arrays of structs each with each."""
-
-    @F.arrow_udf(_KINDS)
-    def run(a: pa.Array, da: pa.Array, na: pa.Array, b: pa.Array, db: pa.Array, nb: pa.Array) -> pa.Array:
-        done = []
-        for part in pieces([a, da, na, b, db, nb]):
-            rows = zip(*(_lists(c) if i % 3 == 1 else c.to_pylist() for i, c in enumerate(part)))
-            out = list(zip(*(shared_words(_weights(*r[:3]), _weights(*r[3:])) for r in rows))) or [()] * len(STATS)
-            done.append(pa.StructArray.from_arrays([pa.array(c, pa.int32() if k.dataType == IntegerType() else pa.float64()) for c, k in zip(out, _KINDS)], STATS))
+    """The statistics of shared words as a struct, from the views and frequencies of both sides, a and b; by country also pc_{statistic}, with the words' frequencies
+    under their own countries. Texts are taken apart once for both. Not by tokens.overlap: Spark compares arrays of structs each with each."""
+    freq = [(f"_d_{prefix}", "_n"), *([(f"_d_{prefix}_pc", "_n_pc")] if by_country else [])]
+    names = [*STATS, *(f"pc_{c}" for c in STATS if by_country)]
+    kinds = [IntegerType() if c.removeprefix("pc_") in ("n_shared", "token_diff", "n_shared_rare") else DoubleType() for c in names]
+
+    @F.arrow_udf(StructType([StructField(*x) for x in zip(names, kinds)]))
+    def run(*columns: pa.Array) -> pa.Array:
+        done, own = [], len(columns) // 2
+        for part in pieces(columns):
+            out = []
+            for r in zip(*(_lists(c) if i % own % 2 == 1 else c.to_pylist() for i, c in enumerate(part))):
+                a, b = _words(r[0]), _words(r[own])
+                out.append([v for i in range(1, own, 2) for v in shared_words(_idf(a, *r[i : i + 2]), _idf(b, *r[own + i : own + i + 2]))])
+            done.append(pa.StructArray.from_arrays([pa.array(c, pa.int32() if k == IntegerType() else pa.float64()) for c, k in zip(list(zip(*out)) or [()] * len(names), kinds)], names))
         return pa.concat_arrays(done)
 
-    n = "_n_pc" if by_country else "_n"
-    return run(*(F.col(f"{side}.{c}") for side in ("a", "b") for c in (view, f"_d_{prefix}", n)))
+    return run(*(F.col(f"{side}.{c}") for side in ("a", "b") for c in (view, *(x for f in freq for x in f))))
 
 
 def with_competition(pairs: DataFrame, other: DataFrame, value: str, best_other: str, margin: str, is_best: str | None = None, n: str | None = None) -> DataFrame:
@@ -157,9 +166,7 @@ def stage1_features(pool: DataFrame, records: DataFrame, competition: DataFrame,
     out |= {"name_freq_s1_in_s1": F.log1p(a("_f1")), "name_freq_s1_in_t": F.log1p(a("_ft")), "name_freq_t_in_s1": F.log1p(b("_f1")), "name_freq_t_in_t": F.log1p(b("_ft"))}
     x = x.withColumns(out).withColumn("combo", (F.col("name_core_tset") + F.coalesce("addr_tset", F.lit(0.0))) / 2)
     x = x.select(*(ranks_or_null(c) if c in [f"{k}_rank" for k in blockers] else F.col(c) for c in x.columns if c != "_s"))
-    found = {p: overlaps(v, p) for v, p, _ in views} | {f"{p}_pc": overlaps(v, f"{p}_pc", True) for v, p, by_country in views if by_country}
-    x = x.withColumns({f"_o_{p}": c for p, c in found.items()})
-    order = [q for _, p, by_country in views for q in ([p, f"{p}_pc"] if by_country else [p])]
-    x = x.select(*(c for c in x.columns if c not in ("a", "b") and not c.startswith("_o_")), *(F.col(f"_o_{p}.{c}").alias(f"{p}_{c}") for p in order for c in (COUNTRY_STATS if p.endswith("_pc") else STATS)))
+    x = x.withColumns({f"_o_{p}": overlaps(v, p, by_country) for v, p, by_country in views})
+    x = x.select(*(c for c in x.columns if c not in ("a", "b") and not c.startswith("_o_")), *(F.col(f"_o_{p}.{c}").alias(f"{p}_{c}") for _, p, by_country in views for c in [*STATS, *(f"pc_{c}" for c in COUNTRY_STATS if by_country)]))
     x = x.withColumns({"n_cands": F.count(F.lit(1)).over(by_s1()), "n_cands_s2": F.sum("t_is_s2").over(by_s1())})
     return in_group(x, [*IN_LIST, *(f"{b}_score" for b in blockers), "emb_cos", "prune_p"], "grank", "gap", IN_LIST)
