@@ -23,3 +23,12 @@ def test_texts_are_taken_apart_once(spark, monkeypatch):
 def test_common_subsequences_are_not_made_where_nobody_reads_them(spark):
     passes = lambda name: len({*re.findall(r"\brun\([^)]*\)#\d+", entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString())})
     assert passes("f_stage1_features_sql") == passes("f_stage1_features") - 1
+
+
+def test_targets_of_stage_2_come_from_records_that_are_written(spark):
+    from quillmark.plans import stages
+
+    normal = stages.written_records(spark, SF)
+    given, own = stages.target_views(spark, SF, normal), stages.target_views(spark, SF)
+    assert "run(" not in given._jdf.queryExecution().optimizedPlan().toString()  # no address is taken apart again
+    assert given.dtypes == own.dtypes and sorted(given.collect()) == sorted(own.collect())
